@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
+from . import html_text, langid, mixing, packing, token_file, toxicity
 from .common import fold, table
 
 
@@ -25,5 +26,28 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op6_toxicity)}
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    got = mixing.taken(mixing.mix(docs))
+    return got.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return got.withColumnRenamed("key", "doc_id")
+
+
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = token_file.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return got.withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op5_html_text, op6_toxicity, op8_packing, op9_token_file)}
 ORACLES: dict[str, str] = {}
