@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, langid, mixing, packing, token_file, toxicity
+from . import html_text, langid, mixing, neardup, packing, token_file, toxicity
 from .common import fold, table
 
 
@@ -37,6 +37,12 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = neardup.near_duplicates(docs, k=3, per_cent=85)
+    return got.select(F.col("key").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -49,5 +55,5 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op5_html_text, op6_toxicity, op8_packing, op9_token_file)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op5_html_text, op6_toxicity, op7_minhash, op8_packing, op9_token_file)}
 ORACLES: dict[str, str] = {}
