@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, langid, mixing, neardup, packing, token_file, toxicity
+from . import html_text, langid, mixing, neardup, packing, repeats, token_file, toxicity
 from .common import fold, table
 
 
@@ -32,6 +32,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "source")
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
@@ -55,5 +59,5 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op5_html_text, op6_toxicity, op7_minhash, op8_packing, op9_token_file)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_suffix_array, op5_html_text, op6_toxicity, op7_minhash, op8_packing, op9_token_file)}
 ORACLES: dict[str, str] = {}
