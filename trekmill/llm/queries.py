@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, langid, mixing, neardup, packing, repeats, token_file, toxicity
+from . import html_text, langid, mixing, neardup, neighbours, packing, repeats, token_file, toxicity
 from .common import fold, table
 
 
@@ -59,5 +59,9 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_suffix_array, op5_html_text, op6_toxicity, op7_minhash, op8_packing, op9_token_file)}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_suffix_array, op5_html_text, op6_toxicity, op7_minhash, op8_packing, op9_token_file, op10_neighbours)}
 ORACLES: dict[str, str] = {}
