@@ -140,3 +140,16 @@ def taken(plan: Mix) -> DataFrame:
     got = some.alias("a").join(used.alias("b"), on, "left").select("a.*", F.coalesce("b.words", F.lit(0).cast("long")).alias("taken"))
     none = plan.stream.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     return got.unionByName(none).select("key", "size", "source", "source_size", "target", "taken")
+
+
+def mixed(plan: Mix, docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", seed: int = 1) -> DataFrame:
+    """docs as the mix has them: a row for each turn a document is in, its text cut where the last turn ends within it.
+
+    docs, and the names and seed, are those that the mix was planned with.
+    """
+    turns = plan.placed().groupBy("salt", "pos", "bucket", "start", "turn", "size").agg(F.sum("words").alias("__words"))
+    turns = turns.select(F.col("salt").alias("__salt"), F.col("size").alias("__size"), "__words")
+    one = docs.withColumn("__salt", F.xxhash64(F.lit(seed), F.col(key), F.col(source), F.col(text))).dropDuplicates(["__salt"])
+    cut = F.expr(f"regexp_extract(`{text}`, concat('^[\\\\x20\\\\x09-\\\\x0D]*(?:[^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]*){{', __words, '}}'), 0)")
+    got = turns.join(one, "__salt").withColumn(text, F.when(F.col("__words") < F.col("__size"), cut).otherwise(F.col(text)))
+    return got.select(*docs.columns)
