@@ -150,6 +150,8 @@ def mixed(plan: Mix, docs: DataFrame, source: str = "source", text: str = "text"
     turns = plan.placed().groupBy("salt", "pos", "bucket", "start", "turn", "size").agg(F.sum("words").alias("__words"))
     turns = turns.select(F.col("salt").alias("__salt"), F.col("size").alias("__size"), "__words")
     one = docs.withColumn("__salt", F.xxhash64(F.lit(seed), F.col(key), F.col(source), F.col(text))).dropDuplicates(["__salt"])
-    cut = F.expr(f"regexp_extract(`{text}`, concat('^[\\\\x20\\\\x09-\\\\x0D]*(?:[^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]*){{', __words, '}}'), 0)")
+    # Each part holds one word and the white space before it.
+    parts = F.split(F.col(text), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    cut = F.array_join(F.slice(parts, F.lit(1), F.col("__words").cast("int")), "")
     got = turns.join(one, "__salt").withColumn(text, F.when(F.col("__words") < F.col("__size"), cut).otherwise(F.col(text)))
     return got.select(*docs.columns)
