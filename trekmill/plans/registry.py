@@ -1,3 +1,25 @@
-"""Names of all queries and their SQL."""
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""All queries of the mobility operators, and the SQL that DuckDB holds them against."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..functions.portable import SqlOperator
+from ..operators import collective, individual, sequence
+from .views import VIEWS, view
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(op: SqlOperator) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: op(*(view(spark, sf_dir, n) for n in op.inputs))
+
+
+for module in (individual, collective, sequence):
+    for op in vars(module).values():
+        if isinstance(op, SqlOperator):
+            QUERIES[op.__name__] = _query(op)
+            ORACLES[op.__name__] = op.oracle(VIEWS)
