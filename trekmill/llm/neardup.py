@@ -37,7 +37,7 @@ from .graph import components
 
 BINS = 160
 #: Members of a bucket that are held against each other in one block.
-BLOCK = 2048
+BLOCK = 512
 MISS = 1e-8
 
 
@@ -217,50 +217,54 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     held = marked.join(torn, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     held = held.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     held = held.select("key", "band", "node", "root", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    held = held.join(short, "node").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-
-    def across(batches):
-        """Pairs of different components in a bucket that agree enough and in no earlier band."""
-        rest = None
-        for batch in _with_end(batches):
-            if batch is None:
-                table = rest
-            else:
-                table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            if table is None or not table.num_rows:
-                continue
-            table = table.combine_chunks()
-            key, p, q = (table.column(c).to_numpy() for c in ("key", "p", "q"))
-            edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]), True])
-            if batch is not None:
-                rest, edge = table.slice(edge[-2]), edge[:-1]
-            node, root, own, band = (table.column(c).to_numpy() for c in ("node", "root", "own", "band"))
-            sketch = _matrix(table.column("sketch"))
-            out_a, out_b = [], []
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                for i in range(a, b):
-                    ok = root[i + 1 : b] != root[i]
-                    if p[a] != q[a]:
-                        ok &= own[i + 1 : b] != own[i]
-                    at = np.flatnonzero(ok) + i + 1
+    held = written(held, "held")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+    def named(batches):
+        """The nodes of pairs across components that the sketches do not rule out."""
+        for t, groups in _groups(batches, ("key", "p", "q")):
+            found = [np.append(at, i) for i, at in _across(t, groups, floor, n_bands, r)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(t.column("node").to_numpy()[np.concatenate(found)]))], names=["node"])
+
+    involved = written(grouped(held.join(short, "node")).mapInArrow(named, "node bigint").distinct(), "involved")
+    if not involved.isEmpty():
+        sets = full_sets(rows, involved.join(nodes.select("node", "rid"), "node"), k)
+
+        def joined(batches):
+            """Links between components on the full sets, a pair only while nothing links its ends here."""
+            for t, groups in _groups(batches, ("key", "p", "q")):
+                node, root = t.column("node").to_numpy(), t.column("root").to_numpy()
+                raw, off = K.string_bytes(t.column("elements"))
+                sets_, off = np.frombuffer(raw.tobytes(), np.uint64), off // 8
+                up = {x: x for x in root.tolist()}
+
+                def top(x, up=up):
+                    while up[x] != x:
+                        up[x] = x = up[up[x]]
+                    return x
+
+                out = []
+                for i, at in _across(t, groups, floor, n_bands, r):
+                    mine = top(root[i])
+                    at = at[[top(x) != mine for x in root[at].tolist()]]
                     if not len(at):
                         continue
-                    same = sketch[at] == sketch[i]
-                    near = same.sum(1) >= floor
-                    if near.any():
-                        at, same = at[near], same[near]
-                        whole = same[:, : n_bands * r].reshape(len(at), n_bands, r).all(2)
-                        at = at[whole.argmax(1) == band[i]]
-                        out_a.append(np.maximum(node[at], node[i]))
-                        out_b.append(np.minimum(node[at], node[i]))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-
-    more = held.mapInArrow(across, "a bigint, b bigint").distinct().join(first, ["a", "b"], "left_anti")
-    more = written(more, "across")
-    if not more.isEmpty():
-        links = links.unionByName(verified(more, "more-links"))
-        label = components(links)
+                    size = off[at + 1] - off[at]
+                    both = np.array([np.isin(sets_[off[j] : off[j + 1]], sets_[off[i] : off[i + 1]], assume_unique=True).sum() for j in at])
+                    for j in at[similar(both, size + off[i + 1] - off[i] - both)]:
+                        x, y = top(root[i]), top(root[j])
+                        if x != y:
+                            up[max(x, y)] = min(x, y)
+                            out.append((max(node[i], node[j]), min(node[i], node[j])))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+        more = written(grouped(held.join(short.join(sets, "node"), "node")).mapInArrow(joined, "a bigint, b bigint"), "more-links")
+        if not more.isEmpty():
+            label = components(links.unionByName(more))
     least = base.where("n_shingles > 0").groupBy("node").agg(F.min("key").alias("least"))
     least = least.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = least.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -270,6 +274,47 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     return some.unionByName(none).withColumn("kept", F.col("key").eqNullSafe(F.col("component_id"))).select("key", "n_shingles", "node", "component_id", "kept")
 
 
-def _with_end(batches):
-    yield from batches
-    yield None
+def _groups(batches, keys: tuple[str, ...]):
+    """Tables of whole groups (rows of equal keys, which come one after the other), with the bounds of each."""
+    rest, ended, batches = None, False, iter(batches)
+    while not ended:
+        batch = next(batches, None)
+        ended = batch is None
+        parts = [x for x in (rest, None if ended else pa.Table.from_batches([batch])) if x is not None]
+        if not parts:
+            continue
+        table = pa.concat_tables(parts).combine_chunks()
+        if not table.num_rows:
+            continue
+        change = np.zeros(table.num_rows - 1, bool)
+        for c in keys:
+            x = table.column(c).to_numpy()
+            change |= x[1:] != x[:-1]
+        edge = np.flatnonzero(np.r_[True, change, True])
+        rest = None
+        if not ended:
+            rest, edge = table.slice(edge[-2]), edge[:-1]
+        if len(edge) > 1:
+            yield table.slice(0, edge[-1]).combine_chunks(), edge
+
+
+def _across(table: pa.Table, edge: np.ndarray, floor: int, n_bands: int, r: int):
+    """(row, rows after it) of pairs in a group that are of different components, agree in floor coordinates, and in no earlier band."""
+    root, own, band, p, q = (table.column(c).to_numpy() for c in ("root", "own", "band", "p", "q"))
+    sketch = _matrix(table.column("sketch"))
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        for i in range(a, b):
+            ok = root[i + 1 : b] != root[i]
+            if p[a] != q[a]:
+                ok &= own[i + 1 : b] != own[i]
+            at = np.flatnonzero(ok) + i + 1
+            if not len(at):
+                continue
+            same = sketch[at] == sketch[i]
+            near = same.sum(1) >= floor
+            if near.any():
+                at, same = at[near], same[near]
+                whole = same[:, : n_bands * r].reshape(len(at), n_bands, r).all(2)
+                at = at[whole.argmax(1) == band[i]]
+                if len(at):
+                    yield i, at
