@@ -22,7 +22,7 @@ def fixes(spark, rows):
 
 def test_radius_and_jumps(spark):
     df = fixes(spark, [("eq", i, i, 0.0, float(i)) for i in range(5)] + [("bad", 0, 0, None, 1.0), ("bad", 1, 0, math.nan, 1.0), ("one", 0, 0, 1.0, 1.0)])
-    assert {r["uid"]: r["radius_of_gyration"] for r in individual.radius_of_gyration(df).collect()} == {"eq": pytest.approx(157.2533733), "one": 0.0}
+    assert {r["uid"]: r["radius_of_gyration"] for r in individual.radius_of_gyration(df).collect()} == {"eq": pytest.approx(157.2533733, rel=1e-5), "one": 0.0}
     assert [r["jump_length"] for r in individual.jump_lengths(df).collect()] == [pytest.approx(111.1950802335329, abs=1e-5)] * 4
     assert {r["uid"]: r["distance_straight_line"] for r in individual.distance_straight_line(df).collect()}["one"] == 0.0
 
