@@ -211,18 +211,25 @@ def _scan(batches, least: int, limit: int):
         # Strings of one text are numbered along it, others far apart.
         texts: dict[tuple[int, int], int] = {}
         number = np.array([texts.setdefault((r[1], r[2]), len(texts)) * (1 << 34) + max(0, r[4] - gram_w + 1) for r in held])
-        d, nb, lo, hi, ident = [], [], [], [], []
+        # What groups cover is summed up along each context, so that nested groups of one
+        # passage are not listed occurrence by occurrence.
+        width = np.array([len(c) + 1 for c in ctx])
+        begin = np.cumsum(width) - width
+        mark = np.zeros(int(width.sum()), np.int32)
         for length, string, start in maximal_repeats(ctx, number, least):
-            name = int.from_bytes(hashlib.blake2b(ctx[string[0]][start[0] : start[0] + length].tobytes(), digest_size=8).digest(), "little", signed=True)
-            for s, o in zip(string.tolist(), start.tolist(), strict=True):
-                base = max(0, held[s][4] - gram_w + 1)
-                d.append(held[s][1])
-                nb.append(held[s][2])
-                lo.append(base + o)
-                hi.append(base + o + length)
-                ident.append(name)
-        if d:
-            yield pa.RecordBatch.from_pydict({"d": pa.array(d, pa.int64()), "nb": pa.array(nb, pa.int32()), "lo": pa.array(lo, pa.int32()), "hi": pa.array(hi, pa.int32()), "repeat": pa.array(ident, pa.int64())})
+            at = begin[string] + start
+            mark[at] += 1
+            mark[at + length] -= 1
+        on = np.cumsum(mark) > 0
+        first = np.flatnonzero(on & ~np.r_[False, on[:-1]])
+        last = np.flatnonzero(on & ~np.r_[on[1:], False]) + 1
+        if not len(first):
+            return
+        string = np.searchsorted(begin, first, side="right") - 1
+        d, nb, anchor_at = (np.array([held[i][c] for i in string], np.int64) for c in (1, 2, 4))
+        lo = np.maximum(0, anchor_at - gram_w + 1) + first - begin[string]
+        ident = [int.from_bytes(hashlib.blake2b(ctx[i][x - begin[i] : y - begin[i]].tobytes(), digest_size=8).digest(), "little", signed=True) for i, x, y in zip(string, first, last, strict=True)]
+        yield pa.RecordBatch.from_pydict({"d": pa.array(d), "nb": pa.array(nb.astype(np.int32)), "lo": pa.array(lo.astype(np.int32)), "hi": pa.array((lo + last - first).astype(np.int32)), "repeat": pa.array(ident, pa.int64())})
 
     held, group, size, held_size, anchor = [], [], 0, 0, None
     for batch in batches:
@@ -256,9 +263,10 @@ def _windows(batches, least: int):
 
 
 def repeats(docs: DataFrame, text: str = "text", least: int = LEAST, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
-    """Occurrences of repeated passages in the distinct texts: d (hash of the text), nb (its bytes), lo, hi, repeat (its group).
+    """Occurrences of repeated passages in the distinct texts: d (hash of the text), nb (its bytes), lo, hi, repeat.
 
-    Whole contexts that recur are given as they stand, with the anchor's hash as group.
+    Stretches that maximal repeat groups cover, with a hash of their bytes; contexts that
+    recur as a whole as they stand, with the anchor's hash.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
