@@ -11,7 +11,7 @@ EARTH_KM = 6371.0088
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column, unit: str = "km") -> Column:
     """Great-circle distance in km or m."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * EARTH_KM * (1000 if unit == "m" else 1) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * EARTH_KM * (1000 if unit == "m" else 1) * F.asin(F.sqrt(F.when(a > 1, F.lit(1.0)).otherwise(a)))
 
 
 def bearing(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

@@ -18,7 +18,7 @@ MARKS = {
     "TRUNC": ("CAST(date_trunc({0}, {1}) AS TIMESTAMP_NTZ)", "date_trunc({0}, {1})"),
     "DAY": ("CAST({0} AS DATE)", "CAST({0} AS DATE)"),
     "SERIES": ("LATERAL VIEW explode(sequence({1}, {2})) t_{0} AS {0}", "CROSS JOIN LATERAL (SELECT unnest(range({1}, {2} + 1)) AS {0})"),
-    "HAVERSINE": tuple(["(2 * 6371.0088e0 * asin(sqrt(least(1e0, pow(sin(radians(({2}) - ({0})) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians(({3}) - ({1})) / 2), 2)))))"] * 2),
+    "HAVERSINE": tuple(["(2 * 6371.0088e0 * asin(sqrt(least(1e0 + 0 * ({0} + {1} + {2} + {3}), pow(sin(radians(({2}) - ({0})) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians(({3}) - ({1})) / 2), 2)))))"] * 2),
     "VALID": tuple(["({0} IS NOT NULL AND {1} IS NOT NULL AND NOT isnan({0}) AND NOT isnan({1}) AND abs({0}) <= 90 AND abs({1}) <= 180)"] * 2),
     "LONG": tuple(["CAST({0} AS BIGINT)"] * 2),
     "MINUTES": ("(timestampdiff(MICROSECOND, {0}, {1}) / 60000000e0)", "((epoch_us({1}) - epoch_us({0})) / 60000000e0)"),
