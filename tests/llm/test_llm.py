@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from trekmill.llm import graph, html_text, kernels, langid, mixing, neardup, neighbours, packing, repeats, token_file, tokens, toxicity
+from trekmill.llm import graph, html_text, images, kernels, langid, mixing, neardup, neighbours, packing, repeats, token_file, tokens, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -217,3 +217,18 @@ def test_neighbours(spark):
         hit += len(set(want) & set(mine.vec_id))
         total += 20
     assert hit >= 0.95 * total and not set(got.query_id) & {900, 920, 940, 960}
+
+
+def test_image_copies(spark):
+    rnd = np.random.default_rng(11)
+
+    def picture():
+        x = rnd.integers(0, 256, (20, 20)).repeat(6, 0).repeat(6, 1).astype(float)
+        return images._box(x)
+
+    base = [picture() for _ in range(4)]
+    rows = [(i, b) for i, b in enumerate(base)] + [(10, base[0][12:110, 9:105]), (11, np.clip(base[1] * 0.9 + 8, 0, 255)), (12, base[2]), (13, picture())]
+    data = [(i, bytearray(b.astype(np.uint8).tobytes()), b.shape[1], b.shape[0]) for i, b in rows] + [(20, None, 4, 4), (21, bytearray(b"abc"), 9, 9), (22, bytearray(900), 30, 30)]
+    df = spark.createDataFrame(data, "image_id long, pixels binary, width int, height int")
+    got = {r["key"]: r["component_id"] for r in images.copies(df).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 10: 0, 11: 1, 12: 2, 13: 13, 20: 20, 21: 21, 22: 22}

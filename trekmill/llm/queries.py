@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, langid, mixing, neardup, neighbours, packing, repeats, token_file, toxicity
+from . import html_text, images, langid, mixing, neardup, neighbours, packing, repeats, token_file, toxicity
 from .common import fold, table
 
 
@@ -36,6 +36,12 @@ def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has pictures, so each embedding is drawn as one."""
+    pictures = images.rendered(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return images.copies(pictures).withColumnRenamed("key", "image_id")
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
@@ -63,5 +69,5 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_suffix_array, op5_html_text, op6_toxicity, op7_minhash, op8_packing, op9_token_file, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_suffix_array, op4_images, op5_html_text, op6_toxicity, op7_minhash, op8_packing, op9_token_file, op10_neighbours)}
 ORACLES: dict[str, str] = {}
