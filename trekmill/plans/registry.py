@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.portable import SqlOperator
-from ..operators import collective, individual, sequence
+from ..operators import collective, individual, kernels, sequence
 from .views import VIEWS, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,15 @@ for module in (individual, collective, sequence):
         if isinstance(op, SqlOperator):
             QUERIES[op.__name__] = _query(op)
             ORACLES[op.__name__] = op.oracle(VIEWS)
+
+
+def _kernel(run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run(view(spark, sf_dir, "fixes"))
+
+
+QUERIES |= {
+    "filter_speed": _kernel(lambda f: kernels.filter_speed(f, max_speed_kmh=0.05)),
+    "compress": _kernel(lambda f: kernels.compress(f, spatial_radius_km=1.0)),
+    "simplify_min_distance": _kernel(lambda f: kernels.simplify_min_distance(f, min_distance_km=1.0)),
+    "simplify_min_time": _kernel(lambda f: kernels.simplify_min_time(f, min_time_delta_s=36000.0)),
+}
