@@ -3,8 +3,8 @@
 Corners (Harris responses, local maxima at two scales) get an orientation from the
 intensity centroid about them and a string of 128 brightness comparisons turned by it.
 Strings that agree in one of four 32-bit parts meet by joins on those parts; in each
-bucket an image is held against the bucket's least image and the one before it. Two
-images are copies when enough mutually nearest strings obey one shift, turn and scale.
+bucket an image is held against the bucket's least image and those whose whole strings
+come next in order, where copies lie side by side. Two images are copies when enough mutually nearest strings obey one shift, turn and scale.
 Images of equal pixels are one node. CORNERS and the bucket partners are the method's
 own limits: links between two images of a bucket are found through those partners.
 
@@ -24,7 +24,7 @@ from . import kernels as K
 from .common import arrow_batches, written
 from .graph import components
 
-CORNERS, BITS, PATCH, NEAR_BITS, INLIERS, MARGIN = 24, 128, 7, 28, 6, 3.0
+CORNERS, BITS, PATCH, NEAR_BITS, INLIERS, MARGIN, NEXT = 24, 128, 7, 28, 6, 3.0, 3
 _TESTS = np.clip(np.random.default_rng(42).normal(0, 3.2, (BITS, 4)), -PATCH, PATCH)
 
 
@@ -125,15 +125,20 @@ def copies(images: DataFrame, key: str = "image_id", pixels: str = "pixels", wid
             code = np.frombuffer(raw.tobytes(), "<u4").reshape(-1, BITS // 32)
             node = np.repeat(_column(batch, "node").to_numpy(), np.diff(off) // (BITS // 8))
             bucket = (code.astype(np.int64) * 4 + np.arange(BITS // 32)).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.repeat(node, BITS // 32))], names=["bucket", "node"])
+            # The rest of a string, from its bucket's part on, as two numbers to sort by.
+            turned = np.stack([np.roll(code, -k, axis=1) for k in range(1, BITS // 32 + 1)], axis=1).astype(np.int64)
+            far, near = turned[..., 0] << 31 | turned[..., 1] >> 1, turned[..., 2]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.repeat(node, BITS // 32)), pa.array(far.ravel()), pa.array(near.ravel())], names=["bucket", "node", "rest", "last"])
 
-    tables = nodes.select("node", "codes").mapInArrow(parts, "bucket bigint, node bigint").distinct()
+    tables = nodes.select("node", "codes").mapInArrow(parts, "bucket bigint, node bigint, rest bigint, last bigint").groupBy("bucket", "node").agg(F.min(F.struct("rest", "last")).alias("rest"))
     shared = tables.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
     met = written(tables.join(shared, "bucket"), "image-buckets")
-    before = met.withColumn("b", F.lag("node").over(Window.partitionBy("bucket").orderBy("node")))
-    pairs = met.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).union(before.where("b is not null").select(F.col("node").alias("a"), "b"))
+    order = Window.partitionBy("bucket").orderBy("rest", "node")
+    beside = met.withColumn("beside", F.array("least", *[F.lag("node", i).over(order) for i in range(1, NEXT + 1)]))
+    beside = beside.select("bucket", "node", F.explode("beside").alias("b")).where("b is not null and b != node")
+    pairs = beside.select("bucket", F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
     # An agreement in one string is chance; copies agree in several.
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("votes")).where("votes > 2").select("a", "b")
+    pairs = pairs.groupBy("a", "b").agg(F.count_distinct("bucket").alias("votes")).where("votes > 2").select("a", "b")
 
     def verify(batches):
         for batch in batches:
