@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.portable import SqlOperator
-from ..operators import collective, individual, kernels, sequence
+from ..operators import collective, individual, kernels, sequence, walks
 from .views import VIEWS, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,4 +34,16 @@ QUERIES |= {
     "compress": _kernel(lambda f: kernels.compress(f, spatial_radius_km=1.0)),
     "simplify_min_distance": _kernel(lambda f: kernels.simplify_min_distance(f, min_distance_km=1.0)),
     "simplify_min_time": _kernel(lambda f: kernels.simplify_min_time(f, min_time_delta_s=36000.0)),
+    "filter_hampel": _kernel(walks.filter_hampel),
+    "filter_smart_greedy": _kernel(lambda f: walks.filter_smart_greedy(f, max_speed_kmh=0.05)),
+    "simplify_douglas_peucker": _kernel(lambda f: walks.simplify_douglas_peucker(f, epsilon_km=1.0)),
+    "simplify_top_down_time_ratio": _kernel(lambda f: walks.simplify_top_down_time_ratio(f, epsilon_km=1.0)),
+    "simplify_max_distance": _kernel(lambda f: walks.simplify_max_distance(f, epsilon_km=1.0)),
+    "stay_locations": _kernel(walks.stay_locations),
+    "segment_angle_change": _kernel(walks.segment_angle_change),
+    "segment_speed": _kernel(lambda f: walks.segment_speed(f, speed_kmh=0.05)),
+    "segment_stop": _kernel(walks.segment_stop),
+    "smooth_kalman": _kernel(walks.smooth_kalman),
+    "trajectory_predictability": _kernel(walks.trajectory_predictability),
+    "tours": lambda spark, sf_dir: walks.tours(sequence.trajectory_to_trips(view(spark, sf_dir, "fixes"))),
 }
