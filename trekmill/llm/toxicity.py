@@ -18,7 +18,10 @@ scores; input columns named like an output column are replaced.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -160,14 +163,20 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.3) ->
 
 @dataclass(frozen=True)
 class Model:
-    counts: list | None
+    counts: bytes | None
     curve: np.ndarray
     prior: float
 
 
-def _restore(packed: list) -> Counts:
+def _pack(counts: Counts) -> bytes:
+    """The tables, most of whose slots are empty, as what is broadcast."""
+    return zlib.compress(pickle.dumps(counts.levels, 5), 1)
+
+
+@lru_cache(1)
+def _restore(packed: bytes) -> Counts:
     c = Counts.__new__(Counts)
-    c.levels = packed
+    c.levels = pickle.loads(zlib.decompress(packed))
     return c
 
 
@@ -207,7 +216,8 @@ def fit(labelled: DataFrame, docs: DataFrame, key: str = "doc_id", label: str =
     got = total.toArrow()
     code, n = got.column("code").to_numpy(), got.column("n").to_numpy()
     counts = Counts(code & ((1 << 40) - 1), code >> 40, n)
-    shared = spark.sparkContext.broadcast(counts.levels)
+    packed = _pack(counts)
+    shared = spark.sparkContext.broadcast(packed)
 
     def evidence(batches):
         c = _restore(shared.value)
@@ -222,7 +232,7 @@ def fit(labelled: DataFrame, docs: DataFrame, key: str = "doc_id", label: str =
     x = np.column_stack([seen.column(k).to_numpy() for k in "abcd"])
     weight = np.where(y == 1, max(1.0, found[1] / per_class), max(1.0, found[0] / per_class))
     curve = logistic(_design(x), y, weight) if 0 < y.sum() < len(y) else np.zeros(6)
-    return Model(counts.levels, curve, prior)
+    return Model(packed, curve, prior)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
