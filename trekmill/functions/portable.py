@@ -16,6 +16,11 @@ MARKS = {
     "EPOCH_US": ("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({0} AS TIMESTAMP_NTZ))", "epoch_us({0})"),
     "WEEKDAY": ("weekday({0})", "(isodow({0}) - 1)"),
     "TRUNC": ("CAST(date_trunc({0}, {1}) AS TIMESTAMP_NTZ)", "date_trunc({0}, {1})"),
+    "PERCENTILE": ("percentile({0}, {1})", "quantile_cont({0}, {1})"),
+    "LAST_KNOWN": ("last_value({0}, true)", "last_value({0} IGNORE NULLS)"),
+    "NEXT_KNOWN": ("first_value({0}, true)", "first_value({0} IGNORE NULLS)"),
+    "ZONE": ("convert_timezone({0}, {1}, CAST({2} AS TIMESTAMP_NTZ))", "(({2} AT TIME ZONE {0}) AT TIME ZONE {1})"),
+    "TIMESTAMP_AT": ("TIMESTAMP_NTZ {0}", "TIMESTAMP {0}"),
     "DAY": ("CAST({0} AS DATE)", "CAST({0} AS DATE)"),
     "SERIES": ("LATERAL VIEW explode(sequence({1}, {2})) t_{0} AS {0}", "CROSS JOIN LATERAL (SELECT unnest(range({1}, {2} + 1)) AS {0})"),
     "HAVERSINE": tuple(["(2 * 6371.0088e0 * asin(sqrt(least(1e0 + 0 * ({0} + {1} + {2} + {3}), pow(sin(radians(({2}) - ({0})) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians(({3}) - ({1})) / 2), 2)))))"] * 2),
@@ -48,7 +53,7 @@ def dialect(text: str, which: int) -> str:
     while found := re.search(rf"\b({'|'.join(MARKS)})\(", text):
         args, end = _arguments(text, found.end() - 1)
         text = text[: found.start()] + MARKS[found[1]][which].format(*args) + text[end:]
-    return text
+    return text.replace("TIMESTAMP_NTZ)", "TIMESTAMP)") if which else text
 
 
 class SqlOperator:

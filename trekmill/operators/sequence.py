@@ -1,4 +1,4 @@
-"""Cleaning, segmentation, joins, contacts and privacy, as windows and joins."""
+"""Cleaning, segmentation, joins and contacts, as windows and joins."""
 
 from __future__ import annotations
 
@@ -23,13 +23,20 @@ interpolate_linear = Op(
 )
 trajectory_to_od = Op("trajectory_to_od", "Consecutive cells of a user as counted pairs, without self loops.", f"SELECT pplace AS origin, place AS destination, count(*) AS flow FROM ({_STEP}) s WHERE pplace IS NOT NULL AND pplace <> place GROUP BY pplace, place")
 trajectory_to_trips = Op("trajectory_to_trips", "One trip for each pair of consecutive fixes in different cells.", f"SELECT uid, event_id AS trip_id, pplace AS origin, place AS destination, MINUTES(pt, datetime) AS minutes FROM ({_STEP}) s WHERE pplace IS NOT NULL AND pplace <> place")
+_STAYS = f"""SELECT *, LONG(row_number() OVER w) AS visit_number, lead(started_at) OVER w AS next_start, lead(lat) OVER w AS next_lat, lead(lng) OVER w AS next_lng, lead(place) OVER w AS next_place FROM (
+        SELECT uid, run, min(place) AS place, min(datetime) AS started_at, max(datetime) AS last_at, median(lat) AS lat, median(lng) AS lng, count(*) AS records FROM (
+          SELECT *, sum(CASE WHEN pplace IS NULL OR pplace <> place THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY datetime, event_id) AS run FROM ({_STEP}) s) r GROUP BY uid, run) g WINDOW w AS (PARTITION BY uid ORDER BY started_at)"""
+_TRAVEL = "least(MINUTES(last_at, next_start), HAVERSINE(lat, lng, next_lat, next_lng) * <circuity> / <avg_speed_kmh> * 60)"
 cdr_visits = Op(
     "cdr_visits",
     "Runs of records at one venue as stays; a stay ends when the trip to the next must start (travel at avg_speed_kmh over circuity), the last one stays open.",
-    f"""SELECT uid, visit_number, place, started_at, round(lat, 6) AS lat, round(lng, 6) AS lng, records, round(least(MINUTES(last_at, next_start), HAVERSINE(lat, lng, next_lat, next_lng) * <circuity> / <avg_speed_kmh> * 60), 4) AS travel_minutes FROM (
-      SELECT *, LONG(row_number() OVER w) AS visit_number, lead(started_at) OVER w AS next_start, lead(lat) OVER w AS next_lat, lead(lng) OVER w AS next_lng FROM (
-        SELECT uid, run, min(place) AS place, min(datetime) AS started_at, max(datetime) AS last_at, median(lat) AS lat, median(lng) AS lng, count(*) AS records FROM (
-          SELECT *, sum(CASE WHEN pplace IS NULL OR pplace <> place THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY datetime, event_id) AS run FROM ({_STEP}) s) r GROUP BY uid, run) g WINDOW w AS (PARTITION BY uid ORDER BY started_at)) z""",
+    f"SELECT uid, visit_number, place, started_at, round(lat, 6) AS lat, round(lng, 6) AS lng, records, round({_TRAVEL}, 4) AS travel_minutes FROM ({_STAYS}) z",
+    avg_speed_kmh="50e0", circuity="1.2e0",
+)
+cdr_trips = Op(
+    "cdr_trips",
+    "A trip from each stay to the next one, numbered by user: places, distance over circuity, minutes of travel and arrival.",
+    f"SELECT uid, visit_number AS trip_number, place AS origin, next_place AS destination, round(HAVERSINE(lat, lng, next_lat, next_lng) * <circuity>, 6) AS km, round({_TRAVEL}, 4) AS minutes, next_start AS arrives_at FROM ({_STAYS}) z WHERE next_start IS NOT NULL",
     avg_speed_kmh="50e0", circuity="1.2e0",
 )
 join_with_pois = Op(
@@ -64,19 +71,3 @@ topological_overlap = Op(
       LEFT JOIN (SELECT x.u, x.v, count(*) AS n FROM ({_UNDIRECTED}) x JOIN (SELECT u AS a, v AS b FROM ({_UNDIRECTED}) q5 UNION ALL SELECT v AS a, u AS b FROM ({_UNDIRECTED}) q6) p ON p.a = x.u JOIN (SELECT u AS a, v AS b FROM ({_UNDIRECTED}) q7 UNION ALL SELECT v AS a, u AS b FROM ({_UNDIRECTED}) q8) r ON r.a = x.v AND r.b = p.b GROUP BY x.u, x.v) c ON e.u = c.u AND e.v = c.v""",
     minutes=5,
 )
-unique_location_risk = Op(
-    "unique_location_risk",
-    "Re-identification risk of a user known by two of their places: 1 over the users that have both, the largest over pairs.",
-    """SELECT uid, round(max(1e0 / n), 6) AS risk FROM (SELECT a.uid, count(*) OVER (PARTITION BY a.location_id, b.location_id) AS n FROM (SELECT DISTINCT uid, location_id FROM {visits}) a JOIN (SELECT DISTINCT uid, location_id FROM {visits}) b ON a.uid = b.uid AND a.location_id < b.location_id) p GROUP BY uid""",
-)
-location_risk = Op(
-    "location_risk",
-    "The same for one known place visited at least twice as a multiset of two.",
-    "SELECT uid, round(max(1e0 / n), 6) AS risk FROM (SELECT uid, location_id, count(*) OVER (PARTITION BY location_id) AS n FROM (SELECT uid, location_id FROM {visits} GROUP BY uid, location_id HAVING count(*) >= 2) g) p GROUP BY uid",
-)
-home_work_risk = Op(
-    "home_work_risk",
-    "Risk by a user's two least visited places (ascending counts, as the method has it).",
-    """SELECT k.uid, round(1e0 / count(DISTINCT o.uid), 6) AS risk FROM (SELECT uid, min(location_id) AS p, max(location_id) AS q FROM (SELECT uid, location_id, row_number() OVER (PARTITION BY uid ORDER BY count(*), location_id) AS r FROM {visits} GROUP BY uid, location_id) z WHERE r <= 2 GROUP BY uid) k
-      JOIN (SELECT uid, min(location_id) AS p, max(location_id) AS q FROM (SELECT uid, location_id, row_number() OVER (PARTITION BY uid ORDER BY count(*), location_id) AS r FROM {visits} GROUP BY uid, location_id) y WHERE r <= 2 GROUP BY uid) o ON k.p = o.p AND k.q = o.q GROUP BY k.uid""",
-)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.portable import SqlOperator
-from ..operators import collective, individual, kernels, sequence, walks
+from ..operators import collective, hierarchy, individual, kernels, privacy, sequence, social, walks
 from .views import VIEWS, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,7 +18,7 @@ def _query(op: SqlOperator) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: op(*(view(spark, sf_dir, n) for n in op.inputs))
 
 
-for module in (individual, collective, sequence):
+for module in (individual, collective, sequence, hierarchy, privacy, social):
     for op in vars(module).values():
         if isinstance(op, SqlOperator):
             QUERIES[op.__name__] = _query(op)
@@ -45,5 +45,6 @@ QUERIES |= {
     "segment_stop": _kernel(walks.segment_stop),
     "smooth_kalman": _kernel(walks.smooth_kalman),
     "trajectory_predictability": _kernel(walks.trajectory_predictability),
+    "recast": lambda spark, sf_dir: social.recast(view(spark, sf_dir, "visits")),
     "tours": lambda spark, sf_dir: walks.tours(sequence.trajectory_to_trips(view(spark, sf_dir, "fixes"))),
 }

@@ -10,6 +10,9 @@ _PLACE = "((user_id * 7 + (event_id * event_id) % 11) % 20)"
 VIEWS = {
     "fixes": f"SELECT user_id AS uid, ts AS datetime, event_id, event_type, {_PLACE} AS place, CAST(39.90 AS DOUBLE) + {_PLACE} / CAST(200 AS DOUBLE) AS lat, CAST(116.30 AS DOUBLE) + ((3 * {_PLACE}) % 20) / CAST(200 AS DOUBLE) AS lng FROM events",
     "visits": f"SELECT user_id AS uid, {_PLACE} AS location_id, event_type AS purpose, ts AS started_at, PLUS_MINUTES(ts, CAST(((event_id % 8) + 1) * 15 AS INT)) AS finished_at FROM events",
+    "staypoints": f"SELECT user_id AS uid, event_id AS staypoint_id, {_PLACE} AS location_id, ts AS started_at, PLUS_MINUTES(ts, CAST(((event_id % 8) + 1) * 15 AS INT)) AS finished_at, event_id % 3 = 0 AS activity FROM events",
+    "triplegs": "SELECT uid, staypoint_id AS tripleg_id, started_at, finished_at, CAST((staypoint_id * 31) % 97 AS DOUBLE) AS length_km FROM (SELECT uid, staypoint_id, finished_at AS started_at, lead(started_at) OVER (PARTITION BY uid ORDER BY started_at, staypoint_id) AS finished_at FROM staypoints) s WHERE finished_at > started_at",
+    "instants": "SELECT DISTINCT TRUNC('day', ts) AS at FROM events WHERE event_id % 50 = 0",
     "flows": "SELECT c_nationkey AS origin, s_nationkey AS destination, CAST(sum(l_quantity) AS DOUBLE) AS flow FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY c_nationkey, s_nationkey",
     "observed": "SELECT * FROM flows",
     "predicted": "SELECT origin, destination, flow * (1 + ((origin * 3 + destination) % 5) / 10e0) AS flow FROM flows WHERE (origin + destination) % 7 <> 0",
