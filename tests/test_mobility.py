@@ -78,7 +78,7 @@ def test_privacy_by_hand(spark):
     assert risk(privacy.unique_location_risk) == {"a": 0.5, "b": 0.5, "c": 0.25, "d": 0.25}
     assert risk(privacy.location_risk) == {"a": 0.5, "b": 0.5, "c": 0.25, "d": 1.0}
     assert risk(privacy.location_sequence_risk) == {"a": 1.0, "b": 1.0, "c": 0.25, "d": 1.0}
-    assert risk(privacy.location_time_risk)["d"] == 0.5
+    assert risk(privacy.location_time_risk) == {"a": 1.0, "b": 1.0, "c": 0.3333, "d": 1.0}
     assert risk(privacy.location_frequency_risk) == {"a": 0.5, "b": 0.5, "c": 0.3333, "d": 1.0}
 
 

@@ -139,8 +139,11 @@ def simplify_max_distance(fixes: DataFrame, epsilon_km: float = 0.001) -> DataFr
     return _masked(fixes, keep)
 
 
-def _stays(t, lat, lng, minutes, radius, no_data, include_last) -> list[tuple]:
-    """(first, end, members' median lat, lng) of each stop; rows are the anchor up to the row that closes it."""
+def _stays(t, lat, lng, minutes, radius, no_data, include_last, min_speed_kmh=None) -> list[tuple]:
+    """(first, end, members' median lat, lng) of each stop; rows are the anchor up to the row that closes it.
+
+    With min_speed_kmh a stop ends at its last row that is slower, seen from the anchor, and the members before that one stay.
+    """
     new = np.r_[True, (np.diff(lat) != 0) | (np.diff(lng) != 0) | (np.diff(t) != 0)]
     t, lat, lng = t[new], lat[new], lng[new]
     out, anchor = [], 0
@@ -150,17 +153,25 @@ def _stays(t, lat, lng, minutes, radius, no_data, include_last) -> list[tuple]:
             continue
         last = include_last and i == len(t) - 1
         if _km(lat[anchor], lng[anchor], lat[i], lng[i]) >= radius or last:
-            if t[i] - t[anchor] >= minutes * 60:
-                out.append((t[anchor], t[i], np.median(lat[anchor:i]), np.median(lng[anchor:i])))
+            end, stop = i, i
+            if min_speed_kmh is not None:
+                dt = t[anchor + 1 : i + 1] - t[anchor]
+                km = _km(lat[anchor], lng[anchor], lat[anchor + 1 : i + 1], lng[anchor + 1 : i + 1])
+                slow = np.flatnonzero(np.where(dt > 0, km / np.where(dt > 0, dt, 1) * 3600, 0.0) < min_speed_kmh)
+                if len(slow) and anchor + 1 + slow[-1] < i:
+                    end = anchor + 1 + int(slow[-1])
+                    stop = end - 1
+            if stop > anchor and t[end] - t[anchor] >= minutes * 60:
+                out.append((t[anchor], t[end], np.median(lat[anchor:stop]), np.median(lng[anchor:stop])))
             anchor = i
     return out
 
 
-def stay_locations(fixes: DataFrame, minutes_for_a_stop: float = 20.0, spatial_radius_km: float = 0.2, no_data_for_minutes: float = 1e12, include_last: bool = True) -> DataFrame:
-    """Stops: started_at, finished_at and median coordinates. Without minimum-speed trimming."""
+def stay_locations(fixes: DataFrame, minutes_for_a_stop: float = 20.0, spatial_radius_km: float = 0.2, no_data_for_minutes: float = 1e12, include_last: bool = True, min_speed_kmh: float | None = None) -> DataFrame:
+    """Stops: started_at, finished_at and median coordinates."""
 
     def walk(part, t, lat, lng):
-        found = _stays(t, lat, lng, minutes_for_a_stop, spatial_radius_km, no_data_for_minutes, include_last)
+        found = _stays(t, lat, lng, minutes_for_a_stop, spatial_radius_km, no_data_for_minutes, include_last, min_speed_kmh)
         s, e, a, b = zip(*found, strict=True) if found else ((), (), (), ())
         times = [pd.to_datetime(np.rint(np.array(x, float) * 1e6).astype("int64"), unit="us") for x in (s, e)]
         return pd.DataFrame({"uid": [part["uid"].iloc[0]] * len(s), "started_at": times[0], "finished_at": times[1], "lat": np.array(a, float), "lng": np.array(b, float)})

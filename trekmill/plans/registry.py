@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.portable import SqlOperator
-from ..operators import collective, hierarchy, individual, kernels, privacy, sequence, social, walks
+from ..operators import collective, hierarchy, individual, kernels, motion, privacy, sequence, social, visits, walks
 from .views import VIEWS, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,16 @@ def _kernel(run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, st
     return lambda spark, sf_dir: run(view(spark, sf_dir, "fixes"))
 
 
+def _visits(run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run(view(spark, sf_dir, "visits"))
+
+
+def _neighbours(fixes: DataFrame) -> DataFrame:
+    """Pairs of users with consecutive ids."""
+    ids = fixes.select("uid").distinct()
+    return ids.select(F.col("uid").alias("a"), (F.col("uid") + 1).alias("b"))
+
+
 QUERIES |= {
     "filter_speed": _kernel(lambda f: kernels.filter_speed(f, max_speed_kmh=0.05)),
     "compress": _kernel(lambda f: kernels.compress(f, spatial_radius_km=1.0)),
@@ -45,6 +56,21 @@ QUERIES |= {
     "segment_stop": _kernel(walks.segment_stop),
     "smooth_kalman": _kernel(walks.smooth_kalman),
     "trajectory_predictability": _kernel(walks.trajectory_predictability),
+    "filter_loops": _kernel(lambda f: motion.filter_loops(f, max_speed_kmh=5.0, speed_kmh=0.05)),
+    **{f"interpolate_{m}": _kernel(lambda f, m=m: motion.interpolate(f, m)) for m in ("cubic", "kinematic", "random_walk")},
+    "simplify_chan_chin": _kernel(lambda f: motion.simplify_chan_chin(f, epsilon_km=1.0)),
+    "simplify_imai_iri": _kernel(lambda f: motion.simplify_imai_iri(f, epsilon_km=1.0)),
+    "triplegs": _kernel(motion.triplegs),
+    "cluster": _kernel(motion.cluster),
+    "user_locations": _kernel(motion.user_locations),
+    "shape_signatures": _kernel(motion.shape_signatures),
+    **{f"trajectory_distance_{m}": _kernel(lambda f, m=m: motion.trajectory_distance(f, _neighbours(f), m)) for m in ("dtw", "frechet", "hausdorff", "lcss")},
+    "trajectory_entropy": _visits(visits.trajectory_entropy),
+    "diversity": _visits(visits.diversity),
+    "daily_motifs": _visits(lambda v: visits.daily_motifs(v, home="click")),
+    "motif_distribution": _visits(lambda v: visits.motif_distribution(visits.daily_motifs(v, home="click"))),
+    "intermittency": _visits(visits.intermittency),
+    "exploration_profiles": _visits(visits.exploration_profiles),
     "recast": lambda spark, sf_dir: social.recast(view(spark, sf_dir, "visits")),
     "tours": lambda spark, sf_dir: walks.tours(sequence.trajectory_to_trips(view(spark, sf_dir, "fixes"))),
 }
