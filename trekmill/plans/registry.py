@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.portable import SqlOperator
-from ..operators import collective, hierarchy, individual, kernels, motion, privacy, sequence, social, visits, walks
+from ..operators import collective, fitting, hierarchy, individual, kernels, models, motion, network, privacy, sequence, social, visits, walks
 from .views import VIEWS, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,7 +41,43 @@ def _neighbours(fixes: DataFrame) -> DataFrame:
     return ids.select(F.col("uid").alias("a"), (F.col("uid") + 1).alias("b"))
 
 
+def _gravity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flows = sequence.trajectory_to_od(view(spark, sf_dir, "fixes"))
+    return spark.createDataFrame([models.gravity_fit(flows, view(spark, sf_dir, "places"))])
+
+
+def _agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.epr(view(spark, sf_dir, "places"), dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 15), n_agents=50)
+
+
+def _diaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    diary = models.MarkovDiary.fit(view(spark, sf_dir, "fixes"))
+    return models.ditras(view(spark, sf_dir, "places"), diary, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 15), n_agents=50)
+
+
+def _network(spark: SparkSession, sf_dir: str) -> tuple[network.RoadNetwork, DataFrame]:
+    """A network of the trips between places, and the trips as demand."""
+    od = sequence.trajectory_to_od(view(spark, sf_dir, "fixes")).selectExpr("origin AS source", "destination AS target", "flow")
+    return network.RoadNetwork(od.selectExpr("source", "target", "100.0 * abs(source - target) AS length_m", "double(1 + (source * target) % 7) AS weight")), od
+
+
+def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roads, od = _network(spark, sf_dir)
+    return roads.distances(od)
+
+
+def _desire_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roads, od = _network(spark, sf_dir)
+    return roads.desire_lines(od)
+
+
 QUERIES |= {
+    "gravity_fit": _gravity,
+    "epr": _agents,
+    "ditras": _diaries,
+    "network_distances": _routes,
+    "desire_lines": _desire_lines,
+    "compare_distance_distributions": lambda spark, sf_dir: fitting.compare_distance_distributions(individual.jump_lengths(view(spark, sf_dir, "fixes")), "jump_length"),
     "filter_speed": _kernel(lambda f: kernels.filter_speed(f, max_speed_kmh=0.05)),
     "compress": _kernel(lambda f: kernels.compress(f, spatial_radius_km=1.0)),
     "simplify_min_distance": _kernel(lambda f: kernels.simplify_min_distance(f, min_distance_km=1.0)),
