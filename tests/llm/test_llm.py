@@ -232,3 +232,25 @@ def test_image_copies(spark):
     df = spark.createDataFrame(data, "image_id long, pixels binary, width int, height int")
     got = {r["key"]: r["component_id"] for r in images.copies(df).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 10: 0, 11: 1, 12: 2, 13: 13, 20: 20, 21: 21, 22: 22}
+
+
+def test_image_links_are_those_of_all_pairs(spark):
+    rnd = np.random.default_rng(12)
+    logo = images._box(rnd.integers(0, 256, (8, 8)).repeat(6, 0).repeat(6, 1).astype(float))
+    pictures = []
+    for _ in range(6):
+        base = images._box(rnd.integers(0, 256, (16, 16)).repeat(6, 0).repeat(6, 1).astype(float))
+        base[:48, :48] = logo  # in all of them: one bucket for all its strings
+        pictures += [np.clip(base + rnd.normal(0, s, base.shape), 0, 255).astype(np.uint8) for s in (0, 2, 5, 10, 15, 20, 30, 40) for _ in range(2)]
+    made = [images.describe(x) for x in pictures]
+    want = [[images.consensus(*made[i], *made[j]) >= images.INLIERS for j in range(len(made))] for i in range(len(made))]
+    node = {r["i"]: r["n"] for r in spark.createDataFrame([(i, bytearray(x.tobytes()), *x.shape[::-1]) for i, x in enumerate(pictures)], "i long, p binary, w int, h int").selectExpr("i", "xxhash64(p, w, h) n").collect()}
+    linked = [{node[j] for j in range(len(made)) if node[j] != node[i] and (want[i][j] if node[i] > node[j] else want[j][i])} for i in range(len(made))]
+    least = {n: min(i for i in node if node[i] == n) for n in node.values()}
+    root = [least[node[i]] for i in range(len(made))]
+    while (new := [min([root[i], *(root[least[n]] for n in linked[i])]) for i in range(len(made))]) != root:
+        root = new
+    df = spark.createDataFrame([(i, bytearray(x.tobytes()), *x.shape[::-1]) for i, x in enumerate(pictures)], "image_id long, pixels binary, width int, height int")
+    got = {r["key"]: r for r in images.copies(df).collect()}
+    assert [got[i]["n_links"] for i in range(len(made))] == [len(x) for x in linked]
+    assert [got[i]["component_id"] for i in range(len(made))] == root

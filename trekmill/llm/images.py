@@ -2,11 +2,10 @@
 
 Corners (Harris responses, local maxima at two scales) get an orientation from the
 intensity centroid about them and a string of 128 brightness comparisons turned by it.
-Strings that agree in one of four 32-bit parts meet by joins on those parts; in each
-bucket an image is held against the bucket's least image and those whose whole strings
-come next in order, where copies lie side by side. Two images are copies when enough mutually nearest strings obey one shift, turn and scale.
-Images of equal pixels are one node. CORNERS and the bucket partners are the method's
-own limits: links between two images of a bucket are found through those partners.
+Two images are copies when enough mutually nearest strings obey one shift, turn and scale.
+Every pair of images is tested, block by block, so the time grows with the square of the
+images; a task returns a row a node (its links there and the least node they reach), not
+a row a link. Images of equal pixels are one node. CORNERS is the method's own limit.
 
 Defined cases: images that are null, empty or not width * height bytes have no corners
 and are linked with nothing; flat images likewise, but equal ones are one node; repeated
@@ -16,15 +15,17 @@ rows share a component; an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernels as K
 from .common import arrow_batches, written
 from .graph import components
 
-CORNERS, BITS, PATCH, NEAR_BITS, INLIERS, MARGIN, NEXT = 24, 128, 7, 28, 6, 3.0, 3
+CORNERS, BITS, PATCH, NEAR_BITS, INLIERS, MARGIN = 24, 128, 7, 28, 6, 3.0
+#: Images of a block at most about, and pairs handled at once.
+BLOCK, STRIP = 4096, 512
 _TESTS = np.clip(np.random.default_rng(42).normal(0, 3.2, (BITS, 4)), -PATCH, PATCH)
 
 
@@ -98,6 +99,81 @@ def consensus(p: np.ndarray, s: np.ndarray, q: np.ndarray, t: np.ndarray) -> int
     return int((miss <= MARGIN).sum(1).max())
 
 
+def stacked(codes: list[np.ndarray], places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings as 2 numbers (2, CORNERS, n), places (2, CORNERS, n) and what is missing (CORNERS, n; 255 where it is)."""
+    word, place = np.zeros((2, CORNERS, len(codes)), np.uint64), np.zeros((2, CORNERS, len(codes)), np.float32)
+    gone = np.full((CORNERS, len(codes)), 255, np.uint8)
+    for i, (c, p) in enumerate(zip(codes, places, strict=True)):
+        word[:, : len(c), i], place[:, : len(c), i], gone[: len(c), i] = c.view(np.uint64).T, p.T, 0
+    return word, place, gone
+
+
+def mutual(strings: np.ndarray, word: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each string of one image and each image of word: the mutually nearest string, and whether there is one within NEAR_BITS."""
+    n = word.shape[2]
+    to, back = np.zeros((len(strings), n), np.uint16), np.full((CORNERS, n), 65535, np.uint16)
+    j = np.arange(CORNERS, dtype=np.uint16)[:, None]
+    for i, (s, t) in enumerate(strings):
+        far = np.bitwise_count(word[0] ^ s)
+        far += np.bitwise_count(word[1] ^ t)
+        far |= gone
+        far = far.astype(np.uint16)
+        far <<= 5
+        to[i] = (far | j).min(0)
+        np.minimum(back, far | np.uint16(i), out=back)
+    best = to & 31
+    return best, (np.take_along_axis(back, best.astype(np.int64), 0) & 31 == np.arange(len(strings))[:, None]) & (to >> 5 <= NEAR_BITS)
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether INLIERS of the matches a, b (2, matches, pairs) can obey one shift, turn and scale; MARGIN and bounds are a little wider than in consensus()."""
+    found, live = np.zeros(a.shape[2], bool), np.arange(a.shape[2])
+    for m in range(a.shape[1]):
+        # All places as seen from match m.
+        (x, y), (u, v) = a - a[:, m : m + 1], b - b[:, m : m + 1]
+        for n in range(m + 1, a.shape[1]):
+            square = x[n] ** 2 + y[n] ** 2
+            per = 1 / np.maximum(square, 1)
+            c, s = (u[n] * x[n] + v[n] * y[n]) * per, (v[n] * x[n] - u[n] * y[n]) * per
+            size = c * c + s * s
+            miss = (c * x - s * y - u) ** 2 + (s * x + c * y - v) ** 2
+            good = ((miss <= (MARGIN + 0.01) ** 2).sum(0) >= INLIERS) & (square > 15.9) & (size > 0.089) & (size < 10.9)
+            found[live[good]] = True
+        keep = ~found[live]
+        live, a, b = live[keep], a[:, :, keep], b[:, :, keep]
+    return found
+
+
+def links(one: tuple[list, list], other: tuple[list, list], same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of images (codes, places) whose consensus reaches INLIERS; with same, of the pairs whose second comes before the first."""
+    word, place, gone = stacked(*other)
+    hits: list[tuple[int, int]] = []
+    wait: dict[int, list] = {}
+
+    def settle(k: int) -> None:
+        x, y, a, b = (np.concatenate(v, axis=-1) for v in zip(*wait.pop(k), strict=True))
+        for i, j in zip(x[ok := agreeing(a, b)].tolist(), y[ok].tolist(), strict=True):
+            if consensus(one[1][i], one[0][i], other[1][j], other[0][j]) >= INLIERS:
+                hits.append((i, j))
+
+    for i, (code, at) in enumerate(zip(*one, strict=True)):
+        for lo in range(0, i if same else len(other[0]), STRIP):
+            hi = min(lo + STRIP, i if same else len(other[0]))
+            best, ok = mutual(code.view(np.uint64), word[:, :, lo:hi], gone[:, lo:hi])
+            count = ok.sum(0)
+            for k in np.unique(count[count >= INLIERS]).tolist():
+                y = np.flatnonzero(count == k)
+                row = np.argsort(~ok[:, y], axis=0, kind="stable")[:k]
+                to = best[row, y].astype(np.int64)
+                wait.setdefault(k, []).append((np.full(len(y), i), y + lo, at.T[:, row], place[:, to, y + lo]))
+                if sum(len(w[0]) for w in wait[k]) >= STRIP:
+                    settle(k)
+    for k in list(wait):
+        settle(k)
+    got = np.array(hits, np.int64).reshape(-1, 2)
+    return got[:, 0], got[:, 1]
+
+
 def copies(images: DataFrame, key: str = "image_id", pixels: str = "pixels", width: str = "width", height: str = "height") -> DataFrame:
     """key, component_id (least key reachable through copies), n_links and n_corners, one row an image."""
     spark = images.sparkSession
@@ -119,42 +195,34 @@ def copies(images: DataFrame, key: str = "image_id", pixels: str = "pixels", wid
     base = written(rows.mapInArrow(run, "key bigint, node bigint, n_corners int, places binary, codes binary"), "corners")
     nodes = base.where("node is not null and n_corners > 0").groupBy("node").agg(F.any_value("places").alias("places"), F.any_value("codes").alias("codes"))
 
-    def parts(batches):
-        for batch in batches:
-            raw, off = K.string_bytes(_column(batch, "codes"))
-            code = np.frombuffer(raw.tobytes(), "<u4").reshape(-1, BITS // 32)
-            node = np.repeat(_column(batch, "node").to_numpy(), np.diff(off) // (BITS // 8))
-            bucket = (code.astype(np.int64) * 4 + np.arange(BITS // 32)).ravel()
-            # The rest of a string, from its bucket's part on, as two numbers to sort by.
-            turned = np.stack([np.roll(code, -k, axis=1) for k in range(1, BITS // 32 + 1)], axis=1).astype(np.int64)
-            far, near = turned[..., 0] << 31 | turned[..., 1] >> 1, turned[..., 2]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.repeat(node, BITS // 32)), pa.array(far.ravel()), pa.array(near.ravel())], names=["bucket", "node", "rest", "last"])
-
-    tables = nodes.select("node", "codes").mapInArrow(parts, "bucket bigint, node bigint, rest bigint, last bigint").groupBy("bucket", "node").agg(F.min(F.struct("rest", "last")).alias("rest"))
-    shared = tables.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
-    met = written(tables.join(shared, "bucket"), "image-buckets")
-    order = Window.partitionBy("bucket").orderBy("rest", "node")
-    beside = met.withColumn("beside", F.array("least", *[F.lag("node", i).over(order) for i in range(1, NEXT + 1)]))
-    beside = beside.select("bucket", "node", F.explode("beside").alias("b")).where("b is not null and b != node")
-    pairs = beside.select("bucket", F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
-    # An agreement in one string is chance; copies agree in several.
-    pairs = pairs.groupBy("a", "b").agg(F.count_distinct("bucket").alias("votes")).where("votes > 2").select("a", "b")
-
-    def verify(batches):
-        for batch in batches:
-            keep = []
-            for i, (p, s, q, t) in enumerate(zip(*(_column(batch, c).to_pylist() for c in ("pa", "ca", "pb", "cb")), strict=True)):
-                p, q = (np.frombuffer(x, np.float32).reshape(-1, 2) for x in (p, q))
-                s, t = (np.frombuffer(x, np.uint8).reshape(-1, BITS // 8) for x in (s, t))
-                if consensus(p, s, q, t) >= INLIERS:
-                    keep.append(i)
-            take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([_column(batch, "a").take(take), _column(batch, "b").take(take)], names=["a", "b"])
-
-    full = pairs.join(nodes.withColumnsRenamed({"node": "a", "places": "pa", "codes": "ca"}), "a").join(nodes.withColumnsRenamed({"node": "b", "places": "pb", "codes": "cb"}), "b")
-    links = written(full.mapInArrow(verify, "a bigint, b bigint"), "image-links")
-    root = components(links)
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    n = nodes.count()
+    blocks = max(-(-n // BLOCK), min(16, -(-n // 64)), 1)
+    # Equal ranges of node, which is a hash: every pair of blocks is one task of bounded size.
+    placed = nodes.withColumn("block", F.least(F.floor((F.col("node") / F.lit(2.0**64) + 0.5) * blocks), F.lit(blocks - 1)).cast("int"))
+    placed = written(placed, "image-blocks")
+    high = placed.withColumn("other", F.explode(F.sequence(F.lit(0), "block")))
+    low = placed.withColumnRenamed("block", "other").withColumn("block", F.explode(F.sequence("other", F.lit(blocks - 1))))
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+        a, b = a.sort_values("node"), b.sort_values("node")
+        sets = [([np.frombuffer(c, np.uint8).reshape(-1, BITS // 8) for c in x["codes"]], [np.frombuffer(p, np.float32).reshape(-1, 2) for p in x["places"]]) for x in (a, b)]
+        i, j = links(*sets, bool(a["block"].iat[0] == b["other"].iat[0]))
+        ends = np.concatenate([a["node"].to_numpy()[i], b["node"].to_numpy()[j]])
+        node, at, degree = np.unique(ends, return_inverse=True, return_counts=True)
+        u, v = at[: len(i)], at[len(i) :]
+        root = np.arange(len(node))
+        while (root[u] != root[v]).any():
+            least = np.minimum(root[u], root[v])
+            np.minimum.at(root, u, least)
+            np.minimum.at(root, v, least)
+        return pd.DataFrame({"a": node, "b": node[root], "n": degree})
+
+    # A row a node and task, not a link: its links there, and the least node they reach.
+    met = written(high.groupBy("block", "other").cogroup(low.groupBy("block", "other")).applyInPandas(compare, "a bigint, b bigint, n bigint"), "image-links")
+    root = components(met)
+    degree = met.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     least = base.where("node is not null").groupBy("node").agg(F.min("key").alias("least")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     got = base.select("key", "node", "n_corners").join(named, "node", "left").join(degree, "node", "left")
