@@ -254,3 +254,17 @@ def test_image_links_are_those_of_all_pairs(spark):
     got = {r["key"]: r for r in images.copies(df).collect()}
     assert [got[i]["n_links"] for i in range(len(made))] == [len(x) for x in linked]
     assert [got[i]["component_id"] for i in range(len(made))] == root
+
+
+@pytest.mark.parametrize(("noise", "least"), [(5, 20), (35, 20), (60, 15)])
+def test_image_recall_on_rising_edits(spark, noise, least):
+    """Each of 20 pictures has one noisy copy; all that consensus() accepts are found."""
+    rnd = np.random.default_rng(13)
+    base = [images._box(rnd.integers(0, 256, (14, 14)).repeat(6, 0).repeat(6, 1).astype(float)) for _ in range(20)]
+    edited = [np.clip(b + rnd.normal(0, noise, b.shape), 0, 255).astype(np.uint8) for b in base]
+    base = [b.astype(np.uint8) for b in base]
+    both = [max(images.consensus(*images.describe(a), *images.describe(b)), images.consensus(*images.describe(b), *images.describe(a))) >= images.INLIERS for a, b in zip(base, edited, strict=True)]
+    df = spark.createDataFrame([(i + k, bytearray(x.tobytes()), *x.shape[::-1]) for k, xs in ((0, base), (100, edited)) for i, x in enumerate(xs)], "image_id long, pixels binary, width int, height int")
+    got = {r["key"]: r["component_id"] for r in images.copies(df).collect()}
+    found = [got[i] == got[i + 100] for i in range(20)]
+    assert sum(both) >= least and all(f for f, b in zip(found, both, strict=True) if b)
