@@ -219,6 +219,19 @@ def test_neighbours(spark):
     assert hit >= 0.95 * total and not set(got.query_id) & {900, 920, 940, 960}
 
 
+def test_neighbours_of_tight_groups_in_shards(spark):
+    rnd = np.random.default_rng(14)
+    x = (rnd.standard_normal((50, 16))[:, None] + 0.02 * rnd.standard_normal((50, 100, 16))).reshape(-1, 16)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, every=50, shard=2500).toPandas()  # 2 shards
+    hit = 0
+    for q in range(0, len(x), 50):
+        s = x @ x[q]
+        want = sorted((i for i in range(len(x)) if i != q), key=lambda i: (-s[i], i))[:20]
+        hit += len(set(want) & set(got[got.query_id == q].vec_id))
+    assert hit >= 0.95 * 20 * len(range(0, len(x), 50)), hit
+
+
 def test_image_copies(spark):
     rnd = np.random.default_rng(11)
 

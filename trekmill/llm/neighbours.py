@@ -6,8 +6,10 @@ there. Equal vectors are one node. Nodes are dealt to shards of bounded size; wi
 a shard a neighbour graph starts from exact neighbours in random-hyperplane blocks and
 is improved by NN-descent: joins bring the neighbours of every node together, and
 whichever of them are nearer to one another than their present neighbours become
-candidates. A query walks the graph greedily from its own node (or entry points) with
-a pool of the best nodes seen, in every shard, and the best of all shards are ranked.
+candidates. A query walks the graph greedily with a pool of the best nodes seen, in
+every shard, and the best of all shards are ranked. It starts from its own node and the
+nearest of a layer of entry points, every LAYER-th node and one of each part of the graph,
+so that groups without links between them are reached.
 
 A shard's graph and a block of queries meet in one task; both have a fixed bound.
 Query blocks times shards is the cost of searching without a routing layer.
@@ -31,7 +33,7 @@ from . import kernels as K
 from .common import arrow_batches, written
 
 SHARD, QUERY_BLOCK, BLOCK, TABLES = 60_000, 512, 1500, 4
-NEIGHBOURS, JOINED, OFFERED, ROUNDS, POOL = 32, 48, 3, 2, 320
+NEIGHBOURS, JOINED, OFFERED, ROUNDS, POOL, LAYER = 32, 48, 3, 2, 320, 4
 SCHEMA = "query_id bigint, rank int, vec_id bigint, score double"
 
 
@@ -132,6 +134,21 @@ def graph(nodes: DataFrame, width: int, seed: int = 7) -> DataFrame:
     return edges
 
 
+def entries(near: np.ndarray) -> np.ndarray:
+    """Places from which walks may start: every LAYER-th node and one node of each part of the graph."""
+    n = len(near)
+    v, j = np.nonzero(near >= 0)
+    u = near[v, j]
+    part = np.arange(n)
+    while (part[v] != part[u]).any():
+        least = np.minimum(part[v], part[u])
+        np.minimum.at(part, part[v], least)
+        np.minimum.at(part, part[u], least)
+        while (part != part[part]).any():
+            part = part[part]
+    return np.union1d(np.arange(0, n, LAYER), part)
+
+
 def walk(x: np.ndarray, near: np.ndarray, q: np.ndarray, entry: np.ndarray, pool: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Greedy search of the graph near (rows of neighbour places, -1 for none) for the k best x by inner product with q."""
     seen = np.zeros(len(x) + 1, bool)
@@ -212,11 +229,14 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
             if u is not None and len(u):
                 near[i, : len(u)] = np.searchsorted(node, u)
         out = []
-        spread = np.arange(0, len(node), max(1, len(node) // 24))
+        layer = entries(near)
+        first = x[layer]
         for query, own, vec in zip(asked["query"], asked["node"], asked["vec"], strict=True):
             v = np.asarray(vec, np.float64)
             place = np.searchsorted(node, own)
-            entry = np.append(spread, place) if place < len(node) and node[place] == own else spread
+            entry = layer[_best((first @ np.append(v, 0).astype(np.float32))[None], max(1, pool // 2))[0][0]]
+            if place < len(node) and node[place] == own:
+                entry = np.append(entry, place)
             at, _ = walk(x, near, np.append(v, 0).astype(np.float32), entry, pool, 2 * want)
             exact = x[at, :width].astype(np.float64) @ v
             out.append(pd.DataFrame({"query": query, "node": node[at], "score": exact}))
