@@ -22,7 +22,10 @@ def _columns(docs: DataFrame, like: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    got = langid.identify(docs, langid.fit(docs))
+    model = langid.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    got = langid.identify(docs, model)
     return got.where("lang_pred != 'und'").select(docs.columns)
 
 

@@ -129,3 +129,8 @@ def test_stages_match_brute_force(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_letters_pass_where_no_row_has_a_language(spark):
+    docs = spark.createDataFrame([(1, "a cat sat here", None), (2, "12 !!", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()] == [1]
