@@ -168,7 +168,24 @@ def test_tokens_by_pieces(name, monkeypatch):
     mine = tokens.PieceEncoder(public_tokenizers.path(name))
     texts = ["", " ", "a  b", "it's <|endoftext|> x", "x" * 200] + ["".join(rnd.choice("ab é\n\t  '.1\xa0") for _ in range(rnd.randint(0, 200))) for _ in range(200)]
     for t in texts:
-        assert mine.encode(t).tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+        assert np.frombuffer(mine.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_tokens_of_many_texts_while_pieces_are_forgotten(name, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "KEPT", 300)
+    monkeypatch.setattr(tokens, "TOGETHER", 2000)
+    rnd = random.Random(17)
+    parts = ["cat", "Dog.", "x,y", "don't", "it's", "\u00c9t\u00e9", "\u0130z", "a\nb", "\n", "", " ", "\x1c", "\x85q", "\u0915\u093c", "\u0958", "\u65e5\u672c", "12", "&&&", "e\u0301", "\U0001f642", "_", "\u00a0"]
+    texts = [" ".join(rnd.choice(parts) + rnd.choice(["", "", "ab", ",", str(rnd.randint(0, 999))]) for _ in range(rnd.randint(0, 60))) for _ in range(400)] + [None]
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    whole.encode_special_tokens = True
+    got = list(tokens.PieceEncoder(public_tokenizers.path(name)).encode_all(texts))
+    assert len(got) == len(texts) and got[-1] == b""
+    for t, g in zip(texts, got, strict=True):
+        assert np.frombuffer(g, "<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
 def test_best_fit():
@@ -177,6 +194,21 @@ def test_best_fit():
     assert packing.BestFit(10, 1).add(10) == (0, 0)
 
 
+def test_bounded_stream():
+    """A few open bins bind, whole pieces stay, and little is lost against the least possible."""
+    lengths = np.random.default_rng(18).integers(1, 2048, 12_000)
+    got, fit = packing.stream(lengths)
+    assert fit.closed > 100 and fit.open <= packing.OPEN_BINS
+    fill = np.bincount(got[:, 0], lengths)
+    assert fill.max() <= 2048 and len(fill) == fit.made <= 1.02 * lengths.sum() / 2048
+    order = np.lexsort((got[:, 1], got[:, 0]))
+    ends = np.cumsum(lengths[order])
+    first = np.r_[True, np.diff(got[order, 0]) > 0]
+    assert (got[order, 1] == ends - lengths[order] - np.maximum.accumulate(np.where(first, ends - lengths[order], 0))).all()
+    plain, online = packing.stream(lengths, bins=8, ahead=1)
+    assert online.closed > 0 and online.made > fit.made and len(plain) == len(lengths)
+
+
 def test_packing(spark):
     rnd = random.Random(8)
     docs = spark.createDataFrame([(i, " ".join(["cat"] * rnd.randint(0, 60)) if i % 9 else None) for i in range(200)], "doc_id long, text string")
@@ -192,7 +224,9 @@ def test_elias_fano():
     for n, u in ((1, 5), (1000, 100_000), (700, 700), (300, 10**7)):
         v = np.sort(rnd.integers(0, u, n))
         ef = token_file.EliasFano.build(v, u)
-        assert [ef.select(i) for i in range(n)] == v.tolist() == ef.all().tolist()
+        assert [ef.select(i) for i in range(n)] == v.tolist() == ef.part(0, n).tolist()
+        for i, j in ((0, 1), (n // 3, n // 2), (n - 1, n), (n // 2, n // 2), (min(n - 1, 256), n)):
+            assert ef.part(i, j).tolist() == v[i:j].tolist()
 
 
 def test_token_file(spark):
