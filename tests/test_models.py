@@ -86,7 +86,7 @@ def test_frames_and_catalogue(spark):
     assert traj.jump_lengths().count() == 1 and traj.filter_speed(max_speed_kmh=50.0).radius_of_gyration().first()["radius_of_gyration"] == 0.0
     assert "radius_of_gyration" in dir(traj) and traj.triplegs(minutes_for_a_stop=500.0).predict_transport_mode().first()["mode"] == "fast_mobility"
     flows = FlowDataFrame(spark.createDataFrame([(1, 2, 3.0)], "origin int, destination int, flow double"))
-    assert flows.get_flow().first()["flow"] == 3.0 and flows.common_part_of_commuters(flows).first()["cpc"] == 1.0
+    assert flows.get_flow(origin=1, destination=2).first()["flow"] == 3.0 and flows.common_part_of_commuters(flows).first()["cpc"] == 1.0
     with pytest.raises(AttributeError):
         flows.nothing
     assert "geolife" in datasets.list_datasets(["trajectory"]) and datasets.get_dataset_info("geolife")["kind"] == "trajectory"

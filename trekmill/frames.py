@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from .functions.columns import canonical
-from .operators import collective, hierarchy, individual, kernels, motion, privacy, sequence, visits, walks
+from .operators import collective, hierarchy, individual, kernels, motion, near, privacy, sequence, visits, walks
 
 
 class Frame:
@@ -79,9 +79,9 @@ class TrajDataFrame(Frame):
     METHODS = (
         _of(individual, "jump_lengths", "waiting_times", "distance_straight_line", "maximum_distance", "radius_of_gyration", "k_radius_of_gyration", "number_of_visits", "number_of_locations", "home_location", "work_location", "max_distance_from_home", "location_frequency", "frequency_rank", "recency_rank", "random_entropy", "uncorrelated_entropy", "individual_mobility_network")
         | _of(collective, "homes_per_location", "random_location_entropy", "uncorrelated_location_entropy", "mean_square_displacement", "visits_per_time_unit", "bounding_box")
-        | _of(sequence, "filter_greedy", "filter_zheng", "segment_observation_gap", "segment_value_change", "segment_temporal", "trajectory_to_od", "trajectory_to_trips", "join_with_pois", "join_with_pois_by_category", "join_with_events")
+        | _of(sequence, "filter_greedy", "filter_zheng", "segment_observation_gap", "segment_value_change", "segment_temporal", "trajectory_to_od", "trajectory_to_trips", "join_with_events")
         | _of(hierarchy, "timezone_conversion", "sort_by_uid_and_datetime", "to_flowdataframe", "global_locations", "interpolate_at")
-        | {"mapping": hierarchy.mapping_points}
+        | _of(near, "join_with_pois", "join_with_pois_by_category", "mapping_points", "mapping_polygons", "snap_locations") | {"mapping": near.mapping_points}
         | _of(kernels, "filter_speed", "compress", "simplify_min_distance", "simplify_min_time")
         | _of(walks, "filter_hampel", "filter_smart_greedy", "simplify_douglas_peucker", "simplify_top_down_time_ratio", "simplify_max_distance", "stay_locations", "segment_angle_change", "segment_speed", "segment_stop", "smooth_kalman", "trajectory_predictability")
         | _of(motion, "filter_loops", "interpolate", "simplify_chan_chin", "simplify_imai_iri", "triplegs", "cluster", "user_locations", "trajectory_distance", "shape_signatures")

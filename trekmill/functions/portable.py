@@ -25,9 +25,11 @@ MARKS = {
     "SERIES": ("LATERAL VIEW explode(sequence({1}, {2})) t_{0} AS {0}", "CROSS JOIN LATERAL (SELECT unnest(range({1}, {2} + 1)) AS {0})"),
     "HAVERSINE": tuple(["(2 * 6371.0088e0 * asin(sqrt(least(1e0 + 0 * ({0} + {1} + {2} + {3}), pow(sin(radians(({2}) - ({0})) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians(({3}) - ({1})) / 2), 2)))))"] * 2),
     "VALID": tuple(["({0} IS NOT NULL AND {1} IS NOT NULL AND NOT isnan({0}) AND NOT isnan({1}) AND abs({0}) <= 90 AND abs({1}) <= 180)"] * 2),
+    "SORTED": ("array_join(transform(sort_array(collect_list({0})), e -> CAST(e AS STRING)), ',')", "array_to_string(list_sort(list({0})), ',')"),
     "LONG": tuple(["CAST({0} AS BIGINT)"] * 2),
     "MINUTES": ("(timestampdiff(MICROSECOND, {0}, {1}) / 60000000e0)", "((epoch_us({1}) - epoch_us({0})) / 60000000e0)"),
     "PLUS_MINUTES": ("({0} + make_dt_interval(0, 0, {1}))", "({0} + to_minutes({1}))"),
+    "PLUS_US": ("timestampadd(MICROSECOND, {1}, {0})", "({0} + to_microseconds({1}))"),
     "BEARING": tuple(["(degrees(atan2(sin(radians(({3}) - ({1}))) * cos(radians({2})), cos(radians({0})) * sin(radians({2})) - sin(radians({0})) * cos(radians({2})) * cos(radians(({3}) - ({1}))))))"] * 2),
 }
 
@@ -62,13 +64,14 @@ class SqlOperator:
     def __init__(self, name: str, doc: str, text: str, **defaults: object):
         self.__name__, self.__doc__, self.text, self.defaults = name, doc, text, defaults
         self.inputs = list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
+        self.parameters = set(re.findall(r"<(\w+)>", text))
 
     def _text(self, given: dict) -> str:
-        unknown = set(given) - set(self.defaults)
-        if unknown:
-            raise TypeError(f"{self.__name__} has no parameter {sorted(unknown)}")
         values = self.defaults | given
-        return re.sub(r"<(\w+)>", lambda m: str(values[m[1]]) if m[1] in values else m[0], self.text)
+        unknown, missing = set(values) - self.parameters, self.parameters - set(values)
+        if unknown or missing:
+            raise TypeError(f"{self.__name__} has no parameter {sorted(unknown)}" if unknown else f"{self.__name__} needs {sorted(missing)}")
+        return re.sub(r"<(\w+)>", lambda m: str(values[m[1]]), self.text)
 
     def __call__(self, *frames: DataFrame, prepare: Callable[[DataFrame, str], DataFrame] | None = None, **given) -> DataFrame:
         if len(frames) != len(self.inputs):

@@ -16,7 +16,7 @@ modal_split_per_user = Op("modal_split_per_user", "The same by user over all tim
 trips = Op(
     "trips",
     "Triplegs between two activities as one trip: the last activity at or before is its origin, the next one its destination.",
-    """SELECT uid, idx AS trip, min(started_at) AS started_at, max(finished_at) AS finished_at, count(*) AS n_triplegs, min(origin) AS origin, min(destination) AS destination FROM (
+    """SELECT uid, idx AS trip, min(started_at) AS started_at, max(finished_at) AS finished_at, count(*) AS n_triplegs, SORTED(id) AS tripleg_ids, min(origin) AS origin, min(destination) AS destination FROM (
       SELECT *, LAST_KNOWN(act) OVER (PARTITION BY uid ORDER BY started_at, kind, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS origin,
         NEXT_KNOWN(act) OVER (PARTITION BY uid ORDER BY started_at, kind, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS destination,
         LONG(sum(CASE WHEN act IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY started_at, kind, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS idx FROM (
@@ -30,11 +30,7 @@ global_locations = Op("global_locations", "Cells of a square grid that hold fixe
 timezone_conversion = Op("timezone_conversion", "Local times of one zone as those of another.", "SELECT event_id, ZONE('<source>', '<target>', datetime) AS datetime FROM {fixes}", source="Asia/Shanghai", target="Europe/Rome")
 sort_by_uid_and_datetime = Op("sort_by_uid_and_datetime", "Each fix with its place in its user's order of time.", "SELECT uid, event_id, LONG(row_number() OVER (PARTITION BY uid ORDER BY datetime, event_id)) AS position FROM {fixes}")
 flow_matrix = Op("flow_matrix", "The whole origin by destination matrix in long form, 0 where no flow is.", "SELECT o.a AS origin, d.b AS destination, coalesce(f.flow, 0e0) AS flow FROM (SELECT DISTINCT origin AS a FROM {flows}) o CROSS JOIN (SELECT DISTINCT destination AS b FROM {flows}) d LEFT JOIN (SELECT origin, destination, sum(flow) AS flow FROM {flows} GROUP BY origin, destination) f ON f.origin = o.a AND f.destination = d.b")
-to_flowdataframe = Op("to_flowdataframe", "Moves between the grid cells of consecutive fixes, self loops included.", f"SELECT ocell, dcell, count(*) AS flow FROM (SELECT cell AS ocell, lead(cell) OVER (PARTITION BY uid ORDER BY datetime, event_id) AS dcell FROM (SELECT *, LONG(floor((lat + 90) / <degrees>)) * 100000 + LONG(floor((lng + 180) / <degrees>)) AS cell FROM ({_V}) v) c) m WHERE dcell IS NOT NULL GROUP BY ocell, dcell", degrees="0.013e0")
-_NEAR = f"SELECT lat, lng, id, d FROM (SELECT c.lat, c.lng, p.id, <distance> AS d, row_number() OVER (PARTITION BY c.lat, c.lng ORDER BY round(<distance>, 9), p.id) AS r FROM (SELECT DISTINCT lat, lng FROM ({_V}) v) c CROSS JOIN {{pois}} p) n WHERE r = 1"
-_KM = "HAVERSINE(c.lat, c.lng, p.lat, p.lng)"
-mapping_points = Op("mapping_points", "Nearest point of a point tessellation by squared degrees; join back on the coordinate.", "SELECT lat, lng, id AS tile_id FROM (" + _NEAR.replace("<distance>", "(pow(c.lat - p.lat, 2) + pow(c.lng - p.lng, 2))") + ") m")
-snap_locations = Op("snap_locations", "Nearest node within max_distance_m of each coordinate, else -1.", "SELECT lat, lng, CASE WHEN d * 1000 <= <max_distance_m> THEN id ELSE -1 END AS node FROM (" + _NEAR.replace("<distance>", _KM) + ") m", max_distance_m="750e0")
+to_flowdataframe = Op("to_flowdataframe", "Moves between the grid cells of consecutive fixes, self loops included.", f"SELECT origin_row, origin_column, destination_row, destination_column, count(*) AS flow FROM (SELECT y AS origin_row, x AS origin_column, lead(y) OVER w AS destination_row, lead(x) OVER w AS destination_column FROM (SELECT *, LONG(floor((lat + 90) / <degrees>)) AS y, LONG(floor((lng + 180) / <degrees>)) AS x FROM ({_V}) v) c WINDOW w AS (PARTITION BY uid ORDER BY datetime, event_id)) m WHERE destination_row IS NOT NULL GROUP BY origin_row, origin_column, destination_row, destination_column", degrees="0.013e0")
 interpolate_at = Op(
     "interpolate_at",
     "Every user's position at every given time, on the straight line between the fixes around it; not valid, and null, outside the user's span.",
@@ -49,12 +45,12 @@ interpolate_at = Op(
 squared_tessellation = Op(
     "squared_tessellation",
     "Squares of side metres (Web Mercator) over the bounding box of the fixes, with their centres.",
-    f"""SELECT i * 100000 + j AS tile_id, round(degrees(2 * atan(exp((y0 + (i + 0.5e0) * <metres>) / 6378137e0)) - 1.5707963267948966e0), 6) AS lat, round(degrees((x0 + (j + 0.5e0) * <metres>) / 6378137e0), 6) AS lng FROM (
+    f"""SELECT i * (nx + 1) + j AS tile_id, i AS tile_row, j AS tile_column, round(degrees(2 * atan(exp((y0 + (i + 0.5e0) * <metres>) / 6378137e0)) - 1.5707963267948966e0), 6) AS lat, round(degrees((x0 + (j + 0.5e0) * <metres>) / 6378137e0), 6) AS lng FROM (
       SELECT * FROM (SELECT x0, y0, LONG(0) AS z, LONG(floor((x1 - x0) / <metres>)) AS nx, LONG(floor((y1 - y0) / <metres>)) AS ny FROM (
         SELECT 6378137e0 * radians(min(lng)) AS x0, 6378137e0 * radians(max(lng)) AS x1, 6378137e0 * ln(tan(0.7853981633974483e0 + radians(min(lat)) / 2)) AS y0, 6378137e0 * ln(tan(0.7853981633974483e0 + radians(max(lat)) / 2)) AS y1 FROM ({_V}) v) b) n SERIES(i, z, ny)) r SERIES(j, z, nx)""",
     metres="1500e0",
 )
-voronoi_tessellation = Op("voronoi_tessellation", "Points numbered from 0 as tiles.", "SELECT id, LONG(row_number() OVER (ORDER BY id) - 1) AS tile_id, lat, lng FROM {pois}")
+voronoi_tessellation = Op("voronoi_tessellation", "Points numbered from 0 as tiles, in the order of a two-level count: points of a block of ids, then blocks.", "WITH b AS (SELECT LONG(floor(id / <block>)) AS k, count(*) AS n FROM {pois} GROUP BY LONG(floor(id / <block>))), o AS (SELECT k, coalesce(sum(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b) SELECT p.id, LONG(o.before + row_number() OVER (PARTITION BY o.k ORDER BY p.id) - 1) AS tile_id, p.lat, p.lng FROM {pois} p JOIN o ON LONG(floor(p.id / <block>)) = o.k", block="4096e0")
 stvd = Op(
     "stvd",
     "Mean volume of each place and ten minutes of the day, as mean_area_volume, with the place's centre.",

@@ -12,14 +12,20 @@ jump_lengths = Op("jump_lengths", "km between consecutive valid fixes of a user,
 waiting_times = Op("waiting_times", "Seconds between consecutive fixes of a user.", f"SELECT uid, event_id, round((EPOCH_US(datetime) - EPOCH_US(pt)) / 1000000e0, 6) AS waiting_time FROM ({_STEP}) s WHERE pt IS NOT NULL")
 distance_straight_line = Op("distance_straight_line", "Sum of a user's jumps in km; 0 for one fix.", f"SELECT uid, round(coalesce(sum(HAVERSINE(plat, plng, lat, lng)), 0e0), 5) AS distance_straight_line FROM ({_STEP}) s GROUP BY uid")
 maximum_distance = Op("maximum_distance", "A user's longest jump in km; 0 for one fix.", f"SELECT uid, round(coalesce(max(HAVERSINE(plat, plng, lat, lng)), 0e0), 6) AS maximum_distance FROM ({_STEP}) s GROUP BY uid")
-radius_of_gyration = Op("radius_of_gyration", "Root mean squared distance to the mean of degrees, km.", f"SELECT uid, round(sqrt(avg(pow(HAVERSINE(clat, clng, lat, lng), 2))), 6) AS radius_of_gyration FROM (SELECT *, avg(lat) OVER (PARTITION BY uid) AS clat, avg(lng) OVER (PARTITION BY uid) AS clng FROM ({_V}) v) c GROUP BY uid")
+_POSITION = f"SELECT *, row_number() OVER (PARTITION BY uid ORDER BY datetime, event_id) AS pos FROM ({_V}) v"
+radius_of_gyration = Op(
+    "radius_of_gyration",
+    "Root mean squared distance to the mean of degrees, km. Fixes are counted by coordinate first, so no task holds all of a user's.",
+    f"""SELECT k.uid, round(sqrt(sum(n * pow(HAVERSINE(clat, clng, lat, lng), 2)) / sum(n)), 6) AS radius_of_gyration FROM ({_COUNT}) k
+      JOIN (SELECT uid, sum(n * lat) / sum(n) AS clat, sum(n * lng) / sum(n) AS clng FROM ({_COUNT}) k2 GROUP BY uid) c ON k.uid IS NOT DISTINCT FROM c.uid GROUP BY k.uid""",
+)
 k_radius_of_gyration = Op(
     "k_radius_of_gyration",
     "Radius of gyration over the k most visited coordinates (ties: earliest first visit).",
     f"""SELECT uid, round(sqrt(sum(n * pow(HAVERSINE(clat, clng, lat, lng), 2)) / sum(n)), 6) AS k_radius_of_gyration FROM (
       SELECT *, sum(n * lat) OVER p / sum(n) OVER p AS clat, sum(n * lng) OVER p / sum(n) OVER p AS clng FROM (
-        SELECT *, row_number() OVER (PARTITION BY uid ORDER BY n DESC, first_at, first_id) AS r FROM (
-          SELECT uid, lat, lng, count(*) AS n, min(datetime) AS first_at, min(event_id) AS first_id FROM ({_V}) v GROUP BY uid, lat, lng) a) b
+        SELECT *, row_number() OVER (PARTITION BY uid ORDER BY n DESC, first_pos) AS r FROM (
+          SELECT uid, lat, lng, count(*) AS n, min(pos) AS first_pos FROM ({_POSITION}) f GROUP BY uid, lat, lng) a) b
       WHERE r <= <k> WINDOW p AS (PARTITION BY uid)) c GROUP BY uid""",
     k=2,
 )
@@ -41,7 +47,7 @@ max_distance_from_home = Op("max_distance_from_home", "Largest distance to the h
 location_frequency = Op("location_frequency", "Share of a user's visits at each coordinate, and its rank (count, lat, lng).", f"SELECT uid, lat, lng, round(n / CAST(sum(n) OVER (PARTITION BY uid) AS DOUBLE), 6) AS location_frequency, LONG(row_number() OVER (PARTITION BY uid ORDER BY n DESC, lat, lng)) AS position FROM ({_COUNT}) c")
 location_frequency_ranks = Op("location_frequency_ranks", "Mean share at each rank over the users that have it.", f"SELECT position, round(avg(share), 6) AS location_frequency FROM (SELECT n / CAST(sum(n) OVER (PARTITION BY uid) AS DOUBLE) AS share, LONG(row_number() OVER (PARTITION BY uid ORDER BY n DESC, lat, lng)) AS position FROM ({_COUNT}) c) r GROUP BY position")
 frequency_rank = Op("frequency_rank", "Rank of each of a user's coordinates by visits.", f"SELECT uid, lat, lng, LONG(row_number() OVER (PARTITION BY uid ORDER BY n DESC, lat, lng)) AS frequency_rank FROM ({_COUNT}) c")
-recency_rank = Op("recency_rank", "Rank of each of a user's coordinates by last visit, newest first.", f"SELECT uid, lat, lng, LONG(row_number() OVER (PARTITION BY uid ORDER BY last_at DESC, last_id DESC)) AS recency_rank FROM (SELECT uid, lat, lng, max(datetime) AS last_at, max(event_id) AS last_id FROM ({_V}) v GROUP BY uid, lat, lng) c")
+recency_rank = Op("recency_rank", "Rank of each of a user's coordinates by its last visit (time, then event), newest first.", f"SELECT uid, lat, lng, LONG(row_number() OVER (PARTITION BY uid ORDER BY last_pos DESC)) AS recency_rank FROM (SELECT uid, lat, lng, max(pos) AS last_pos FROM ({_POSITION}) f GROUP BY uid, lat, lng) c")
 random_entropy = Op("random_entropy", "log2 of a user's distinct coordinates.", f"SELECT uid, round(log2(count(*)), 6) AS random_entropy FROM ({_COUNT}) c GROUP BY uid")
 uncorrelated_entropy = Op("uncorrelated_entropy", "Entropy of a user's shares of visits, and that over log2 of the places (0 for one).", f"SELECT uid, round(abs(-sum(p * log2(p))), 6) AS uncorrelated_entropy, round(CASE WHEN count(*) > 1 THEN -sum(p * log2(p)) / log2(count(*)) ELSE 0e0 END, 6) AS normalized_entropy FROM (SELECT uid, n / CAST(sum(n) OVER (PARTITION BY uid) AS DOUBLE) AS p FROM ({_COUNT}) c) s GROUP BY uid")
 individual_mobility_network = Op("individual_mobility_network", "Trips between consecutive coordinates of a user, without self loops.", f"SELECT uid, plat AS lat_origin, plng AS lng_origin, lat AS lat_dest, lng AS lng_dest, count(*) AS n_trips FROM ({_STEP}) s WHERE plat IS NOT NULL AND NOT (plat = lat AND plng = lng) GROUP BY uid, plat, plng, lat, lng")
@@ -68,7 +74,7 @@ identify_locations = Op(
           FROM {visits} GROUP BY uid, location_id) a) b) c""",
     night_start=22, night_end=6, work_start=8, work_end=18,
 )
-activity_flag = Op("activity_flag", "Whether a stay lasts the threshold (minutes) or longer.", "SELECT uid, location_id, started_at, MINUTES(started_at, finished_at) >= <minutes> AS activity FROM {visits}", minutes=60)
+activity_flag = Op("activity_flag", "Whether a stay lasts the threshold (minutes) or longer.", "SELECT uid, location_id, started_at, MINUTES(started_at, finished_at) >= <minutes> AS activity FROM {visits}", minutes=15)
 next_location_counts = Op("next_location_counts", "Counts of the place after each place of a user (first-order contexts).", "SELECT uid, context, next_id, count(*) AS n FROM (SELECT uid, location_id AS context, lead(location_id) OVER (PARTITION BY uid ORDER BY started_at, location_id) AS next_id FROM {visits}) p WHERE next_id IS NOT NULL GROUP BY uid, context, next_id")
 next_location = Op(
     "next_location",

@@ -10,9 +10,9 @@ _SPEED = f"SELECT *, MINUTES(pt, datetime) AS dt, HAVERSINE(plat, plng, lat, lng
 _OK = f"SELECT *, CASE WHEN pt IS NULL OR (dt > 0 AND km / dt * 60 <= <max_speed_kmh>) THEN 1 ELSE 0 END AS ok FROM ({_SPEED}) d"
 _RUN = "sum(new) OVER (PARTITION BY uid ORDER BY datetime, event_id) AS segment_id"
 
-filter_greedy = Op("filter_greedy", "Keeps a fix whose step from the row before is consistent (time passes, speed within bounds).", f"SELECT uid, event_id FROM ({_OK}) o WHERE ok = 1", max_speed_kmh="0.05e0")
-filter_zheng = Op("filter_zheng", "Keeps runs of consistent steps longer than min_seg_size.", f"SELECT uid, event_id FROM (SELECT *, count(*) OVER (PARTITION BY uid, run) AS size FROM (SELECT *, sum(1 - ok) OVER (PARTITION BY uid ORDER BY datetime, event_id) AS run FROM ({_OK}) o) r) z WHERE size > <min_seg_size>", max_speed_kmh="0.05e0", min_seg_size=1)
-segment_observation_gap = Op("segment_observation_gap", "New segment where more than gap_s seconds pass.", f"SELECT uid, event_id, LONG({_RUN.split(' AS ')[0]}) AS segment_id FROM (SELECT *, CASE WHEN pt IS NOT NULL AND MINUTES(pt, datetime) * 60 > <gap_s> THEN 1 ELSE 0 END AS new FROM ({_STEP}) s) n", gap_s=36000)
+filter_greedy = Op("filter_greedy", "Keeps a fix whose step from the row before is consistent (time passes, speed within bounds).", f"SELECT uid, event_id FROM ({_OK}) o WHERE ok = 1", max_speed_kmh="100e0")
+filter_zheng = Op("filter_zheng", "Keeps runs of consistent steps longer than min_seg_size.", f"SELECT uid, event_id FROM (SELECT *, count(*) OVER (PARTITION BY uid, run) AS size FROM (SELECT *, sum(1 - ok) OVER (PARTITION BY uid ORDER BY datetime, event_id) AS run FROM ({_OK}) o) r) z WHERE size > <min_seg_size>", max_speed_kmh="100e0", min_seg_size=1)
+segment_observation_gap = Op("segment_observation_gap", "New segment where more than gap_s seconds pass.", f"SELECT uid, event_id, LONG({_RUN.split(' AS ')[0]}) AS segment_id FROM (SELECT *, CASE WHEN pt IS NOT NULL AND MINUTES(pt, datetime) * 60 > <gap_s> THEN 1 ELSE 0 END AS new FROM ({_STEP}) s) n", gap_s=3600)
 segment_value_change = Op("segment_value_change", "New segment where the place changes.", f"SELECT uid, event_id, LONG({_RUN.split(' AS ')[0]}) AS segment_id FROM (SELECT *, CASE WHEN pplace IS NOT NULL AND pplace <> place THEN 1 ELSE 0 END AS new FROM ({_STEP}) s) n")
 segment_temporal = Op("segment_temporal", "New segment with each new day (or other unit).", f"SELECT uid, event_id, LONG({_RUN.split(' AS ')[0]}) AS segment_id FROM (SELECT *, CASE WHEN pt IS NOT NULL AND TRUNC('<unit>', pt) <> TRUNC('<unit>', datetime) THEN 1 ELSE 0 END AS new FROM ({_STEP}) s) n", unit="day")
 interpolate_linear = Op(
@@ -27,28 +27,21 @@ _STAYS = f"""SELECT *, LONG(row_number() OVER w) AS visit_number, lead(started_a
         SELECT uid, run, min(place) AS place, min(datetime) AS started_at, max(datetime) AS last_at, median(lat) AS lat, median(lng) AS lng, count(*) AS records FROM (
           SELECT *, sum(CASE WHEN pplace IS NULL OR pplace <> place THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY datetime, event_id) AS run FROM ({_STEP}) s) r GROUP BY uid, run) g WINDOW w AS (PARTITION BY uid ORDER BY started_at)"""
 _TRAVEL = "least(MINUTES(last_at, next_start), HAVERSINE(lat, lng, next_lat, next_lng) * <circuity> / <avg_speed_kmh> * 60)"
+_END = "PLUS_US(next_start, 0 - LONG(round(60000000e0 * " + _TRAVEL + ")))"
 cdr_visits = Op(
     "cdr_visits",
-    "Runs of records at one venue as stays; a stay ends when the trip to the next must start (travel at avg_speed_kmh over circuity), the last one stays open.",
-    f"SELECT uid, visit_number, place, started_at, round(lat, 6) AS lat, round(lng, 6) AS lng, records, round({_TRAVEL}, 4) AS travel_minutes FROM ({_STAYS}) z",
+    "Runs of records at one venue as stays; a stay ends when the trip to the next must start (travel at avg_speed_kmh over circuity, at most the gap), the last one stays open. ",
+    f"""SELECT uid, visit_number, place, started_at, last_at, {_END} AS finished_at, round(MINUTES(started_at, {_END}), 4) AS stay_minutes, round(lat, 6) AS lat, round(lng, 6) AS lng, records, round({_TRAVEL}, 4) AS travel_minutes, next_start IS NULL AS is_open FROM ({_STAYS}) z""",
     avg_speed_kmh="50e0", circuity="1.2e0",
 )
 cdr_trips = Op(
     "cdr_trips",
-    "A trip from each stay to the next one, numbered by user: places, distance over circuity, minutes of travel and arrival.",
-    f"SELECT uid, visit_number AS trip_number, place AS origin, next_place AS destination, round(HAVERSINE(lat, lng, next_lat, next_lng) * <circuity>, 6) AS km, round({_TRAVEL}, 4) AS minutes, next_start AS arrives_at FROM ({_STAYS}) z WHERE next_start IS NOT NULL",
+    "A trip from each stay to the next one, numbered by user: places and their coordinates, straight and road distance, departure, arrival, minutes and speed.",
+    f"""SELECT uid, visit_number AS trip_number, place AS origin, next_place AS destination, round(lat, 6) AS origin_lat, round(lng, 6) AS origin_lng, round(next_lat, 6) AS destination_lat, round(next_lng, 6) AS destination_lng,
+      round(HAVERSINE(lat, lng, next_lat, next_lng), 6) AS straight_km, round(HAVERSINE(lat, lng, next_lat, next_lng) * <circuity>, 6) AS km, {_END} AS departs_at, next_start AS arrives_at, round({_TRAVEL}, 4) AS minutes, round(MINUTES(last_at, next_start), 4) AS gap_minutes,
+      round(CASE WHEN {_TRAVEL} > 0 THEN HAVERSINE(lat, lng, next_lat, next_lng) * <circuity> / ({_TRAVEL} / 60) END, 4) AS speed_kmh FROM ({_STAYS}) z WHERE next_start IS NOT NULL""",
     avg_speed_kmh="50e0", circuity="1.2e0",
 )
-join_with_pois = Op(
-    "join_with_pois",
-    "Nearest point of interest of each distinct coordinate (ties: smaller id); join back on the coordinate.",
-    f"SELECT lat, lng, poi_id, round(d, 6) AS dist_poi FROM (SELECT c.lat, c.lng, p.id AS poi_id, HAVERSINE(c.lat, c.lng, p.lat, p.lng) AS d, row_number() OVER (PARTITION BY c.lat, c.lng ORDER BY HAVERSINE(c.lat, c.lng, p.lat, p.lng), p.id) AS r FROM (SELECT DISTINCT lat, lng FROM ({_V}) v) c CROSS JOIN {{pois}} p) n WHERE r = 1",
-)
-join_with_pois_by_category = Op(
-    "join_with_pois_by_category",
-    "The same once per category (long form).",
-    f"SELECT lat, lng, category, poi_id, round(d, 6) AS dist_poi FROM (SELECT c.lat, c.lng, p.category, p.id AS poi_id, HAVERSINE(c.lat, c.lng, p.lat, p.lng) AS d, row_number() OVER (PARTITION BY c.lat, c.lng, p.category ORDER BY HAVERSINE(c.lat, c.lng, p.lat, p.lng), p.id) AS r FROM (SELECT DISTINCT lat, lng FROM ({_V}) v) c CROSS JOIN {{pois}} p) n WHERE r = 1",
-)
 join_with_events = Op(
     "join_with_events",
     "Nearest other fix in space within window_s seconds (both ends in), by buckets of that length; ties: earliest.",
@@ -57,11 +50,14 @@ join_with_events = Op(
       JOIN (SELECT *, LONG(floor(EPOCH_US(datetime) / (<window_s> * 1000000e0))) AS k2 FROM ({_V}) v2) b ON a.k = b.k2 AND abs(EPOCH_US(a.datetime) - EPOCH_US(b.datetime)) <= <window_s> * 1000000 AND a.uid <> b.uid) n WHERE r = 1""",
     window_s=900,
 )
-validate_locations = Op("validate_locations", "Visits whose place is not in the catalogue.", "SELECT v.uid, v.location_id FROM {visits} v WHERE NOT EXISTS (SELECT 1 FROM {places} p WHERE p.location_id = v.location_id AND p.location_id <= <last_id>)", last_id=14)
+validate_locations = Op("validate_locations", "Visits whose place is not in the catalogue; visits without a place are left alone.", "SELECT v.uid, v.location_id FROM {visits} v WHERE v.location_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {catalogue} p WHERE p.location_id = v.location_id)")
+validate_user_locations = Op("validate_user_locations", "The same for a catalogue of each user's own places.", "SELECT v.uid, v.location_id FROM {visits} v WHERE v.location_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {own_places} p WHERE p.uid = v.uid AND p.location_id = v.location_id)")
 _DAY = "SELECT uid, location_id, d, greatest(LONG(EPOCH_US(started_at)), d * 86400000000) AS s, least(LONG(EPOCH_US(finished_at)), (d + 1) * 86400000000) AS e FROM (SELECT *, LONG(floor(EPOCH_US(started_at) / 86400000000e0)) AS d0, LONG(floor(EPOCH_US(finished_at) / 86400000000e0)) AS d1 FROM {visits}) v SERIES(d, d0, d1)"
-_EDGE = f"SELECT DISTINCT a.d AS day, a.uid AS u, b.uid AS v FROM ({_DAY}) a JOIN ({_DAY}) b ON a.d = b.d AND a.location_id = b.location_id AND a.uid < b.uid AND least(a.e, b.e) - greatest(a.s, b.s) >= <minutes> * 60000000"
+#: Stays by the quarters of an hour they touch: two that overlap meet in the quarter where the later one begins, and are counted there alone.
+_QUARTER = f"SELECT uid, location_id, d, s, e, q FROM (SELECT *, LONG(floor(s / 900000000e0)) AS q0, LONG(floor(e / 900000000e0)) AS q1 FROM ({_DAY}) day_part) quarters SERIES(q, q0, q1)"
+_EDGE = f"SELECT DISTINCT a.d AS day, a.uid AS u, b.uid AS v FROM ({_QUARTER}) a JOIN ({_QUARTER}) b ON a.d = b.d AND a.location_id = b.location_id AND a.q = b.q AND a.uid < b.uid AND a.q = LONG(floor(greatest(a.s, b.s) / 900000000e0)) AND least(a.e, b.e) - greatest(a.s, b.s) >= <minutes> * 60000000"
 temporal_contacts = Op("temporal_contacts", "Daily contacts: users at one place for minutes together.", _EDGE, minutes=5)
-contact_network = Op("contact_network", "All contacts, with the share of spanned days that have them.", f"SELECT u, v, round(count(*) / CAST(max(days) AS DOUBLE), 6) AS persistence FROM (SELECT u, v, day, max(day) OVER () - min(day) OVER () + 1 AS days FROM ({_EDGE}) e) f GROUP BY u, v", minutes=5)
+contact_network = Op("contact_network", "All contacts, with the share of spanned days that have them.", f"SELECT u, v, round(n / CAST(days AS DOUBLE), 6) AS persistence FROM (SELECT u, v, count(*) AS n FROM ({_EDGE}) e GROUP BY u, v) f CROSS JOIN (SELECT max(day) - min(day) + 1 AS days FROM ({_EDGE}) e2) g", minutes=5)
 _UNDIRECTED = f"SELECT DISTINCT u, v FROM ({_EDGE}) q0"
 topological_overlap = Op(
     "topological_overlap",

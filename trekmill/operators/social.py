@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.portable import SqlOperator as Op
 from .sequence import _UNDIRECTED, temporal_contacts
 
-graph_from_edges = Op("graph_from_edges", "Undirected edges without repeats, self loops and ends outside 0 to node_count - 1.", "SELECT DISTINCT least(origin, destination) AS u, greatest(origin, destination) AS v FROM {flows} WHERE origin <> destination AND least(origin, destination) >= 0 AND greatest(origin, destination) < <node_count>", node_count=20)
+graph_from_edges = Op("graph_from_edges", "Undirected edges without repeats, self loops and ends outside 0 to node_count - 1 (no upper end unless given).", "SELECT DISTINCT least(origin, destination) AS u, greatest(origin, destination) AS v FROM {flows} WHERE origin <> destination AND least(origin, destination) >= 0 AND greatest(origin, destination) < <node_count>", node_count=9223372036854775807)
 _BOTH = f"SELECT u AS a, v AS b FROM ({_UNDIRECTED}) q1 UNION ALL SELECT v AS a, u AS b FROM ({_UNDIRECTED}) q2"
 clustering_coefficients = Op(
     "clustering_coefficients",

@@ -9,22 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.portable import SqlOperator
-from ..operators import collective, fitting, hierarchy, individual, kernels, models, motion, network, privacy, sequence, social, visits, walks
+from ..operators import collective, fitting, hierarchy, individual, kernels, models, motion, near, network, privacy, sequence, social, visits, walks
+from . import oracles
 from .views import VIEWS, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Parameters that suit the driver's tables, where fixes of a user are days apart and places few.
+SETTINGS = {
+    "filter_greedy": {"max_speed_kmh": "0.05e0"},
+    "filter_zheng": {"max_speed_kmh": "0.05e0"},
+    "segment_observation_gap": {"gap_s": 36000},
+    "activity_flag": {"minutes": 60},
+    "mean_square_displacement": {"minutes": 14400},
+    "graph_from_edges": {"node_count": 20},
+    "get_flow": {"origin": 1, "destination": 2},
+}
+
+
 def _query(op: SqlOperator) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: op(*(view(spark, sf_dir, n) for n in op.inputs))
+    return lambda spark, sf_dir: op(*(view(spark, sf_dir, n) for n in op.inputs), **SETTINGS.get(op.__name__, {}))
 
 
 for module in (individual, collective, sequence, hierarchy, privacy, social):
     for op in vars(module).values():
         if isinstance(op, SqlOperator):
             QUERIES[op.__name__] = _query(op)
-            ORACLES[op.__name__] = op.oracle(VIEWS)
+            ORACLES[op.__name__] = op.oracle(VIEWS, **SETTINGS.get(op.__name__, {}))
 
 
 def _kernel(run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -71,7 +84,12 @@ def _desire_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roads.desire_lines(od)
 
 
+def _points(run: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run(view(spark, sf_dir, "fixes"), view(spark, sf_dir, "pois"))
+
+
 QUERIES |= {
+    **{f.__name__: _points(f) for f in (near.join_with_pois, near.join_with_pois_by_category, near.mapping_points, near.snap_locations)},
     "gravity_fit": _gravity,
     "epr": _agents,
     "ditras": _diaries,
@@ -111,3 +129,5 @@ QUERIES |= {
     "recast": lambda spark, sf_dir: social.recast(view(spark, sf_dir, "visits")),
     "tours": lambda spark, sf_dir: walks.tours(sequence.trajectory_to_trips(view(spark, sf_dir, "fixes"))),
 }
+
+ORACLES |= {name: oracles.oracle(name) for name in oracles.TEXTS if name in QUERIES}
