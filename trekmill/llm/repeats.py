@@ -12,16 +12,18 @@ stretch of bytes about it. So:
    enhanced suffix array over them is scanned with a stack, and every common-prefix
    interval of at least `least` bytes whose left neighbours differ is a maximal repeat
    group with all its occurrences;
-4. anchors with more different contexts than fit in one array take an exact way that
-   splits: their windows of `least` bytes are counted by hash instead.
+4. an anchor with more different contexts than fit in one array is split: each of its
+   contexts gives the shorter contexts of its windows, by blocks of window starts, under
+   the anchor of what all windows of the block share. Strings that are equal still meet,
+   and step 2 and 3 are done again on these.
 
-Whole contexts and windows are compared by two independent 64-bit hashes (of the anchor
-and of the context), all else byte by byte. Equal texts are handled once.
+Whole contexts are compared by two independent 64-bit hashes (of the anchor and of the
+context), all else byte by byte. Equal texts are handled once.
 
 Defined cases: a null text is empty; texts shorter than `least` have no repeats; matches
 never cross texts; occurrences that overlap count; repeated rows are repeats of each
-other; null and repeated keys are kept; an empty table gives an empty result; other
-input columns do not matter.
+other; very long texts are read in steps; null and repeated keys are kept; an empty table
+gives an empty result; other input columns do not matter, and none of their names clash.
 """
 
 from __future__ import annotations
@@ -39,7 +41,9 @@ from .common import arrow_batches, written
 
 LEAST = 400
 #: Window starts looked at in one go; bytes of contexts in one suffix array, and most for one anchor.
-STEP, ARRAY_BYTES, ANCHOR_BYTES = 1 << 18, 1 << 20, 4 << 20
+STEP, ARRAY_BYTES, ANCHOR_BYTES = 1 << 18, 1 << 20, 2 << 20
+#: Blocks that the window starts of a large anchor are split into, and suffixes whose first bytes are compared at once.
+SPLIT, CHECKED = 4, 8192
 _LOW = (1 << 20) - 1
 
 
@@ -57,15 +61,20 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(ahead[:n], behind[w - 1 : w - 1 + n])
 
 
+def gram_size(least: int) -> int:
+    """Bytes of an anchor. Smaller grams make fewer anchors, with longer contexts."""
+    return max(1, least // 3)
+
+
 def anchors(raw: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     """text index, place in the text, anchor hash and context hash of every anchor."""
-    gram = least // 2
+    gram = gram_size(least)
     w = least - gram + 1
     n = len(raw)
     found: list[tuple[np.ndarray, ...]] = []
     for p0 in range(0, n - least + 1, STEP):
         p1 = min(p0 + STEP, n - least + 1)
-        a, b = max(0, p0 - w + 1), min(n, p1 + gram + least)
+        a, b = max(0, p0 - w + 1), min(n, p1 + w + least)
         h = K.prefix_hash(raw[a:b])
         q = np.arange(p0, p1 + w - 1)
         hashed = K.range_hash(h, q - a, q - a + gram)
@@ -88,67 +97,68 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarra
 
 
 class SuffixArray:
-    """Ranks of all suffixes of strings put side by side, by their first 2**j * base symbols, up to depth."""
+    """The suffixes of at least depth bytes of strings put side by side, in order, with their common prefixes.
+
+    No interval of depth bytes and more crosses a bucket of suffixes whose first depth bytes
+    are equal, so buckets are made by fingerprint and stand in any order; the suffixes of a
+    bucket stand in theirs, and what they share is counted byte by byte. Buckets whose
+    suffixes all have the same byte before them hold no maximal repeat and are left out.
+    """
 
     def __init__(self, strings: list[np.ndarray], depth: int):
-        size = np.array([len(s) + 1 for s in strings])
-        self.begin = np.cumsum(size) - size
-        x = np.empty(int(size.sum()), np.int64)
-        self.owner = np.repeat(np.arange(len(strings)), size)
-        ends = self.begin + size - 1
-        inside = np.ones(len(x), bool)
-        inside[ends] = False
-        x[inside] = np.concatenate(strings).astype(np.int64) + len(strings) + 1
-        x[ends] = np.arange(1, len(strings) + 1)  # ends differ from one another
-        bits = int(len(strings) + 257).bit_length()
-        base = 62 // bits
-        code = x.copy()
-        for j in range(1, base):
-            code[:-j] = code[:-j] << bits | x[j:]
-            code[-j:] <<= bits
-        # Symbols in code stand in order, so codes compare as the strings do.
-        self.text, self.steps, self.ranks = x, [], []
-        h, rank = base, np.unique(code, return_inverse=True)[1].astype(np.int64)
-        self.first = base
-        while True:
-            self.steps.append(h)
-            self.ranks.append(rank.astype(np.int32))
-            if 2 * h > depth:
-                break
-            other = np.full(len(rank), -1, np.int64)
-            other[:-h] = rank[h:]
-            rank = np.unique(rank * (len(rank) + 1) + other + 1, return_inverse=True)[1].astype(np.int64)
-            h *= 2
-        rest = depth - h
-        if rest:
-            other = np.full(len(rank), -1, np.int64)
-            other[:-rest] = rank[rest:]
-            final = rank * (len(rank) + 1) + other + 1
-        else:
-            final = rank
-        #: Order of the suffixes by their first depth symbols.
-        self.order = np.argsort(final, kind="stable")
-        self.key = final
-
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of suffixes a and b."""
-        a, b, out = a.copy(), b.copy(), np.zeros(len(a), np.int64)
-        n = len(self.text)
-        for h, rank in zip(self.steps[::-1], self.ranks[::-1], strict=True):
-            for _ in range(2 if h != self.steps[-1] else 64):
-                ok = (a < n) & (b < n)
-                ok[ok] = rank[a[ok]] == rank[b[ok]]
-                if not ok.any():
-                    break
-                step = np.where(ok, h, 0)
-                a, b, out = a + step, b + step, out + step
-        for _ in range(self.first):
-            ok = (a < n) & (b < n)
-            ok[ok] = self.text[a[ok]] == self.text[b[ok]]
-            if not ok.any():
-                break
-            a, b, out = a + ok, b + ok, out + ok
-        return out
+        size = np.array([len(s) for s in strings])
+        begin = np.cumsum(size) - size
+        raw = np.concatenate(strings)
+        many = np.maximum(size - depth + 1, 0)
+        owner = np.repeat(np.arange(len(strings)), many)
+        inside = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        start = begin[owner] + inside
+        # The byte before a suffix; what begins a string has a left neighbour of its own.
+        left = np.where(inside == 0, -1 - start, raw[np.maximum(start - 1, 0)])
+        h = K.prefix_hash(raw)
+        mark = K.range_hash(h, start, start + depth)
+        order = np.argsort(mark)
+        same = mark[order][1:] == mark[order][:-1]
+        bucket = np.cumsum(np.r_[True, ~same][: len(order)]) - 1
+        differs = np.r_[False, same & (left[order][1:] != left[order][:-1])][: len(order)]
+        keep = (np.bincount(bucket, differs) > 0)[bucket] if len(order) else np.zeros(0, bool)
+        at, bucket = order[keep], bucket[keep]
+        rest = (begin + size)[owner[at]] - start[at] - depth
+        tail = _rows(raw, start[at] + depth, rest)
+        together = bucket[1:] == bucket[:-1]
+        keys = [bucket, tail, rest]
+        parted = any(bool(((x := _rows(raw, start[at[i : i + CHECKED + 1]], np.full(1, depth)))[1:] != x[:-1])[together[i : i + CHECKED]].any()) for i in range(0, len(at), CHECKED))
+        if parted:  # two strings of one fingerprint: the whole suffix decides, and what it shares
+            keys[1:1] = [_rows(raw, start[at], np.full(1, depth))]
+        by = np.argsort(_sortable(*keys))
+        at, bucket, tail, rest = at[by], bucket[by], tail[by], rest[by]
+        equal = np.c_[tail[1:] == tail[:-1], np.zeros((max(len(at) - 1, 0), 1), bool)]
+        shared = depth + np.minimum(equal.argmin(1), np.minimum(rest[1:], rest[:-1]))
+        together = bucket[1:] == bucket[:-1]
+        if parted:
+            head = keys[1][by]
+            together &= (head[1:] == head[:-1]).all(1)
+        #: Of each suffix: the string it is of, where it begins there, what stands before it; bytes shared with the one before.
+        self.owner, self.start, self.left = owner[at], inside[at], left[at]
+        self.lcp = np.r_[0, np.where(together, shared, 0)][: len(at)]
+
+
+def _rows(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """size bytes from start on in rows, padded with 0."""
+    width = int(size.max(initial=0))
+    if not width:
+        return np.zeros((len(start), 0), np.uint8)
+    rows = np.lib.stride_tricks.sliding_window_view(np.append(raw, np.zeros(width, np.uint8)), width)[start]
+    if (size < width).any():
+        rows *= np.arange(width) < size[:, None]
+    return rows
+
+
+def _sortable(*parts: np.ndarray) -> np.ndarray:
+    """Strings of fixed width that sort like the parts: rows of bytes, or numbers from 0 on."""
+    columns = [x if x.ndim == 2 else x.astype(">u4").view(np.uint8).reshape(-1, 4) for x in parts]
+    rows = np.ascontiguousarray(np.concatenate(columns, axis=1))
+    return rows.view(f"S{rows.shape[1]}").ravel()
 
 
 def interval_tree(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -164,76 +174,64 @@ def interval_tree(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]
             stack.append((now, left))
 
 
-def maximal_repeats(strings: list[np.ndarray], place: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, string, start) of each maximal repeat of at least least bytes.
+def maximal_repeats(strings: list[np.ndarray], place: np.ndarray, least: int) -> tuple[SuffixArray, np.ndarray]:
+    """The suffix array of strings, and (length, first, last) of each maximal repeat of at least least bytes in it, the longest last.
 
     place: a number for each string's first byte; occurrences at equal numbers are one.
     """
     sa = SuffixArray(strings, least)
-    same = sa.key[sa.order][1:] == sa.key[sa.order][:-1]
-    run = np.cumsum(np.r_[True, ~same]) - 1
-    size = np.bincount(run)
-    start = np.cumsum(size) - size
-    sorted_ = sa.order
-    before = np.where(np.isin(sorted_, sa.begin), -1 - sorted_, sa.text[np.maximum(sorted_ - 1, 0)])
-    differs = np.r_[False, (before[1:] != before[:-1]) & same]
-    diverse = np.bincount(run, differs) > 0
-    for r in np.flatnonzero((size > 1) & diverse):
-        a, b = start[r], start[r] + size[r]
-        at = sorted_[a:b]
-        # Within the run, order by what follows the first least bytes.
-        at = at[np.lexsort([rank[np.minimum(at + d, len(sa.text) - 1)] for d, rank in _further(sa, least, at)][::-1])]
-        lcp = np.r_[0, sa.common(at[:-1], at[1:])]
-        left = np.where(np.isin(at, sa.begin), -1 - at, sa.text[np.maximum(at - 1, 0)])
-        number = place[sa.owner[at]] + at - sa.begin[sa.owner[at]]
-        for length, i, j in interval_tree(lcp, least):
-            x = left[i : j + 1]
-            if (x == x[0]).all() or (number[i : j + 1] == number[i]).all():
-                continue
-            yield length, sa.owner[at[i : j + 1]], at[i : j + 1] - sa.begin[sa.owner[at[i : j + 1]]]
-
-
-def _further(sa: SuffixArray, least: int, at: np.ndarray):
-    """Ranks that order suffixes beyond their first least symbols, to the end of the longest."""
-    longest = int(np.diff(np.append(sa.begin, len(sa.text))).max())
-    h, rank = sa.steps[-1], sa.ranks[-1]
-    return [(d, rank) for d in range(least, max(longest, least) + h, h)]
-
-
-def _scan(batches, least: int, limit: int):
-    """Suffix arrays over whole anchors, about ARRAY_BYTES at a time. Rows come ordered by anchor."""
-    gram_w = least - least // 2 + 1
+    tree = np.array(list(interval_tree(sa.lcp, least)), np.int64).reshape(-1, 3)
+    number = place[sa.owner] + sa.start
+    # How often the left neighbour, and the place, has changed up to each suffix.
+    changes = [np.cumsum(np.r_[False, x[1:] != x[:-1]][: len(x)]) for x in (sa.left, number)]
+    for c in changes:
+        tree = tree[c[tree[:, 1]] != c[tree[:, 2]]]
+    return sa, tree[np.argsort(tree[:, 0], kind="stable")]
+
+
+def _scan(batches, least: int, groups: bool):
+    """Suffix arrays over whole anchors, about ARRAY_BYTES at a time. Rows come ordered by anchor.
+
+    Rows of the result are what maximal repeats cover in a context, or, with groups, each
+    occurrence of each maximal repeat in the contexts.
+    """
 
     def flush(held):
-        ctx = [np.frombuffer(r[3], np.uint8) for r in held]
+        ctx = [np.frombuffer(r[4], np.uint8) for r in held]
         if len(ctx) < 2:
             return
         # Strings of one text are numbered along it, others far apart.
         texts: dict[tuple[int, int], int] = {}
-        number = np.array([texts.setdefault((r[1], r[2]), len(texts)) * (1 << 34) + max(0, r[4] - gram_w + 1) for r in held])
-        # What groups cover is summed up along each context, so that nested groups of one
-        # passage are not listed occurrence by occurrence.
-        width = np.array([len(c) + 1 for c in ctx])
-        begin = np.cumsum(width) - width
-        mark = np.zeros(int(width.sum()), np.int32)
-        for length, string, start in maximal_repeats(ctx, number, least):
-            at = begin[string] + start
-            mark[at] += 1
-            mark[at + length] -= 1
-        on = np.cumsum(mark) > 0
-        first = np.flatnonzero(on & ~np.r_[False, on[:-1]])
-        last = np.flatnonzero(on & ~np.r_[on[1:], False]) + 1
+        number = np.array([texts.setdefault((r[1], r[2]), len(texts)) * (1 << 34) + r[3] for r in held])
+        sa, tree = maximal_repeats(ctx, number, least)
+        if groups:
+            size, first, last = tree.T
+            take = np.repeat(first - (np.cumsum(last - first + 1) - (last - first + 1)), last - first + 1) + np.arange(int((last - first + 1).sum()))
+            string, size, first = sa.owner[take], np.repeat(size, last - first + 1), sa.start[take]
+        else:
+            # What groups cover is summed up along each context, so that nested groups of one
+            # passage are not listed occurrence by occurrence.
+            longest = np.zeros(len(sa.lcp), np.int64)
+            for length, i, j in tree.tolist():
+                longest[i : j + 1] = length
+            width = np.array([len(c) + 1 for c in ctx])
+            begin = np.cumsum(width) - width
+            at = begin[sa.owner] + sa.start
+            mark = np.bincount(at[longest > 0], minlength=int(width.sum())) - np.bincount((at + longest)[longest > 0], minlength=int(width.sum()))
+            on = np.cumsum(mark) > 0
+            first = np.flatnonzero(on & ~np.r_[False, on[:-1]])
+            size = np.flatnonzero(on & ~np.r_[on[1:], False]) + 1 - first
+            string = np.searchsorted(begin, first, side="right") - 1
+            first = first - begin[string]
         if not len(first):
             return
-        string = np.searchsorted(begin, first, side="right") - 1
-        d, nb, anchor_at = (np.array([held[i][c] for i in string], np.int64) for c in (1, 2, 4))
-        lo = np.maximum(0, anchor_at - gram_w + 1) + first - begin[string]
-        ident = [int.from_bytes(hashlib.blake2b(ctx[i][x - begin[i] : y - begin[i]].tobytes(), digest_size=8).digest(), "little", signed=True) for i, x, y in zip(string, first, last, strict=True)]
-        yield pa.RecordBatch.from_pydict({"d": pa.array(d), "nb": pa.array(nb.astype(np.int32)), "lo": pa.array(lo.astype(np.int32)), "hi": pa.array((lo + last - first).astype(np.int32)), "repeat": pa.array(ident, pa.int64())})
+        d, nb, base = (np.array([held[i][c] for i in string], np.int64) for c in (1, 2, 3))
+        ident = [int.from_bytes(hashlib.blake2b(held[i][4][x : x + n], digest_size=8).digest(), "little", signed=True) for i, x, n in zip(string, first, size, strict=True)] if groups else [0] * len(first)
+        yield pa.RecordBatch.from_pydict({"d": pa.array(d), "nb": pa.array(nb.astype(np.int32)), "lo": pa.array((base + first).astype(np.int32)), "hi": pa.array((base + first + size).astype(np.int32)), "repeat": pa.array(ident, pa.int64())})
 
     held, group, size, held_size, anchor = [], [], 0, 0, None
     for batch in batches:
-        for row in zip(*(_column(batch, c).to_pylist() for c in ("a", "d", "nb", "context", "place")), strict=True):
+        for row in zip(*(_column(batch, c).to_pylist() for c in ("a", "d", "nb", "base", "context")), strict=True):
             if row[0] != anchor:
                 if held and held_size + size > ARRAY_BYTES:
                     yield from flush(held)
@@ -242,35 +240,71 @@ def _scan(batches, least: int, limit: int):
                 held_size += size
                 group, size, anchor = [], 0, row[0]
             group.append(row)
-            size += len(row[3])
+            size += len(row[4])
     if held and held_size + size > ARRAY_BYTES:
         yield from flush(held)
         held = []
     yield from flush(held + group)
 
 
-def _windows(batches, least: int):
-    """Each window of least bytes in a context: anchor, its hash, where it stands."""
-    gram_w = least - least // 2 + 1
+def _split(batches, least: int):
+    """Occurrences of the shorter contexts of windows whose starts lie in one block of those of a context.
+
+    A window starts at place - o, with o from near to far. All windows of a block hold what
+    lies between the first and the last start of it and their ends, and it is their new anchor.
+    """
     for batch in batches:
         raw, off = K.string_bytes(_column(batch, "context"))
-        a, d, nb, place = (_column(batch, c).to_numpy() for c in ("a", "d", "nb", "place"))
-        for i in range(batch.num_rows):
+        rows = []
+        for i, (a, d, nb, place, near, far, base) in enumerate(zip(*(_column(batch, c).to_pylist() for c in ("a", "d", "nb", "place", "near", "far", "lo")), strict=True)):
             h = K.prefix_hash(raw[off[i] : off[i + 1]])
-            o = np.arange(len(h) - least)
-            lo = (max(0, int(place[i]) - gram_w + 1) + o).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(np.full(len(o), a[i])), "w": pa.array(K.range_hash(h, o, o + least).view(np.int64)), "d": pa.array(np.full(len(o), d[i])), "nb": pa.array(np.full(len(o), nb[i])), "lo": pa.array(lo)})
+            last = base + off[i + 1] - off[i] - least
+            step = -(-(far - near + 1) // SPLIT)
+            for k in range(near, far + 1, step):
+                e = min(k + step - 1, far)
+                x, y = max(base, place - e), min(last, place - k)
+                if x <= y:
+                    rows.append((a, d, nb, place, near, k, e, x, y + least, place - k - base, place - e + least - base, x - base, y + least - base, h))
+        if not rows:
+            continue
+        core = np.array([K.range_hash(r[-1], np.array([r[9]]), np.array([r[10]]))[0] for r in rows])
+        whole = np.array([K.range_hash(r[-1], np.array([r[11]]), np.array([r[12]]))[0] for r in rows])
+        a, d, nb, place, up, near, far, lo, hi = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:9])
+        key = K.mix(core ^ K.mix(a.view(np.uint64) + near.astype(np.uint64)))
+        c = K.mix(whole ^ ((place - lo) * 1_000_003).astype(np.uint64))
+        ints = {n: pa.array(v.astype(np.int32)) for n, v in (("nb", nb), ("place", place), ("up", up), ("near", near), ("far", far), ("lo", lo), ("hi", hi))}
+        yield pa.RecordBatch.from_pydict({"a": pa.array(key.view(np.int64)), "c": pa.array(c.view(np.int64)), "d": pa.array(d), **ints})
+
+
+def _cut(batches):
+    """The bytes of the contexts that are wanted from each text, or from each context that is split."""
+    for batch in batches:
+        raw, off = K.string_bytes(_column(batch, "data"))
+        lists = _column(batch, "wanted")
+        inner = lists.flatten()
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        lo, hi = (inner.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "hi"))
+        shift = (off[:-1] - _column(batch, "base").to_numpy())[owner]
+        context = [raw[x:y].tobytes() for x, y in zip(lo + shift, hi + shift, strict=True)]
+        take = pa.array(owner)
+        names = ("a", "large", "place", "near", "far", "lo")
+        yield pa.RecordBatch.from_arrays([*(inner.field(c) for c in names), *(_column(batch, c).take(take) for c in ("d", "nb")), pa.array(context, pa.binary())], names=[*names, "d", "nb", "context"])
+
+
+OCCURRENCE = "a bigint, c bigint, d bigint, nb int, place int, up int, near int, far int, lo int, hi int"
+CONTEXT = "a bigint, large boolean, place int, near int, far int, lo int, d bigint, nb int, context binary"
 
 
-def repeats(docs: DataFrame, text: str = "text", least: int = LEAST, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
-    """Occurrences of repeated passages in the distinct texts: d (hash of the text), nb (its bytes), lo, hi, repeat.
+def repeats(docs: DataFrame, text: str = "text", least: int = LEAST, anchor_bytes: int = ANCHOR_BYTES, groups: bool = False) -> DataFrame:
+    """What repeated passages cover in the distinct texts: d (hash of the text), nb (its bytes), lo, hi, repeat.
 
-    Stretches that maximal repeat groups cover, with a hash of their bytes; contexts that
-    recur as a whole as they stand, with the anchor's hash.
+    repeat is 0; with groups, rows are the occurrences of each maximal repeat, repeat being
+    a hash of its bytes: the repeats that lie in contexts of this operator (so a longer one
+    appears by its overlapping parts), each with all its occurrences in different contexts,
+    and each context that recurs as a whole.
     """
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    w = least - least // 2 + 1
+    arrow_batches(docs.sparkSession)
+    w = least - gram_size(least) + 1
     rows = docs.select(F.col(text).alias("text")).withColumn("nb", F.octet_length("text").cast("int")).where(f"nb >= {least}").withColumn("d", F.xxhash64("text"))
 
     def find(batches):
@@ -281,38 +315,36 @@ def repeats(docs: DataFrame, text: str = "text", least: int = LEAST, anchor_byte
                 take = pa.array(d)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), _column(batch, "d").take(take), _column(batch, "nb").take(take), pa.array(place.astype(np.int32))], names=["a", "c", "d", "nb", "place"])
 
-    found = rows.select("text", "d", "nb").mapInArrow(find, "a bigint, c bigint, d bigint, nb int, place int")
-    twice = found.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a")
-    again = written(found.join(twice, "a"), "anchors")
-    contexts = written(again.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "nb", "place")).alias("at")).select("a", "c", "n", "at.*"), "contexts")
-    whole = again.join(contexts.where("n > 1").select("a", "c"), ["a", "c"])
-    whole = whole.select("d", "nb", F.greatest(F.lit(0), F.col("place") - (w - 1)).cast("int").alias("lo"), F.least("nb", F.col("place") + least).cast("int").alias("hi"), F.col("a").alias("repeat")).distinct()
-
-    mixed = contexts.groupBy("a").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).where("kinds > 1 and fewest = 1").select("a", (F.col("kinds") * (least + w - 1) > anchor_bytes).alias("large"))
-    wanted = contexts.join(mixed, "a").groupBy("d", "nb").agg(F.collect_list(F.struct("a", "place", "large")).alias("wanted"))
-
-    def cut(batches):
-        for batch in batches:
-            raw, off = K.string_bytes(_column(batch, "text"))
-            lists = _column(batch, "wanted")
-            inner = lists.flatten()
-            counts = np.diff(lists.offsets.to_numpy())
-            owner = np.repeat(np.arange(batch.num_rows), counts)
-            place = inner.field("place").to_numpy(zero_copy_only=False).astype(np.int64)
-            lo = off[owner] + np.maximum(0, place - (w - 1))
-            hi = np.minimum(off[owner + 1], off[owner] + place + least)
-            context = [raw[x:y].tobytes() for x, y in zip(lo, hi, strict=True)]
-            take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([inner.field("a"), inner.field("large"), _column(batch, "d").take(take), _column(batch, "nb").take(take), inner.field("place"), pa.array(context, pa.binary())], names=["a", "large", "d", "nb", "place", "context"])
-
-    texts = distinct_texts(rows)
-    bytes_ = written(texts.join(wanted, ["d", "nb"]).select("text", "d", "nb", "wanted").mapInArrow(cut, "a bigint, large boolean, d bigint, nb int, place int, context binary"), "context-bytes")
-    fits = bytes_.where("not large").repartition("a").sortWithinPartitions("a", "d", "nb", "place")
-    arrays = fits.select("a", "d", "nb", "context", "place").mapInArrow(lambda b: _scan(b, least, anchor_bytes), "d bigint, nb int, lo int, hi int, repeat bigint")
-    windows = bytes_.where("large").select("a", "d", "nb", "context", "place").mapInArrow(lambda b: _windows(b, least), "a bigint, w bigint, d bigint, nb int, lo int").distinct()
-    common = windows.groupBy("a", "w").agg(F.count("*").alias("n")).where("n > 1").select("a", "w")
-    counted = windows.join(common, ["a", "w"]).select("d", "nb", "lo", (F.col("lo") + least).cast("int").alias("hi"), F.col("w").alias("repeat"))
-    return whole.unionByName(arrays).unionByName(counted)
+    def repeated(found: DataFrame) -> DataFrame:
+        # A table of its own, so that Spark can split a hot anchor's side of the join.
+        twice = written(found.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a"), "twice")
+        return written(found.join(twice, "a"), "anchors")
+
+    again = repeated(rows.select("text", "d", "nb").mapInArrow(find, "a bigint, c bigint, d bigint, nb int, place int"))
+    again = again.selectExpr("a", "c", "d", "nb", "place", "0 up", "0 near", f"{w - 1} far", f"greatest(0, place - {w - 1}) lo", f"least(nb, place + {least}) hi")
+    above, on = distinct_texts(rows).selectExpr("d", "nb", "text data", "0 base"), ["d", "nb"]
+    found = []
+    while True:
+        first = F.min(F.struct("d", "nb", "place", "up", "near", "far", "lo", "hi")).alias("at")
+        contexts = written(again.groupBy("a", "c").agg(F.count("*").alias("n"), first).select("a", "c", "n", "at.*"), "contexts")
+        several = written(contexts.where("n > 1").select("a", "c"), "several")
+        found.append(again.join(several, ["a", "c"]).select("d", "nb", "lo", "hi", F.xxhash64("a", "c").alias("repeat") if groups else F.lit(0).cast("long").alias("repeat")).distinct())
+        mixed = contexts.groupBy("a").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest"), F.sum(F.col("hi") - F.col("lo")).alias("size"))
+        mixed = written(mixed.where("kinds > 1 and fewest = 1").select("a", (F.col("size") > anchor_bytes).alias("large")), "mixed")
+        wanted = contexts.join(mixed, "a").withColumn("large", F.expr("large and far > near"))
+        wanted = wanted.groupBy(*on).agg(F.collect_list(F.struct("a", "large", "place", "near", "far", "lo", "hi")).alias("wanted"))
+        bytes_ = written(above.join(wanted, on).select("data", "base", "d", "nb", "wanted").mapInArrow(_cut, CONTEXT), "context-bytes")
+        fits = bytes_.where("not large").repartition("a").sortWithinPartitions("a", "d", "nb", "place")
+        found.append(fits.select("a", "d", "nb", F.col("lo").alias("base"), "context").mapInArrow(lambda b: _scan(b, least, groups), "d bigint, nb int, lo int, hi int, repeat bigint"))
+        large = bytes_.where("large")
+        if large.isEmpty():
+            break
+        again = repeated(large.mapInArrow(lambda b: _split(b, least), OCCURRENCE))
+        above, on = large.selectExpr("d", "nb", "place", "near up", "lo base", "context data"), ["d", "nb", "place", "up"]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def distinct_texts(rows: DataFrame) -> DataFrame:
@@ -320,16 +352,21 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("d", "nb").agg(F.any_value("text").alias("text"))
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, keep_text: bool = False, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, keep_text: bool = False, anchor_bytes: int = ANCHOR_BYTES, words: int = 0) -> DataFrame:
     """docs' keys with n_bytes, n_removed, n_spans, kept_sha256 after all bytes of repeats are taken out.
 
     keep_text: all input columns instead of the key alone, text being what remains
     (bytes that are no longer UTF-8 at a cut are dropped from the text, not from the hash).
+    words: only runs of repeats that hold so many whole words are taken out.
     """
-    rows = docs.select(*(docs.columns if keep_text else [key]), F.col(text).alias("__text"))
-    rows = rows.withColumn("__text", F.coalesce("__text", F.lit(""))).withColumn("nb", F.octet_length("__text").cast("int")).withColumn("d", F.xxhash64("__text"))
-    spans = repeats(docs, text, least, anchor_bytes).select("d", "nb", "lo", "hi").distinct().groupBy("d", "nb").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    texts = distinct_texts(rows.where(f"nb >= {least}").select("d", "nb", F.col("__text").alias("text")))
+    carried = docs.columns if keep_text else [key]
+    column = dict(docs.dtypes)
+    # Input columns travel under numbers, so that no name of theirs can clash.
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(carried) if c != text], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.col(f"`{text}`").isNull().alias("was_null"))
+    rows = rows.withColumn("nb", F.octet_length("text").cast("int")).withColumn("d", F.xxhash64("text"))
+    spans = repeats(docs, text, least, anchor_bytes).groupBy("d", "nb").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = written(spans, "spans")
+    kept = [f"__{i}" for i, c in enumerate(carried) if c != text]
 
     def strip(batches):
         for batch in batches:
@@ -338,24 +375,53 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
             at = lists.offsets.to_numpy()
             inner = lists.flatten()
             lo_all, hi_all = (inner.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi"))
+            none = lists.is_null().to_numpy(zero_copy_only=False)
             removed, runs, sha, left = [], [], [], []
-            base = at[0]
+            base, skipped = at[0], 0
             for i in range(batch.num_rows):
-                mark = np.zeros(off[i + 1] - off[i] + 1, np.int32)
-                np.add.at(mark, lo_all[at[i] - base : at[i + 1] - base], 1)
-                np.add.at(mark, hi_all[at[i] - base : at[i + 1] - base], -1)
-                gone = np.cumsum(mark)[:-1] > 0
-                kept = raw[off[i] : off[i + 1]][~gone].tobytes()
+                data = raw[off[i] : off[i + 1]]
+                if none[i]:
+                    gone = np.zeros(len(data), bool)
+                    skipped += at[i + 1] - at[i]
+                else:
+                    mark = np.zeros(len(data) + 1, np.int32)
+                    np.add.at(mark, lo_all[at[i] - base - skipped : at[i + 1] - base - skipped], 1)
+                    np.add.at(mark, hi_all[at[i] - base - skipped : at[i + 1] - base - skipped], -1)
+                    gone = np.cumsum(mark)[:-1] > 0
+                    if words:
+                        gone = _wordy(data, gone, words)
+                stays = data[~gone].tobytes()
                 removed.append(int(gone.sum()))
                 runs.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0)
-                sha.append(hashlib.sha256(kept).hexdigest())
-                left.append(kept.decode("utf-8", "ignore") if keep_text else None)
-            yield pa.RecordBatch.from_arrays([_column(batch, "d"), _column(batch, "nb"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(left, pa.string())], names=["d", "nb", "n_removed", "n_spans", "kept_sha256", "left"])
-
-    done = texts.join(spans, ["d", "nb"]).select("text", "d", "nb", "spans").mapInArrow(strip, "d bigint, nb int, n_removed bigint, n_spans bigint, kept_sha256 string, left string")
+                if keep_text:
+                    left.append(stays.decode("utf-8", "ignore"))
+                else:
+                    sha.append(hashlib.sha256(stays).hexdigest())
+            own = [_column(batch, c) for c in kept]
+            if keep_text:
+                lost = _column(batch, "was_null").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*own, pa.array([None if n else x for n, x in zip(lost, left, strict=True)], pa.string())], names=[*kept, "text"])
+            else:
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())], names=[*kept, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    own = "".join(f"__{i} {column[c]}, " for i, c in enumerate(carried) if c != text)
+    joined = rows.join(spans, ["d", "nb"], "left").select(*kept, "text", "was_null", "spans")
     if keep_text:
-        got = rows.join(done, ["d", "nb"], "left")
-        return got.select(*[F.coalesce("left", F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns])
-    got = rows.select(key, "d", "nb", F.sha2("__text", 256).alias("whole")).join(done.drop("left"), ["d", "nb"], "left")
-    zero = F.lit(0).cast("long")
-    return got.select(key, F.col("nb").cast("long").alias("n_bytes"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+        done = joined.mapInArrow(strip, f"{own}text string")
+        return done.select(*[F.col("text" if c == text else f"__{i}").alias(c) for i, c in enumerate(carried)])
+    done = joined.mapInArrow(strip, f"{own}n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return done.select(F.col("__0").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def _wordy(data: np.ndarray, gone: np.ndarray, words: int) -> np.ndarray:
+    """Those runs of gone that hold so many whole words."""
+    inside = K.SPACED[data] != 0
+    begin = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
+    end = np.flatnonzero(inside & ~np.r_[inside[1:], False]) + 1
+    first = np.flatnonzero(gone & ~np.r_[False, gone[:-1]])
+    last = np.flatnonzero(gone & ~np.r_[gone[1:], False]) + 1
+    many = np.searchsorted(end, last, side="right") - np.searchsorted(begin, first)
+    out = np.zeros(len(data), bool)
+    for x, y in zip(first[many >= words], last[many >= words], strict=True):
+        out[x:y] = True
+    return out
