@@ -2,7 +2,7 @@
 
 Language ID drops texts without letters. Of each group of near-duplicates (five-word
 shingles, similarity 0.8) the document with the least id stays; rows of one id stand or
-fall together, and of equal rows one stays. Passages of 400 bytes and more that occur
+fall together, and of equal rows one stays. Passages of more than 50 words that occur
 elsewhere are cut out. Sources are mixed to their target weights, so a document may
 appear up to three times or end early. The last stage packs token sequences.
 """
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from trekmill.llm import langid, mixing, neardup, packing, repeats
 from trekmill.llm.common import shared_path
 
+#: A passage is a run of repeated bytes that holds more than 50 words; runs are of strings of so many bytes.
+PASSAGE_WORDS, PASSAGE_BYTES = 51, 192
+
 
 def _columns(docs: DataFrame, like: list[str]) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(like) if "n_chars" in like else docs.select(like)
@@ -25,8 +28,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    got = langid.identify(docs, model)
-    return got.where("lang_pred != 'und'").select(docs.columns)
+    # Columns travel under numbers, as the operator's own may have the same names.
+    got = langid.identify(docs.toDF(*[f"__{i}" for i in range(len(docs.columns))]), model, f"__{docs.columns.index('text')}")
+    return got.where("lang_pred != 'und'").drop(*langid.OUT).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _columns(repeats.remove(docs, keep_text=True), docs.columns)
+    return _columns(repeats.remove(docs, least=PASSAGE_BYTES, keep_text=True, words=PASSAGE_WORDS), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
