@@ -77,19 +77,10 @@ def snap_locations(fixes: DataFrame, pois: DataFrame, max_distance_m: float = 75
     return nearest(fixes, pois).select("lat", "lng", F.when(F.col("d") * 1000 <= max_distance_m, F.col("id")).otherwise(F.lit(-1)).alias("node"))
 
 
-def inside(lat: Column, lng: Column, rings: Column) -> Column:
-    """Whether a point lies within a polygon: rings, an array of arrays of (lng, lat); holes by parity."""
-
-    def crosses(ring: Column) -> Column:
-        edges = F.sequence(F.lit(1), F.size(ring) - 1)
-
-        def one(i: Column) -> Column:
-            (ax, ay), (bx, by) = ((F.element_at(ring, j)[c] for c in ("lng", "lat")) for j in (i, i + 1))
-            return ((ay > lat) != (by > lat)) & (lng < (bx - ax) * (lat - ay) / (by - ay) + ax)
-
-        return F.when(F.size(ring) > 1, F.size(F.filter(edges, one))).otherwise(F.lit(0))
-
-    return F.aggregate(rings, F.lit(0), lambda n, ring: n + crosses(ring)) % 2 == 1
+#: Edges of all rings that a ray to the east of (lat, lng) crosses; odd within a polygon, also one with holes.
+_CROSSED = """aggregate(rings, 0, (n, ring) -> n + size(filter(sequence(1, greatest(1, size(ring) - 1)), i -> i < size(ring)
+    AND (ring[i - 1].lat > lat) != (ring[i].lat > lat)
+    AND lng < (ring[i].lng - ring[i - 1].lng) * try_divide(lat - ring[i - 1].lat, ring[i].lat - ring[i - 1].lat) + ring[i - 1].lng)))"""
 
 
 def mapping_polygons(fixes: DataFrame, tiles: DataFrame, degrees: float = 0.05) -> DataFrame:
@@ -99,9 +90,10 @@ def mapping_polygons(fixes: DataFrame, tiles: DataFrame, degrees: float = 0.05)
     that may hold it. Of tiles that overlap the smaller id stays; points outside all are left out.
     """
     points = F.flatten("rings")
-    box = tiles.select("tile_id", "rings", *[f(F.transform(points, lambda p, c=c: p[c])).alias(n) for n, f, c in (("x0", F.array_min, "lng"), ("x1", F.array_max, "lng"), ("y0", F.array_min, "lat"), ("y1", F.array_max, "lat"))])
+    lngs, lats = F.transform(points, lambda p: p["lng"]), F.transform(points, lambda p: p["lat"])
+    box = tiles.select("tile_id", "rings", F.array_min(lngs).alias("x0"), F.array_max(lngs).alias("x1"), F.array_min(lats).alias("y0"), F.array_max(lats).alias("y1"))
     cell = lambda c: F.floor(c / degrees).cast("long")
     listed = box.withColumn("row", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1"))))).withColumn("column", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1")))))
     asked = fixes.where(valid(F.col("lat"), F.col("lng"))).select("lat", "lng").distinct().withColumn("row", cell(F.col("lat"))).withColumn("column", cell(F.col("lng")))
-    met = asked.join(listed, ["row", "column"]).where(inside(F.col("lat"), F.col("lng"), F.col("rings")))
+    met = asked.join(listed, ["row", "column"]).where(F.expr(f"{_CROSSED} % 2 = 1"))
     return met.groupBy("lat", "lng").agg(F.min("tile_id").alias("tile_id"))
