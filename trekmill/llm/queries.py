@@ -29,7 +29,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     got = mixing.taken(mixing.mix(docs))
-    return got.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+    return got.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "source", "first_slot", "last_slot", "n_slots")
 
 
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
