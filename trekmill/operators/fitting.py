@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from math import erf, sqrt
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Density shapes over distance x, and their parameters (all positive) with starting values.
@@ -115,3 +118,112 @@ def vuong_test(edges: np.ndarray, counts: np.ndarray, first: str, second: str) -
     mean = (counts * d).sum() / n
     var = (counts * (d - mean) ** 2).sum() / n
     return float((n * mean - (parts[0][1] - parts[1][1])) / np.sqrt(n * var)) if var > 0 else 0.0
+
+
+def chi_square_bound(confidence: float) -> float:
+    """The value that a chi-square variable of one degree of freedom stays below with this chance."""
+    lo, hi = 0.0, 100.0
+    while hi - lo > 1e-10:
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if erf(sqrt(mid / 2)) < confidence else (lo, mid)
+    return (lo + hi) / 2
+
+
+@dataclass(frozen=True)
+class DistributionFit:
+    """A family fitted to binned distances: density, distribution, intervals and a table of the estimates."""
+
+    family: str
+    parameters: dict[str, float]
+    edges: np.ndarray
+    counts: np.ndarray
+    log_likelihood: float
+    aic: float
+    bic: float
+    ks: float
+
+    @classmethod
+    def fit(cls, values: DataFrame, column: str, family: str = "truncated_powerlaw", bins: int = 200) -> DistributionFit:
+        return cls.of(*log_counts(values, column, bins), family)
+
+    @classmethod
+    def of(cls, edges: np.ndarray, counts: np.ndarray, family: str) -> DistributionFit:
+        if counts.sum() < 20:
+            raise ValueError("needs 20 positive values")
+        r = fit_counts(edges, counts, family)
+        return cls(family, {p: r[p] for p in FAMILIES[family][1]}, edges, counts, r["log_likelihood"], r["aic"], r["bic"], r["ks"])
+
+    def _grid(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A fine grid of distances over the fitted range, the density there, and the share up to each."""
+        x = np.exp(np.linspace(np.log(self.edges[0]), np.log(self.edges[-1]), 20_001))
+        y = FAMILIES[self.family][0](x, *self.parameters.values())
+        y = np.exp(y - y.max())
+        part = np.append(0, np.cumsum((y[1:] + y[:-1]) / 2 * np.diff(x)))
+        return x, y / part[-1], part / part[-1]
+
+    def pdf(self, x) -> np.ndarray:
+        """Density at x; 0 outside the fitted range."""
+        at, y, _ = self._grid()
+        x = np.asarray(x, float)
+        return np.where((x >= at[0]) & (x <= at[-1]), np.exp(np.interp(np.log(np.maximum(x, 1e-300)), np.log(at), np.log(np.maximum(y, 1e-300)))), 0.0)
+
+    def cdf(self, x) -> np.ndarray:
+        """Share of distances up to x, on straight lines over the logarithm of x."""
+        at, _, share = self._grid()
+        return np.interp(np.log(np.maximum(np.asarray(x, float), 1e-300)), np.log(at), share)
+
+    def profile(self, parameter: str, confidence: float = 0.95) -> tuple[float | None, float | None]:
+        """Profile-likelihood interval of a parameter by bisection; None at an end where the likelihood never falls enough."""
+        names = list(self.parameters)
+        k = names.index(parameter)
+        shape = FAMILIES[self.family][0]
+        inner = np.exp(np.linspace(np.log(self.edges[:-1]), np.log(self.edges[1:]), 5))
+        start = np.log(np.array([self.parameters[n] for n in names if n != parameter]))
+
+        def loss(others, fixed):
+            p = np.insert(np.exp(np.clip(others, -20, 20)), k, fixed)
+            with np.errstate(all="ignore"):
+                y = shape(inner, *p) + np.log(inner)
+                y = np.exp(y - np.nanmax(y))
+            mass = y.T @ np.array([1, 4, 2, 4, 1.0])
+            return -(self.counts * np.log(np.maximum(mass / mass.sum(), 1e-300))).sum() if np.isfinite(mass).all() and mass.sum() > 0 else 1e300
+
+        def best(fixed):
+            return loss(simplex(lambda u: loss(u, fixed), start, 300), fixed) if len(start) else loss(start, fixed)
+
+        top, bound = -best(self.parameters[parameter]), chi_square_bound(confidence) / 2
+        ends = []
+        for way in (-1, 1):
+            near, far = 0.0, 0.05
+            while top + best(self.parameters[parameter] * np.exp(way * far)) < bound and far < 12:
+                near, far = far, far * 2
+            if far >= 12:
+                ends.append(None)
+                continue
+            for _ in range(25):
+                mid = (near + far) / 2
+                near, far = (mid, far) if top + best(self.parameters[parameter] * np.exp(way * mid)) < bound else (near, mid)
+            ends.append(float(self.parameters[parameter] * np.exp(way * far)))
+        return ends[0], ends[1]
+
+    def summary(self, spark: SparkSession, confidence: float = 0.95) -> DataFrame:
+        """parameter, estimate, low, high: one row a parameter."""
+        rows = [(self.family, n, v, *self.profile(n, confidence)) for n, v in self.parameters.items()]
+        return spark.createDataFrame(rows, "family string, parameter string, estimate double, low double, high double")
+
+
+def likelihood_ratio_test(values: DataFrame, column: str, first: str, second: str, bins: int = 200) -> dict:
+    """Vuong's z of two families and its two-sided p value; positive z favours the first."""
+    z = vuong_test(*log_counts(values, column, bins), first, second)
+    return {"first": first, "second": second, "z": z, "p": float(1 - erf(abs(z) / sqrt(2)))}
+
+
+def select_xmin(values: DataFrame, column: str, family: str = "truncated_powerlaw", candidates: list[float] | None = None, n_candidates: int = 30, min_values: int = 100, bins: int = 200) -> dict:
+    """The least distance from which the family fits best: of the candidates (edges of the bins, evenly spaced by default) the one of least Kolmogorov-Smirnov distance with min_values beyond it."""
+    edges, counts = log_counts(values, column, bins)
+    at = sorted({int(np.searchsorted(edges[:-1], c)) for c in candidates}) if candidates else sorted(set(np.linspace(0, bins - 2, n_candidates).astype(int).tolist()))
+    tried = [(fit_counts(edges[i:], counts[i:], family), i) for i in at if i < bins - 1 and counts[i:].sum() >= min_values]
+    if not tried:
+        raise ValueError(f"no candidate has {min_values} values beyond it")
+    fit, i = min(tried, key=lambda t: (t[0]["ks"], t[1]))
+    return {"xmin": float(edges[i]), **fit}

@@ -42,6 +42,17 @@ interpolate_at = Op(
         UNION ALL SELECT u.uid, i.at AS datetime, CAST(NULL AS TIMESTAMP_NTZ) AS ft, CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lng, CAST(NULL AS BIGINT) AS event_id, 1 AS kind FROM (SELECT DISTINCT uid FROM ({_V}) v2) u CROSS JOIN {{instants}} i) t
       WINDOW b AS (PARTITION BY uid ORDER BY datetime, kind, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY uid ORDER BY datetime, kind, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) w WHERE kind = 1""",
 )
+interpolate_at_nearest = Op(
+    "interpolate_at_nearest",
+    "Every user's nearest fix in time at every given time (ties: the earlier one); not valid, and null, outside the user's span.",
+    f"""SELECT uid, datetime AS at, t0 IS NOT NULL AND t1 IS NOT NULL AS valid,
+      CASE WHEN t0 IS NOT NULL AND t1 IS NOT NULL THEN CASE WHEN MINUTES(t0, datetime) <= MINUTES(datetime, t1) THEN lat0 ELSE lat1 END END AS lat,
+      CASE WHEN t0 IS NOT NULL AND t1 IS NOT NULL THEN CASE WHEN MINUTES(t0, datetime) <= MINUTES(datetime, t1) THEN lng0 ELSE lng1 END END AS lng FROM (
+      SELECT *, LAST_KNOWN(ft) OVER b AS t0, LAST_KNOWN(lat) OVER b AS lat0, LAST_KNOWN(lng) OVER b AS lng0, NEXT_KNOWN(ft) OVER a AS t1, NEXT_KNOWN(lat) OVER a AS lat1, NEXT_KNOWN(lng) OVER a AS lng1 FROM (
+        SELECT uid, datetime, datetime AS ft, lat, lng, event_id, 0 AS kind FROM ({_V}) v
+        UNION ALL SELECT u.uid, i.at AS datetime, CAST(NULL AS TIMESTAMP_NTZ) AS ft, CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lng, CAST(NULL AS BIGINT) AS event_id, 1 AS kind FROM (SELECT DISTINCT uid FROM ({_V}) v2) u CROSS JOIN {{instants}} i) t
+      WINDOW b AS (PARTITION BY uid ORDER BY datetime, kind, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY uid ORDER BY datetime, kind, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) w WHERE kind = 1""",
+)
 squared_tessellation = Op(
     "squared_tessellation",
     "Squares of side metres (Web Mercator) over the bounding box of the fixes, with their centres.",
@@ -67,3 +78,23 @@ compare_to = Op(
         SELECT grp, v, sum(m) AS m, max(l) AS l, max(r) AS r FROM (SELECT origin AS grp, flow AS v, 1e0 / count(*) OVER (PARTITION BY origin) AS m, 1 AS l, 0 AS r FROM {observed} UNION ALL SELECT origin AS grp, flow AS v, -1e0 / count(*) OVER (PARTITION BY origin) AS m, 0 AS l, 1 AS r FROM {predicted}) a GROUP BY grp, v) b) c GROUP BY grp) d WHERE l = 1 AND r = 1""",
 )
 distribution_quantiles = Op("distribution_quantiles", "Tenth and ninetieth percentile of the flows, between neighbours on a straight line.", "SELECT round(PERCENTILE(flow, 0.1), 6) AS p10, round(PERCENTILE(flow, 0.9), 6) AS p90 FROM {flows}")
+
+
+class TessellationTilers:
+    """Tessellations by name: callables that take a table of fixes or points first."""
+
+    def __init__(self):
+        self._known = {"squared": squared_tessellation, "voronoi": voronoi_tessellation, "grid": global_locations}
+
+    def register_tiler(self, key: str, tiler) -> None:
+        self._known[key] = tiler
+
+    def create(self, key: str, *frames, **parameters):
+        if key not in self._known:
+            raise ValueError(f"no tiler {key!r}; there are {sorted(self._known)}")
+        return self._known[key](*frames, **parameters)
+
+    get = create
+
+
+tilers = TessellationTilers()

@@ -6,9 +6,10 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.components import components
 from ..functions.geo import EARTH_KM, valid
 from .kernels import _km, _per_user, filter_speed
 from .walks import _KEPT, _from_segment, _kmh, _masked, _planar, _stays, _uid
@@ -283,6 +284,39 @@ def shape_signatures(fixes: DataFrame, depth: int = 4) -> DataFrame:
     return _per_user(fixes, walk, f"{_uid(fixes)}, signature array<double>")
 
 
+def cluster_trajectory_shapes(fixes: DataFrame, depth: int = 4, epsilon: float = 0.05, min_cluster_size: int = 2) -> DataFrame:
+    """uid, cluster: users whose lines have like shapes; -1 for those like too few others.
+
+    Signatures within epsilon (Euclidean) are neighbours; those with min_cluster_size neighbours, themselves included, are
+    cores; cores that are neighbours share a cluster, and others join that of their nearest core. Neighbours are met in
+    cells of the two components that vary most over levels, so not all pairs are compared. Clusters are numbered by their
+    least user.
+    """
+    signed = shape_signatures(fixes, depth).persist()
+    wide = 1 if depth > 1 else 0  # the whole line, and the first half of it
+    cell = lambda i: F.floor(F.col("signature")[i] / epsilon).cast("long")
+    a = signed.select(F.col("uid").alias("a"), F.col("signature").alias("x"), F.explode(F.sequence(cell(0) - 1, cell(0) + 1)).alias("p"), cell(wide).alias("q0")).withColumn("q", F.explode(F.sequence(F.col("q0") - 1, F.col("q0") + 1))).drop("q0")
+    b = signed.select(F.col("uid").alias("b"), F.col("signature").alias("y"), cell(0).alias("p"), cell(wide).alias("q"))
+    far = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, d: s + d))
+    near = a.join(b, ["p", "q"]).withColumn("d", far).where(F.col("d") <= epsilon).select("a", "b", "d").persist()
+    cores = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_cluster_size).select(F.col("a").alias("node"))
+    links = near.join(cores.withColumnRenamed("node", "a"), "a").join(cores.withColumnRenamed("node", "b"), "b").where("a < b").select("a", "b")
+    root = components(cores, links)
+    border = near.join(root.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min_by("root", F.struct("d", "root")).alias("reached"))
+    got = signed.select("uid").join(root.withColumnRenamed("node", "uid"), "uid", "left").join(border.withColumnRenamed("a", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "reached"))
+    # One row a cluster is numbered, not one a user.
+    numbered = root.select("root").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("root")) - 1)
+    return got.join(F.broadcast(numbered), "root", "left").select("uid", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
+
+
+def cluster_trajectory_shapes_from_segments(segments: DataFrame, depth: int = 4, epsilon: float = 0.05, min_cluster_size: int = 2) -> DataFrame:
+    """uid, segment_id, cluster: the same for the lines of fixes(uid, segment_id, datetime, event_id, lat, lng)."""
+    key = F.concat_ws("/", F.col("uid").cast("string"), F.col("segment_id").cast("string"))
+    lines = segments.withColumn("line", key)
+    found = cluster_trajectory_shapes(lines.drop("uid").withColumnRenamed("line", "uid"), depth, epsilon, min_cluster_size)
+    return lines.select("uid", "segment_id", "line").distinct().join(found.withColumnRenamed("uid", "line"), "line").select("uid", "segment_id", "cluster")
+
+
 def speeds(fixes: DataFrame) -> DataFrame:
     """km/h into each fix from the one before; 0 for the first and where no time passes."""
     return _per_user(fixes, lambda part, t, lat, lng: part[["uid", "event_id"]].assign(speed_kmh=_kmh(t, lat, lng)), f"{_uid(fixes)}, event_id bigint, speed_kmh double")

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import haversine, valid
+from .near import nearest
+
 #: Bound of the edges a network may have: they reach every task.
 MAX_EDGES = 5_000_000
 
@@ -87,3 +90,23 @@ class RoadNetwork:
         known = jumps.where("source >= 0 and node >= 0").select("source", F.col("node").alias("target"))
         far = self.distances(known.join(nodes.select(F.col("node").alias("source")), "source", "left_semi")).where("reachable").withColumnRenamed("target", "node")
         return jumps.join(far, ["source", "node"], "left").select("uid", "event_id", F.round(F.coalesce(F.col("metres") / 1000, F.col("straight_km")), 6).alias("jump_length"))
+
+    def radius_of_gyration(self, fixes: DataFrame, nodes: DataFrame, snap_max_distance_m: float = 750.0) -> DataFrame:
+        """km: root mean square of the distances on the network from the node nearest to a user's mean coordinate to the nodes
+        nearest to the fixes; straight where a point is farther than snap_max_distance_m from a node, or out of reach.
+
+        fixes(uid, lat, lng), nodes(node, lat, lng)."""
+        rows = fixes.where(valid(F.col("lat"), F.col("lng"))).groupBy("uid", "lat", "lng").agg(F.count("*").alias("n"))
+        centre = rows.groupBy("uid").agg((F.sum(F.col("n") * F.col("lat")) / F.sum("n")).alias("clat"), (F.sum(F.col("n") * F.col("lng")) / F.sum("n")).alias("clng"))
+        points = nodes.select(F.col("node").alias("id"), "lat", "lng")
+
+        def snapped(coordinates: DataFrame, name: str) -> DataFrame:
+            return nearest(coordinates, points).where(F.col("d") * 1000 <= snap_max_distance_m).select("lat", "lng", F.col("id").alias(name))
+
+        at = snapped(rows.select("lat", "lng"), "target")
+        middle = snapped(centre.select(F.col("clat").alias("lat"), F.col("clng").alias("lng")), "source").withColumnsRenamed({"lat": "clat", "lng": "clng"})
+        both = rows.join(centre, "uid").join(at, ["lat", "lng"], "left").join(middle, ["clat", "clng"], "left").persist()
+        far = self.distances(both.where("source is not null and target is not null").select("source", "target")).where("reachable").select("source", "target", "metres")
+        straight = haversine(F.col("clat"), F.col("clng"), F.col("lat"), F.col("lng"))
+        km = both.join(far, ["source", "target"], "left").withColumn("km", F.coalesce(F.col("metres") / 1000, straight))
+        return km.groupBy("uid").agg(F.round(F.sqrt(F.sum(F.col("n") * F.col("km") ** 2) / F.sum("n")), 6).alias("radius_of_gyration"))

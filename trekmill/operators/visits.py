@@ -119,6 +119,12 @@ def daily_motifs(visits: DataFrame, home: str = "HOME") -> DataFrame:
     return _per_visitor(visits, walk, "day date, motif_id bigint")
 
 
+def daily_motifs_from_staypoints(staypoints: DataFrame, locations: DataFrame, home: str = "home") -> DataFrame:
+    """daily_motifs of stays whose purposes are those of each user's places: locations(uid, location_id, purpose). Places without one have none."""
+    named = staypoints.drop("purpose").join(locations.select("uid", "location_id", "purpose"), ["uid", "location_id"], "left")
+    return daily_motifs(named, home)
+
+
 def motif_distribution(daily: DataFrame) -> DataFrame:
     """Days and per cent of each motif."""
     n = daily.groupBy("motif_id").agg(F.count("*").alias("days"))
@@ -155,3 +161,35 @@ def exploration_profiles(visits: DataFrame, seed: int = 42, iterations: int = 30
     order = np.argsort([c[0] for c in model.clusterCenters()]).tolist()
     names = F.create_map(*[F.lit(x) for k, name in zip(order, ("scouter", "regular", "routiner"), strict=False) for x in (k, name)])
     return model.transform(degrees).select("uid", "degree_of_return", names[F.col("prediction")].alias("profile"))
+
+
+#: Names of three clusters, by rising degree of return.
+PROFILES = ("scouters", "regulars", "routiners")
+
+
+def compute_profiles(visits: DataFrame, n_clusters: int = 3, seed: int = 0, iterations: int = 300) -> DataFrame:
+    """Per user: intermittency, degree_of_return, regularity, diversity, entropy (of the sequence, over its largest), stationarity, and a profile.
+
+    Stationarity is the mean share of a visit to its user's most visited place. Profiles are k-means clusters of the
+    standardised intermittency and degree of return, named by rising degree of return where there are at most three.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import array_to_vector
+
+    from .individual import regularity
+
+    most = visits.where("location_id is not null").groupBy("uid", "location_id").agg(F.count("*").alias("n")).groupBy("uid").agg(F.round(F.max("n") / F.sum("n"), 6).alias("stationarity"))
+    entropy = trajectory_entropy(visits).select("uid", F.round("normalized_entropy", 6).alias("entropy"))
+    purposes = visits if "purpose" in visits.columns else visits.withColumn("purpose", F.lit(None).cast("string"))
+    table = intermittency(visits).select("uid", "intermittency", "degree_of_return").join(regularity(purposes), "uid").join(diversity(visits).select("uid", F.round("diversity", 6).alias("diversity")), "uid").join(entropy, "uid").join(most, "uid")
+    table = table.persist()
+    if table.count() < n_clusters:
+        raise ValueError(f"fewer than {n_clusters} users")
+    raw = table.withColumn("raw", array_to_vector(F.array("intermittency", "degree_of_return")))
+    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(raw).transform(raw)
+    model = KMeans(k=n_clusters, seed=seed, maxIter=iterations).fit(scaled)
+    order = np.argsort([c[1] for c in model.clusterCenters()]).tolist()
+    names = [PROFILES[i] if n_clusters <= 3 else f"cluster_{i}" for i in range(len(order))]
+    named = F.create_map(*[F.lit(x) for k, n in zip(order, names, strict=True) for x in (k, n)])
+    return model.transform(scaled).withColumn("profile", named[F.col("prediction")]).select(*table.columns, "profile")

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_KM
+from ..functions.geo import EARTH_KM, haversine, valid
 from .kernels import _km, _per_user
 
 _KEPT = "datetime timestamp_ntz, event_id bigint, lat double, lng double"
@@ -43,20 +44,26 @@ def _masked(fixes: DataFrame, keep) -> DataFrame:
     return _per_user(fixes, lambda part, t, lat, lng: part[keep(t, lat, lng)], f"{_uid(fixes)}, {_KEPT}")
 
 
+def _speeds(fixes: DataFrame) -> DataFrame:
+    """The usable fixes with us (microseconds) and v: km/h from the fix before, 0 for the first and where no time passes."""
+    line = Window.partitionBy("uid").orderBy("datetime", "event_id")
+    rows = fixes.where(valid(F.col("lat"), F.col("lng")) & F.col("datetime").isNotNull()).select("uid", "datetime", "event_id", "lat", "lng")
+    rows = rows.withColumn("us", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', datetime)"))
+    dt = (F.col("us") - F.lag("us").over(line)) / 3.6e9
+    km = haversine(F.lag("lat").over(line), F.lag("lng").over(line), F.col("lat"), F.col("lng"))
+    return rows.withColumn("v", F.when(dt > 0, km / dt).otherwise(0.0))
+
+
 def filter_hampel(fixes: DataFrame, window_size: int = 5, n_sigma: float = 3.0) -> DataFrame:
     """Drops fixes whose speed is n_sigma scaled median deviations from the median of a centred window; the ends stay."""
     half = window_size // 2
-
-    def keep(t, lat, lng):
-        v, out = _kmh(t, lat, lng), np.ones(len(t), bool)
-        if len(t) > 2 * half:
-            near = np.lib.stride_tricks.sliding_window_view(v, 2 * half + 1)
-            mid = np.median(near, axis=1)
-            spread = np.median(np.abs(near - mid[:, None]), axis=1)
-            out[half : len(t) - half] = np.abs(v[half : len(t) - half] - mid) <= n_sigma * 1.4826 * spread
-        return out
-
-    return _masked(fixes, keep)
+    line = Window.partitionBy("uid").orderBy("datetime", "event_id")
+    rows = _speeds(fixes).withColumn("near", F.array_sort(F.collect_list("v").over(line.rowsBetween(-half, half))))
+    mid = F.element_at("near", half + 1)
+    spread = F.element_at(F.array_sort(F.transform("near", lambda x: F.abs(x - F.col("mid")))), half + 1)
+    whole = F.size("near") == 2 * half + 1
+    kept = rows.withColumn("mid", F.when(whole, mid)).withColumn("spread", F.when(whole, spread)).where(F.coalesce(F.abs(F.col("v") - F.col("mid")) <= n_sigma * 1.4826 * F.col("spread"), F.lit(True)))
+    return kept.select("uid", "datetime", "event_id", "lat", "lng")
 
 
 def filter_smart_greedy(fixes: DataFrame, max_speed_kmh: float = 100.0) -> DataFrame:
@@ -206,18 +213,13 @@ def segment_angle_change(fixes: DataFrame, min_angle: float = 45.0, min_speed_km
 
 def segment_speed(fixes: DataFrame, speed_kmh: float = 0.0, max_speed_kmh: float = float("inf"), duration_s: float = 300.0) -> DataFrame:
     """Runs outside the speed bounds that last duration_s are segments of their own. The first fix starts no run."""
-
-    def number(t, lat, lng):
-        v = _kmh(t, lat, lng)
-        still = np.r_[False, ((v < speed_kmh) | (v > max_speed_kmh))[1:]]
-        edge = np.flatnonzero(np.diff(np.r_[0, still.astype(int), 0]))
-        jump = np.zeros(len(t) + 1, int)
-        for s, e in edge.reshape(-1, 2):
-            if t[e - 1] - t[s] >= duration_s:
-                jump[[s, e]] += 1
-        return jump[:-1].cumsum()
-
-    return _segments(fixes, number)
+    line = Window.partitionBy("uid").orderBy("datetime", "event_id")
+    rows = _speeds(fixes).withColumn("k", F.row_number().over(line)).withColumn("still", (F.col("k") > 1) & ((F.col("v") < speed_kmh) | (F.col("v") > max_speed_kmh)))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("still") == F.lag("still").over(line), 0).otherwise(1)).over(line))
+    run = Window.partitionBy("uid", "run")
+    rows = rows.withColumn("long", F.col("still") & (F.max("us").over(run) - F.min("us").over(run) >= duration_s * 1e6))
+    new = (F.col("k") > 1) & (F.col("run") != F.lag("run").over(line)) & (F.col("long") | F.lag("long").over(line))
+    return rows.withColumn("new", F.when(new, 1).otherwise(0)).select("uid", "event_id", F.sum("new").over(line).cast("long").alias("segment_id"))
 
 
 def segment_stop(fixes: DataFrame, stop_radius_km: float = 0.2, minutes_for_a_stop: float = 20.0, no_data_for_minutes: float = 1e12) -> DataFrame:
@@ -273,6 +275,16 @@ def _kontoyiannis(s: np.ndarray) -> float:
     return float(n * np.log2(n) / most.sum())
 
 
+def real_entropy(fixes: DataFrame) -> DataFrame:
+    """Entropy of each user's sequence of coordinates by the lengths of its matches; 0 for one fix. Quadratic in a user's fixes."""
+
+    def walk(part, t, lat, lng):
+        codes = pd.factorize(pd.MultiIndex.from_arrays([lat, lng]))[0]
+        return pd.DataFrame({"uid": part["uid"].iloc[:1], "real_entropy": [round(_kontoyiannis(codes), 6)]})
+
+    return _per_user(fixes, walk, f"{_uid(fixes)}, real_entropy double")
+
+
 def _fano(h: float, n: int) -> float:
     """Largest predictability that entropy h over n places allows."""
     if n < 2:
@@ -301,7 +313,7 @@ def trajectory_predictability(fixes: DataFrame) -> DataFrame:
 
 
 def tours(trips: DataFrame) -> DataFrame:
-    """First and last trip of each tour: trips(uid, trip_id, origin, destination) in trip_id order; the first later (or same)
+    """First and last trip of each tour, and the journey (its trips in order): trips(uid, trip_id, origin, destination) in trip_id order; the first later (or same)
     trip that ends where a trip starts closes its tour, and the search goes on after it. Null origins start none."""
 
     def walk(part):
@@ -311,9 +323,9 @@ def tours(trips: DataFrame) -> DataFrame:
         while j < len(ids):
             k = next((k for k in range(j, len(ids)) if end[k] == start[j]), None) if start[j] is not None and start[j] == start[j] else None
             if k is not None:
-                out.append((part["uid"].iloc[0], ids[j], ids[k], k - j + 1))
+                out.append((part["uid"].iloc[0], ids[j], ids[k], k - j + 1, ids[j : k + 1]))
                 j = k
             j += 1
-        return pd.DataFrame(out, columns=["uid", "first_trip", "last_trip", "n_trips"])
+        return pd.DataFrame(out, columns=["uid", "first_trip", "last_trip", "n_trips", "journey"])
 
-    return trips.select("uid", "trip_id", "origin", "destination").groupBy("uid").applyInPandas(walk, f"{_uid(trips)}, first_trip bigint, last_trip bigint, n_trips bigint")
+    return trips.select("uid", "trip_id", "origin", "destination").groupBy("uid").applyInPandas(walk, f"{_uid(trips)}, first_trip bigint, last_trip bigint, n_trips bigint, journey array<bigint>")

@@ -111,6 +111,20 @@ TEXTS = {
     "global_locations": "SELECT floor(lat / 0.013)::BIGINT AS cell_lat, floor(lng / 0.013)::BIGINT AS cell_lng, round((floor(lat / 0.013) + 0.5) * 0.013, 6) AS lat, round((floor(lng / 0.013) + 0.5) * 0.013, 6) AS lng, count(*) AS n, len(list_distinct(list(uid))) AS users FROM fixes GROUP BY floor(lat / 0.013), floor(lng / 0.013)",
     "voronoi_tessellation": "SELECT id, (SELECT count(*) FROM pois b WHERE b.id < a.id) AS tile_id, lat, lng FROM pois a",
     "cdr_trips": f"WITH RECURSIVE {_N}, r AS (SELECT *, 1 AS visit FROM n WHERE k = 1 UNION ALL SELECT n.*, r.visit + (n.place <> r.place)::INT FROM r JOIN n ON n.uid = r.uid AND n.k = r.k + 1), s AS (SELECT uid, visit, any_value(place) AS place, min(datetime) AS a, max(datetime) AS b, quantile_cont(lat, 0.5) AS lat, quantile_cont(lng, 0.5) AS lng FROM r GROUP BY uid, visit), t AS (SELECT x.*, y.place AS q, y.a AS nxt, y.lat AS qlat, y.lng AS qlng, {km('x.lat', 'x.lng', 'y.lat', 'y.lng')} AS km, (epoch_us(y.a) - epoch_us(x.b)) / 6e7 AS gap FROM s x JOIN s y ON y.uid = x.uid AND y.visit = x.visit + 1), m AS (SELECT *, least(gap, km * 1.2 / 50 * 60) AS minutes FROM t) SELECT uid, visit AS trip_number, place AS origin, q AS destination, round(lat, 6) AS origin_lat, round(lng, 6) AS origin_lng, round(qlat, 6) AS destination_lat, round(qlng, 6) AS destination_lng, round(km, 6) AS straight_km, round(km * 1.2, 6) AS km, nxt - to_microseconds(round(minutes * 6e7)::BIGINT) AS departs_at, nxt AS arrives_at, round(minutes, 4) AS minutes, round(gap, 4) AS gap_minutes, round(CASE WHEN minutes > 0 THEN km * 1.2 / (minutes / 60) END, 4) AS speed_kmh FROM m",
+    "next_place_counts": f"WITH {_W}, x AS (SELECT uid, k, list(location_id) OVER (PARTITION BY uid ORDER BY k) AS l FROM w), y AS (SELECT uid, l[-1] AS next_id, l[:-2] AS past, unnest(range(0, least(len(l) - 1, 2) + 1)) AS m FROM x) SELECT uid, array_to_string(CASE WHEN m = 0 THEN [] ELSE past[-m:] END, ',') AS context, next_id, count(*) AS n FROM y GROUP BY ALL",
+    "next_place_proba": f"WITH {_W}, x AS (SELECT uid, list(location_id) OVER (PARTITION BY uid ORDER BY k) AS l FROM w), y AS (SELECT uid, l[-1] AS z, l[:-2] AS past, unnest(range(0, least(len(l) - 1, 2) + 1)) AS m FROM x), c AS (SELECT uid, m, CASE WHEN m = 0 THEN '' ELSE array_to_string(past[-m:], ',') END AS ctx, z, count(*) AS n FROM y GROUP BY ALL), e AS (SELECT uid, list(location_id ORDER BY k) AS l FROM w GROUP BY uid), a AS (SELECT uid, unnest(range(0, least(len(l), 2) + 1)) AS m, l FROM e), t AS (SELECT a.uid, a.m, c.z, c.n FROM a JOIN c ON a.uid = c.uid AND a.m = c.m AND c.ctx = CASE WHEN a.m = 0 THEN '' ELSE array_to_string(a.l[-a.m:], ',') END), b AS (SELECT * FROM t WHERE m = (SELECT max(m) FROM t q WHERE q.uid = t.uid)) SELECT uid, row_number() OVER (PARTITION BY uid ORDER BY n DESC, z) AS rank, z AS next_id, m AS context_length, round(n / sum(n) OVER (PARTITION BY uid), 6) AS probability FROM b QUALIFY rank <= 3",
+    "next_place_evaluation": f"WITH {_W}, g AS (SELECT uid, max(k) AS top FROM w GROUP BY uid HAVING max(k) > 2), x AS (SELECT uid, k, location_id AS z, list(location_id) OVER (PARTITION BY uid ORDER BY k) AS l FROM w), y AS (SELECT uid, k, z, m, CASE WHEN m = 0 THEN '' ELSE array_to_string((l[:-2])[-m:], ',') END AS ctx FROM (SELECT *, unnest(range(0, least(len(l) - 1, 2) + 1)) AS m FROM x) u), a AS (SELECT y.* FROM y JOIN g ON y.uid = g.uid AND y.k > g.top - 2), t AS (SELECT a.uid, a.k, a.z AS truth, a.m, y.z, count(*) AS n FROM a JOIN y ON a.uid = y.uid AND a.m = y.m AND a.ctx = y.ctx AND y.k < a.k GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY uid, k ORDER BY n DESC, z) AS r FROM t WHERE m = (SELECT max(q.m) FROM t q WHERE q.uid = t.uid AND q.k = t.k)) SELECT round((SELECT count(*) FROM b WHERE r <= 3 AND z = truth) / count(*), 6) AS accuracy, count(*) AS steps, count(DISTINCT uid) AS users FROM (SELECT DISTINCT uid, k FROM a) d",
+    "locations_from_tessellation": "SELECT id AS location_id, lat, lng FROM pois",
+    "locations_faults": "SELECT count(*) FILTER (location_id IS NULL) AS null_ids, count(*) - count(DISTINCT location_id) AS repeated_ids, count(*) FILTER (lat IS NULL OR abs(lat) > 90) AS bad_centres FROM catalogue",
+    "associate_locations": f"WITH d AS (SELECT f.event_id, arg_min((c.location_id, {km('f.lat', 'f.lng', 'c.lat', 'c.lng')}), (round({km('f.lat', 'f.lng', 'c.lat', 'c.lng')}, 9), c.location_id)) AS x FROM other_fixes f CROSS JOIN catalogue c GROUP BY f.event_id) SELECT event_id, CASE WHEN x[2] <= 0.6 THEN x[1] END AS location_id FROM d",
+    "interpolate_at_nearest": "WITH s AS (SELECT uid, min(datetime) AS a, max(datetime) AS b FROM fixes GROUP BY uid), g AS (SELECT s.uid, i.\"at\" AS t, i.\"at\" BETWEEN a AND b AS ok FROM s CROSS JOIN instants i), m AS (SELECT g.uid, g.t, g.ok, arg_min((f.lat, f.lng), (abs(epoch_us(f.datetime) - epoch_us(g.t)), f.datetime, -f.event_id)) AS x FROM g JOIN fixes f USING (uid) GROUP BY ALL) SELECT uid, t AS \"at\", ok AS valid, CASE WHEN ok THEN x[1] END AS lat, CASE WHEN ok THEN x[2] END AS lng FROM m",
+    "mapping_polygons": "SELECT lat, lng, min(tile_id) AS tile_id FROM (SELECT DISTINCT f.lat, f.lng, c.location_id AS tile_id FROM other_fixes f JOIN catalogue c ON f.lat >= c.lat - 0.005 AND f.lat < c.lat + 0.005 AND f.lng >= c.lng - 0.005 AND f.lng < c.lng + 0.005) q GROUP BY lat, lng",
+    "filter_hampel": f"WITH {_J}, v AS (SELECT n.uid, n.datetime, n.event_id, n.lat, n.lng, n.k, coalesce(CASE WHEN us > 0 THEN km / (us / 3.6e9) END, 0) AS v FROM n LEFT JOIN j USING (uid, event_id)), w AS (SELECT a.uid, a.datetime, a.event_id, a.lat, a.lng, a.v, list(b.v) AS l FROM v a JOIN v b ON a.uid = b.uid AND b.k BETWEEN a.k - 2 AND a.k + 2 GROUP BY ALL), m AS (SELECT *, list_median(l) AS m, list_median(list_transform(l, lambda x: abs(x - list_median(l)))) AS s FROM w) SELECT uid, datetime, event_id, lat, lng FROM m WHERE len(l) < 5 OR abs(v - m) <= 3 * 1.4826 * s",
+    "segment_speed": f"WITH RECURSIVE {_J}, v AS (SELECT n.uid, n.event_id, n.datetime, n.k, n.k > 1 AND coalesce(CASE WHEN us > 0 THEN km / (us / 3.6e9) END, 0) < 0.05 AS still FROM n LEFT JOIN j USING (uid, event_id)), r AS (SELECT *, 0 AS run FROM v WHERE k = 1 UNION ALL SELECT v.*, r.run + (v.still <> r.still)::INT FROM r JOIN v ON v.uid = r.uid AND v.k = r.k + 1), g AS (SELECT uid, run, any_value(still) AND max(epoch_us(datetime)) - min(epoch_us(datetime)) >= 300000000 AS long FROM r GROUP BY uid, run) SELECT r.uid, r.event_id, (SELECT count(*) FROM g a WHERE a.uid = r.uid AND a.run <= r.run AND a.run > 0 AND (a.long OR EXISTS (SELECT 1 FROM g b WHERE b.uid = a.uid AND b.run = a.run - 1 AND b.long))) AS segment_id FROM r",
+    "diversity": f"WITH {_W}, l AS (SELECT uid, list(location_id ORDER BY k) AS s FROM w GROUP BY uid), p AS (SELECT uid, len(s) AS n, s, unnest(range(1, len(s) + 1)) AS i FROM l), q AS (SELECT uid, n, i, s, unnest(range(i, n + 1)) AS j FROM p) SELECT uid, round(CASE WHEN any_value(n) > 1 THEN count(DISTINCT array_to_string(s[i:j], ',')) / (any_value(n) * (any_value(n) + 1) / 2) ELSE 0 END, 9) AS diversity FROM q GROUP BY uid",
+    "trajectory_distance_hausdorff": f"WITH p AS (SELECT DISTINCT a.uid AS a, b.uid AS b FROM fixes a JOIN fixes b ON b.uid = a.uid + 1), d AS (SELECT p.a, p.b, x.event_id AS i, y.event_id AS j, {km('x.lat', 'x.lng', 'y.lat', 'y.lng')} AS d FROM p JOIN fixes x ON x.uid = p.a JOIN fixes y ON y.uid = p.b), u AS (SELECT a, b, i, min(d) AS m FROM d GROUP BY ALL), v AS (SELECT a, b, j, min(d) AS m FROM d GROUP BY ALL) SELECT a, b, greatest((SELECT max(m) FROM u WHERE u.a = p.a AND u.b = p.b), (SELECT max(m) FROM v WHERE v.a = p.a AND v.b = p.b)) AS distance FROM p",
+    "compress": f"WITH RECURSIVE {_N}, r AS (SELECT uid, event_id, k, lat AS y, lng AS x, 0 AS g FROM n WHERE k = 1 UNION ALL SELECT n.uid, n.event_id, n.k, CASE WHEN far THEN n.lat ELSE r.y END, CASE WHEN far THEN n.lng ELSE r.x END, r.g + far::INT FROM r JOIN n ON n.uid = r.uid AND n.k = r.k + 1, LATERAL (SELECT {km('r.y', 'r.x', 'n.lat', 'n.lng')} > 1.0 AS far) q) SELECT r.uid, min(f.datetime) AS datetime, quantile_cont(f.lat, 0.5) AS lat, quantile_cont(f.lng, 0.5) AS lng FROM r JOIN fixes f USING (uid, event_id) GROUP BY r.uid, r.g",
+    "segment_angle_change": f"WITH RECURSIVE {_J}, b AS (SELECT *, degrees(atan2(sin(radians(lng - alng)) * cos(radians(lat)), cos(radians(alat)) * sin(radians(lat)) - sin(radians(alat)) * cos(radians(lat)) * cos(radians(lng - alng)))) AS turn FROM j), r AS (SELECT n.uid, n.event_id, n.k, b.turn AS first, 0 AS s FROM n LEFT JOIN b ON b.uid = n.uid AND b.k = 2 WHERE n.k = 1 UNION ALL SELECT b.uid, b.event_id, b.k, CASE WHEN off >= 45 THEN b.turn ELSE r.first END, r.s + (off >= 45)::INT FROM r JOIN b ON b.uid = r.uid AND b.k = r.k + 1, LATERAL (SELECT least(abs(b.turn - r.first), 360 - abs(b.turn - r.first)) AS off) q) SELECT uid, event_id, s::BIGINT AS segment_id FROM r",
     # Walks over one user's rows: recursion from fix to fix.
     "filter_speed": f"WITH RECURSIVE {_N}, r AS (SELECT uid, event_id, k, lat, lng, datetime AS t, true AS keep FROM n WHERE k = 1 UNION ALL SELECT n.uid, n.event_id, n.k, CASE WHEN ok THEN n.lat ELSE r.lat END, CASE WHEN ok THEN n.lng ELSE r.lng END, CASE WHEN ok THEN n.datetime ELSE r.t END, ok FROM r JOIN n ON n.uid = r.uid AND n.k = r.k + 1, LATERAL (SELECT epoch_us(n.datetime) > epoch_us(r.t) AND {km('r.lat', 'r.lng', 'n.lat', 'n.lng')} / ((epoch_us(n.datetime) - epoch_us(r.t)) / 3.6e9) <= 0.05 AS ok) q) SELECT f.uid, f.datetime, f.event_id, f.lat, f.lng FROM r JOIN fixes f USING (uid, event_id) WHERE keep",
     "simplify_min_distance": f"WITH RECURSIVE {_N}, e AS (SELECT uid, max(k) AS m FROM n GROUP BY uid), r AS (SELECT uid, event_id, k, lat, lng, true AS keep FROM n WHERE k = 1 UNION ALL SELECT n.uid, n.event_id, n.k, CASE WHEN ok THEN n.lat ELSE r.lat END, CASE WHEN ok THEN n.lng ELSE r.lng END, ok OR n.k = e.m FROM r JOIN n ON n.uid = r.uid AND n.k = r.k + 1 JOIN e ON e.uid = n.uid, LATERAL (SELECT {km('r.lat', 'r.lng', 'n.lat', 'n.lng')} >= 1.0 AS ok) q) SELECT f.uid, f.datetime, f.event_id, f.lat, f.lng FROM r JOIN fixes f USING (uid, event_id) WHERE keep",

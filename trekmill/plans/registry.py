@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geo import haversine
 from ..functions.portable import SqlOperator
-from ..operators import collective, fitting, hierarchy, individual, kernels, models, motion, near, network, privacy, sequence, social, visits, walks
+from ..operators import attacks, catalogue, collective, fitting, hierarchy, individual, kernels, match, models, motion, near, network, next_place, privacy, sequence, social, social_models, transport, visits, walks
 from . import oracles
 from .views import VIEWS, view
 
@@ -88,8 +89,69 @@ def _points(run: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[Spark
     return lambda spark, sf_dir: run(view(spark, sf_dir, "fixes"), view(spark, sf_dir, "pois"))
 
 
+def _streets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes at the places, and two-way edges between places of near ids."""
+    nodes = view(spark, sf_dir, "places").select(F.col("location_id").alias("node"), "lat", "lng")
+    a, b = (nodes.select(*[F.col(c).alias(f"{c}{s}") for c in nodes.columns]) for s in "12")
+    metres = 1000 * haversine(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"))
+    edges = a.join(b, (F.abs(F.col("node1") - F.col("node2")) <= 3) & (F.col("node1") != F.col("node2"))).select(F.col("node1").alias("source"), F.col("node2").alias("target"), metres.alias("length_m"), metres.alias("weight"))
+    return nodes, edges
+
+
+def _road_gyration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _streets(spark, sf_dir)
+    return network.RoadNetwork(edges).radius_of_gyration(view(spark, sf_dir, "fixes"), nodes)
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _streets(spark, sf_dir)
+    return match.match_trajectory(view(spark, sf_dir, "fixes"), nodes, edges, gap_seconds=1e9)
+
+
+def _volumes_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = hierarchy.stvd(view(spark, sf_dir, "visits"), view(spark, sf_dir, "places"))
+    early, late = got.where("slot < 72"), got.where("slot >= 72")
+    return spark.createDataFrame([(round(transport.stvd_emd(early, late), 3),)], "metres double")
+
+
+def _fit_row(spark: SparkSession, fit: dict) -> DataFrame:
+    return spark.createDataFrame([fit])
+
+
+def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares of a hundredth of a degree about every other place as polygons, and the fixes in them."""
+    corner = lambda x, y: F.struct((F.col("lng") + x).alias("lng"), (F.col("lat") + y).alias("lat"))
+    ring = F.array(*[corner(x, y) for x, y in ((-0.005, -0.005), (0.005, -0.005), (0.005, 0.005), (-0.005, 0.005), (-0.005, -0.005))])
+    tiles = view(spark, sf_dir, "catalogue").select(F.col("location_id").alias("tile_id"), F.array(ring).alias("rings"))
+    return near.mapping_polygons(view(spark, sf_dir, "other_fixes"), tiles)
+
+
 QUERIES |= {
     **{f.__name__: _points(f) for f in (near.join_with_pois, near.join_with_pois_by_category, near.mapping_points, near.snap_locations)},
+    "next_place_counts": _visits(lambda v: next_place.context_counts(v, order=2).withColumn("context", F.concat_ws(",", F.transform("context", lambda x: x.cast("string"))))),
+    "next_place_proba": _visits(lambda v: next_place.predict_proba(v, order=2, top_k=3)),
+    "next_place_evaluation": _visits(lambda v: next_place.evaluate(v, order=2, top_k=3, n_holdout=2)),
+    "locations_from_tessellation": lambda spark, sf_dir: catalogue.Locations.from_tessellation(view(spark, sf_dir, "pois")).model_input(),
+    "locations_faults": lambda spark, sf_dir: catalogue.Locations.of(view(spark, sf_dir, "catalogue"), validate=False).faults(),
+    "locations_identify": lambda spark, sf_dir: catalogue.Locations.of(view(spark, sf_dir, "catalogue")).identify(view(spark, sf_dir, "visits")),
+    "associate_locations": lambda spark, sf_dir: catalogue.Locations.of(view(spark, sf_dir, "catalogue")).associate(view(spark, sf_dir, "other_fixes").select("event_id", "lat", "lng"), max_distance_m=600.0).select("event_id", "location_id"),
+    **{f"assess_risk_{a}": _visits(lambda v, a=a: attacks.assess_risk(v, 2, a)) for a in (*attacks.CONTAINED, *attacks.VALUED)},
+    "assess_risk_instances": _visits(lambda v: attacks.assess_risk(v, 1, "unique_location", force_instances=True).withColumn("known", F.concat_ws(",", "known"))),
+    "assess_risk_three": _visits(lambda v: attacks.assess_risk(v, 3, "unique_location")),
+    "real_entropy": _kernel(walks.real_entropy),
+    "compute_profiles": _visits(visits.compute_profiles),
+    "daily_motifs_from_staypoints": lambda spark, sf_dir: visits.daily_motifs_from_staypoints(view(spark, sf_dir, "visits"), individual.identify_locations(view(spark, sf_dir, "visits"))),
+    "cluster_trajectory_shapes": _kernel(lambda f: motion.cluster_trajectory_shapes(f, epsilon=0.3)),
+    "cluster_trajectory_shapes_from_segments": _kernel(lambda f: motion.cluster_trajectory_shapes_from_segments(f.join(sequence.segment_temporal(f, unit="week"), ["uid", "event_id"]), depth=2, epsilon=0.2)),
+    "radius_of_gyration_road": _road_gyration,
+    "match_trajectory": _matched,
+    "geosim": lambda spark, sf_dir: social_models.geosim(view(spark, sf_dir, "places"), dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 8), n_agents=40),
+    "sts_epr": lambda spark, sf_dir: social_models.sts_epr(view(spark, sf_dir, "places"), models.MarkovDiary.fit(view(spark, sf_dir, "fixes")), dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 8), n_agents=40),
+    "stvd_emd": _volumes_apart,
+    "select_xmin": lambda spark, sf_dir: _fit_row(spark, fitting.select_xmin(individual.jump_lengths(view(spark, sf_dir, "fixes")), "jump_length", "exponential", n_candidates=8)),
+    "likelihood_ratio_test": lambda spark, sf_dir: spark.createDataFrame([fitting.likelihood_ratio_test(individual.jump_lengths(view(spark, sf_dir, "fixes")), "jump_length", "exponential", "lognormal")]),
+    "distance_fit_summary": lambda spark, sf_dir: fitting.DistributionFit.fit(individual.jump_lengths(view(spark, sf_dir, "fixes")), "jump_length", "exponential").summary(spark),
+    "mapping_polygons": _tiles,
     "gravity_fit": _gravity,
     "epr": _agents,
     "ditras": _diaries,
@@ -131,3 +193,5 @@ QUERIES |= {
 }
 
 ORACLES |= {name: oracles.oracle(name) for name in oracles.TEXTS if name in QUERIES}
+# Two ways to one answer: combinations of any size, and the SQL of those of two.
+ORACLES |= {f"assess_risk_{a}": ORACLES[f"{a}_risk"] for a in (*attacks.CONTAINED, *attacks.VALUED)}
