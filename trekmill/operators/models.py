@@ -50,6 +50,14 @@ def gravity_fit(flows: DataFrame, places: DataFrame, include_zeros: bool = True,
     return {"alpha": float(theta[0]), "beta": float(theta[1]), "alpha_error": float(np.sqrt(cov[0, 0])), "beta_error": float(np.sqrt(cov[1, 1])), "log_likelihood": float(fit[1]), "pairs": int(fit[0])}
 
 
+def origin_indicators(flows: DataFrame, places: DataFrame) -> DataFrame:
+    """flows with at, the position of the origin in the order of the catalogue's ids, and indicators: 1 there and 0 elsewhere."""
+    ids, *_ = _catalogue(places, None)
+    order = F.array(*[F.lit(x.item() if hasattr(x, "item") else x) for x in ids])
+    at = F.array_position(order, F.col("origin")) - 1
+    return flows.withColumn("at", at.cast("int")).withColumn("indicators", F.transform(F.sequence(F.lit(0), F.lit(len(ids) - 1)), lambda i: F.when(i == F.col("at"), 1).otherwise(0)))
+
+
 def _catalogue(places: DataFrame, relevance: str | None):
     """Ids, coordinates and weights of at most MAX_PLACES places."""
     rows = places.select("location_id", "lat", "lng", F.col(relevance).cast("double").alias("m") if relevance else F.lit(1.0).alias("m")).where("m > 0").orderBy("location_id").limit(MAX_PLACES + 1).toPandas()

@@ -60,3 +60,47 @@ def recast(visits: DataFrame, minutes: int = 5, p_rnd: float = 0.001, replicates
     got = persistence_and_overlap(contacts).crossJoin(F.broadcast(bound))
     lasting, close = F.col("persistence") > F.col("null_persistence"), F.col("overlap") > F.col("null_overlap")
     return got.select("u", "v", "persistence", "overlap", F.when(lasting & close, "friend").when(lasting, "bridge").when(close, "acquaintance").otherwise("random").alias("class"))
+
+
+def _triangles(edges: DataFrame) -> DataFrame:
+    """u, v, w, day of the triangles of edges(u, v, day) with u < v; day: that of the last of the three edges. Each is met once, from its edge of the two least nodes."""
+    a = edges.select("u", "v", F.col("day").alias("d1"))
+    b = edges.select("u", F.col("v").alias("w"), F.col("day").alias("d2"))
+    c = edges.select(F.col("u").alias("v"), F.col("v").alias("w"), F.col("day").alias("d3"))
+    return a.join(b, "u").where("w > v").join(c, ["v", "w"]).select("u", "v", "w", F.greatest("d1", "d2", "d3").alias("day"))
+
+
+def clustering_by_day(contacts: DataFrame) -> DataFrame:
+    """day, nodes, clustering: mean clustering of the graph of all contacts(day, u, v) up to each day, over its nodes."""
+    edges = contacts.where("u != v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("day").alias("day"))
+    ends = edges.select("day", F.explode(F.array("u", "v")).alias("node")).groupBy("node", "day").agg(F.count("*").alias("n"))
+    closed = _triangles(edges).select("day", F.explode(F.array("u", "v", "w")).alias("node")).groupBy("node", "day").agg(F.count("*").alias("t"))
+    days = contacts.select("day").distinct()
+    # A row a node and day; only sums reach it.
+    line = Window.partitionBy("node").orderBy("day")
+    grid = ends.select("node").distinct().crossJoin(F.broadcast(days)).join(ends, ["node", "day"], "left").join(closed, ["node", "day"], "left")
+    sums = grid.select("node", "day", F.sum(F.coalesce("n", F.lit(0))).over(line).alias("n"), F.sum(F.coalesce("t", F.lit(0))).over(line).alias("t")).where("n > 0")
+    share = F.when(F.col("n") > 1, 2 * F.col("t") / (F.col("n") * (F.col("n") - 1))).otherwise(0.0)
+    return sums.groupBy("day").agg(F.count("*").alias("nodes"), F.round(F.avg(share), 6).alias("clustering"))
+
+
+def mean_clustering(edges: DataFrame) -> DataFrame:
+    """clustering: mean over the nodes of edges(u, v) of the share of their pairs of neighbours that are neighbours; null without edges."""
+    whole = clustering_by_day(edges.select(F.lit(0).alias("day"), "u", "v"))
+    return whole.agg(F.max("clustering").alias("clustering"))
+
+
+def validate_recast(visits: DataFrame, minutes: int = 5, p_rnd: float = 0.001, replicates: int = 5, seed: int = 42) -> dict[str, DataFrame]:
+    """The classes of recast(), and what its method is judged by: classification; distribution (measure, graph, value, contacts)
+    of persistence and overlap in the observed and the random graphs; clustering (contacts, day, nodes, clustering) of all
+    contacts up to each day, and of those classified as random."""
+    contacts = temporal_contacts(visits, minutes=minutes).persist()
+    classes = recast(visits, minutes, p_rnd, replicates, seed).persist()
+    null = persistence_and_overlap(random_daily_graphs(contacts, replicates, seed), ["replica"])
+    parts = [df.select(F.lit(m).alias("measure"), F.lit(g).alias("graph"), F.round(F.col(m), 6).alias("value")) for m in ("persistence", "overlap") for g, df in (("observed", classes), ("null", null))]
+    table = parts[0]
+    for more in parts[1:]:
+        table = table.unionByName(more)
+    chance = contacts.join(classes.where("class = 'random'").select("u", "v"), ["u", "v"])
+    clustering = clustering_by_day(contacts).withColumn("contacts", F.lit("all")).unionByName(clustering_by_day(chance).withColumn("contacts", F.lit("random")))
+    return {"classification": classes, "distribution": table.groupBy("measure", "graph", "value").agg(F.count("*").alias("contacts")), "clustering": clustering}

@@ -125,6 +125,8 @@ TEXTS = {
     "trajectory_distance_hausdorff": f"WITH p AS (SELECT DISTINCT a.uid AS a, b.uid AS b FROM fixes a JOIN fixes b ON b.uid = a.uid + 1), d AS (SELECT p.a, p.b, x.event_id AS i, y.event_id AS j, {km('x.lat', 'x.lng', 'y.lat', 'y.lng')} AS d FROM p JOIN fixes x ON x.uid = p.a JOIN fixes y ON y.uid = p.b), u AS (SELECT a, b, i, min(d) AS m FROM d GROUP BY ALL), v AS (SELECT a, b, j, min(d) AS m FROM d GROUP BY ALL) SELECT a, b, greatest((SELECT max(m) FROM u WHERE u.a = p.a AND u.b = p.b), (SELECT max(m) FROM v WHERE v.a = p.a AND v.b = p.b)) AS distance FROM p",
     "compress": f"WITH RECURSIVE {_N}, r AS (SELECT uid, event_id, k, lat AS y, lng AS x, 0 AS g FROM n WHERE k = 1 UNION ALL SELECT n.uid, n.event_id, n.k, CASE WHEN far THEN n.lat ELSE r.y END, CASE WHEN far THEN n.lng ELSE r.x END, r.g + far::INT FROM r JOIN n ON n.uid = r.uid AND n.k = r.k + 1, LATERAL (SELECT {km('r.y', 'r.x', 'n.lat', 'n.lng')} > 1.0 AS far) q) SELECT r.uid, min(f.datetime) AS datetime, quantile_cont(f.lat, 0.5) AS lat, quantile_cont(f.lng, 0.5) AS lng FROM r JOIN fixes f USING (uid, event_id) GROUP BY r.uid, r.g",
     "segment_angle_change": f"WITH RECURSIVE {_J}, b AS (SELECT *, degrees(atan2(sin(radians(lng - alng)) * cos(radians(lat)), cos(radians(alat)) * sin(radians(lat)) - sin(radians(alat)) * cos(radians(lat)) * cos(radians(lng - alng)))) AS turn FROM j), r AS (SELECT n.uid, n.event_id, n.k, b.turn AS first, 0 AS s FROM n LEFT JOIN b ON b.uid = n.uid AND b.k = 2 WHERE n.k = 1 UNION ALL SELECT b.uid, b.event_id, b.k, CASE WHEN off >= 45 THEN b.turn ELSE r.first END, r.s + (off >= 45)::INT FROM r JOIN b ON b.uid = r.uid AND b.k = r.k + 1, LATERAL (SELECT least(abs(b.turn - r.first), 360 - abs(b.turn - r.first)) AS off) q) SELECT uid, event_id, s::BIGINT AS segment_id FROM r",
+    "mean_clustering": "WITH x AS (SELECT a.uid AS u, b.uid AS v, greatest(a.started_at, b.started_at) AS s, least(a.finished_at, b.finished_at) AS e FROM visits a JOIN visits b ON a.location_id = b.location_id AND a.uid <> b.uid AND a.started_at <= b.finished_at AND b.started_at <= a.finished_at), d AS (SELECT u, v, s, e, unnest(range(s::DATE, e::DATE + 1, INTERVAL 1 DAY))::DATE AS day FROM x WHERE s <= e), g AS (SELECT DISTINCT u, v FROM d WHERE epoch_us(least(e, day + INTERVAL 1 DAY)) - epoch_us(greatest(s, day::TIMESTAMP)) >= 300000000), l AS (SELECT u, list(v) AS n FROM g GROUP BY u), t AS (SELECT l.u, len(l.n) AS k, sum(len(list_intersect(l.n, m.n))) AS c FROM l JOIN g ON g.u = l.u JOIN l m ON m.u = g.v GROUP BY l.u, l.n) SELECT round(avg(CASE WHEN k > 1 THEN c / (k * (k - 1)) ELSE 0 END), 6) AS clustering FROM t",
+    "origin_indicators": "SELECT origin, destination, (SELECT count(DISTINCT f.origin) FROM flows f WHERE f.origin < flows.origin)::INT AS \"at\" FROM flows",
     # Walks over one user's rows: recursion from fix to fix.
     "filter_speed": f"WITH RECURSIVE {_N}, r AS (SELECT uid, event_id, k, lat, lng, datetime AS t, true AS keep FROM n WHERE k = 1 UNION ALL SELECT n.uid, n.event_id, n.k, CASE WHEN ok THEN n.lat ELSE r.lat END, CASE WHEN ok THEN n.lng ELSE r.lng END, CASE WHEN ok THEN n.datetime ELSE r.t END, ok FROM r JOIN n ON n.uid = r.uid AND n.k = r.k + 1, LATERAL (SELECT epoch_us(n.datetime) > epoch_us(r.t) AND {km('r.lat', 'r.lng', 'n.lat', 'n.lng')} / ((epoch_us(n.datetime) - epoch_us(r.t)) / 3.6e9) <= 0.05 AS ok) q) SELECT f.uid, f.datetime, f.event_id, f.lat, f.lng FROM r JOIN fixes f USING (uid, event_id) WHERE keep",
     "simplify_min_distance": f"WITH RECURSIVE {_N}, e AS (SELECT uid, max(k) AS m FROM n GROUP BY uid), r AS (SELECT uid, event_id, k, lat, lng, true AS keep FROM n WHERE k = 1 UNION ALL SELECT n.uid, n.event_id, n.k, CASE WHEN ok THEN n.lat ELSE r.lat END, CASE WHEN ok THEN n.lng ELSE r.lng END, ok OR n.k = e.m FROM r JOIN n ON n.uid = r.uid AND n.k = r.k + 1 JOIN e ON e.uid = n.uid, LATERAL (SELECT {km('r.lat', 'r.lng', 'n.lat', 'n.lng')} >= 1.0 AS ok) q) SELECT f.uid, f.datetime, f.event_id, f.lat, f.lng FROM r JOIN fixes f USING (uid, event_id) WHERE keep",

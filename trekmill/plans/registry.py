@@ -103,6 +103,15 @@ def _road_gyration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.RoadNetwork(edges).radius_of_gyration(view(spark, sf_dir, "fixes"), nodes)
 
 
+def _road_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _streets(spark, sf_dir)
+    fixes = view(spark, sf_dir, "fixes")
+    at = near.nearest(fixes, nodes.withColumnRenamed("node", "id")).select("lat", "lng", F.col("id").alias("node"))
+    straight = individual.jump_lengths(fixes).withColumnRenamed("jump_length", "straight_km").drop("uid")
+    rows = fixes.join(at, ["lat", "lng"], "left").join(straight, "event_id", "left").select("uid", "event_id", "datetime", F.coalesce("node", F.lit(-1)).alias("node"), F.coalesce("straight_km", F.lit(0.0)).alias("straight_km"))
+    return network.RoadNetwork(edges).jump_lengths(rows, nodes)
+
+
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _streets(spark, sf_dir)
     return match.match_trajectory(view(spark, sf_dir, "fixes"), nodes, edges, gap_seconds=1e9)
@@ -152,6 +161,12 @@ QUERIES |= {
     "likelihood_ratio_test": lambda spark, sf_dir: spark.createDataFrame([fitting.likelihood_ratio_test(individual.jump_lengths(view(spark, sf_dir, "fixes")), "jump_length", "exponential", "lognormal")]),
     "distance_fit_summary": lambda spark, sf_dir: fitting.DistributionFit.fit(individual.jump_lengths(view(spark, sf_dir, "fixes")), "jump_length", "exponential").summary(spark),
     "mapping_polygons": _tiles,
+    "validate_recast": lambda spark, sf_dir: social.validate_recast(view(spark, sf_dir, "visits"))["distribution"],
+    "clustering_by_day": lambda spark, sf_dir: social.validate_recast(view(spark, sf_dir, "visits"))["clustering"],
+    "random_daily_graphs": lambda spark, sf_dir: social.random_daily_graphs(sequence.temporal_contacts(view(spark, sf_dir, "visits")), replicates=2),
+    "mean_clustering": lambda spark, sf_dir: social.mean_clustering(sequence.temporal_contacts(view(spark, sf_dir, "visits"))),
+    "origin_indicators": lambda spark, sf_dir: models.origin_indicators(view(spark, sf_dir, "flows"), view(spark, sf_dir, "flows").select(F.col("origin").alias("location_id"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lng")).distinct()).select("origin", "destination", "at"),
+    "jump_lengths_road": _road_jumps,
     "gravity_fit": _gravity,
     "epr": _agents,
     "ditras": _diaries,
