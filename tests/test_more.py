@@ -11,7 +11,7 @@ import pytest
 
 from trekmill import frames
 from trekmill.functions.components import components
-from trekmill.operators import attacks, catalogue, collective, fitting, hierarchy, individual, match, models, motion, network, next_place, sequence, social_models, transport, visits, walks
+from trekmill.operators import attacks, catalogue, collective, fitting, hierarchy, individual, match, models, motion, network, next_place, sequence, social, social_models, transport, visits, walks
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -157,8 +157,6 @@ def test_defaults_and_ties(spark):
     tied = spark.createDataFrame([(u, T0 + dt.timedelta(minutes=m), e, a, b) for u, m, e, a, b in rows], "uid string, datetime timestamp_ntz, event_id long, lat double, lng double")
     assert {r["lat"]: r["recency_rank"] for r in individual.recency_rank(tied).collect()} == {2.0: 1, 1.0: 2}
     flows = spark.createDataFrame([(1, 50, 2.0)], "origin long, destination long, flow double")
-    from trekmill.operators import social
-
     assert social.graph_from_edges(flows).count() == 1 and social.graph_from_edges(flows, node_count=20).count() == 0
     with pytest.raises(TypeError, match="needs"):
         collective.get_flow(flows)
@@ -167,6 +165,14 @@ def test_defaults_and_ties(spark):
     assert sequence.validate_locations(stays(spark, [("a", 99, 0)]), known).count() == 0
 
 
+def test_clustering_by_day(spark):
+    edges = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (2, "c", "a"), (2, "c", "d"), (3, "a", "b")], "day long, u string, v string")
+    got = {r["day"]: (r["nodes"], r["clustering"]) for r in social.clustering_by_day(edges).collect()}
+    # Up to day 2: a and b are closed, c has one of three pairs, d has one neighbour.
+    assert got == {1: (3, 0.0), 2: (4, pytest.approx((1 + 1 + 1 / 3) / 4, abs=1e-6)), 3: (4, pytest.approx((1 + 1 + 1 / 3) / 4, abs=1e-6))}
+    assert social.mean_clustering(edges.drop("day").where("false")).first()["clustering"] is None
+
+
 def test_frames(spark):
     t = frames.TrajDataFrame(spark.createDataFrame([("2024-01-01 10:00:00", 1.0, 2.0), ("2024-01-01 11:00:00", None, 2.0)], "time string, latitude double, lon double"), sort=True)
     assert dict(t.df.dtypes)["datetime"] == "timestamp_ntz" and [r["geometry"] for r in t.to_geodataframe().orderBy("datetime").collect()] == ["POINT (2.0 1.0)", None]
