@@ -127,6 +127,27 @@ TEXTS = {
     "segment_angle_change": f"WITH RECURSIVE {_J}, b AS (SELECT *, degrees(atan2(sin(radians(lng - alng)) * cos(radians(lat)), cos(radians(alat)) * sin(radians(lat)) - sin(radians(alat)) * cos(radians(lat)) * cos(radians(lng - alng)))) AS turn FROM j), r AS (SELECT n.uid, n.event_id, n.k, b.turn AS first, 0 AS s FROM n LEFT JOIN b ON b.uid = n.uid AND b.k = 2 WHERE n.k = 1 UNION ALL SELECT b.uid, b.event_id, b.k, CASE WHEN off >= 45 THEN b.turn ELSE r.first END, r.s + (off >= 45)::INT FROM r JOIN b ON b.uid = r.uid AND b.k = r.k + 1, LATERAL (SELECT least(abs(b.turn - r.first), 360 - abs(b.turn - r.first)) AS off) q) SELECT uid, event_id, s::BIGINT AS segment_id FROM r",
     "mean_clustering": "WITH x AS (SELECT a.uid AS u, b.uid AS v, greatest(a.started_at, b.started_at) AS s, least(a.finished_at, b.finished_at) AS e FROM visits a JOIN visits b ON a.location_id = b.location_id AND a.uid <> b.uid AND a.started_at <= b.finished_at AND b.started_at <= a.finished_at), d AS (SELECT u, v, s, e, unnest(range(s::DATE, e::DATE + 1, INTERVAL 1 DAY))::DATE AS day FROM x WHERE s <= e), g AS (SELECT DISTINCT u, v FROM d WHERE epoch_us(least(e, day + INTERVAL 1 DAY)) - epoch_us(greatest(s, day::TIMESTAMP)) >= 300000000), l AS (SELECT u, list(v) AS n FROM g GROUP BY u), t AS (SELECT l.u, len(l.n) AS k, sum(len(list_intersect(l.n, m.n))) AS c FROM l JOIN g ON g.u = l.u JOIN l m ON m.u = g.v GROUP BY l.u, l.n) SELECT round(avg(CASE WHEN k > 1 THEN c / (k * (k - 1)) ELSE 0 END), 6) AS clustering FROM t",
     "origin_indicators": "SELECT origin, destination, (SELECT count(DISTINCT f.origin) FROM flows f WHERE f.origin < flows.origin)::INT AS \"at\" FROM flows",
+    "daily_activity_distribution": "WITH v AS (SELECT ifnull(purpose, 'UNKNOWN') AS purpose, (date_part('hour', started_at) * 60 + date_part('minute', started_at)) // 10 AS a, (date_part('hour', finished_at) * 60 + date_part('minute', finished_at)) // 10 AS b, finished_at::TIME < started_at::TIME AND date_trunc('minute', finished_at)::TIME < date_trunc('minute', started_at)::TIME AS wraps FROM visits), c AS (SELECT x.bin, purpose, count(*) AS n FROM v JOIN (SELECT unnest(range(0, 144)) AS bin) x ON CASE WHEN wraps THEN x.bin >= a OR x.bin <= b ELSE x.bin BETWEEN a AND b END GROUP BY ALL) SELECT bin, purpose, round(n / (SELECT sum(n) FROM c d WHERE d.bin = c.bin), 6) AS share FROM c",
+    "identify_locations": "WITH d AS (SELECT uid, location_id, sum(CASE WHEN date_part('hour', started_at) NOT BETWEEN 6 AND 21 THEN epoch_us(finished_at) - epoch_us(started_at) ELSE 0 END) AS night, sum(CASE WHEN isodow(started_at) < 6 AND date_part('hour', started_at) BETWEEN 8 AND 17 THEN epoch_us(finished_at) - epoch_us(started_at) ELSE 0 END) AS work FROM visits GROUP BY ALL), h AS (SELECT uid, arg_min(location_id, (-night, location_id)) AS home FROM d WHERE night > 0 GROUP BY uid), w AS (SELECT d.uid, arg_min(location_id, (-work, location_id)) AS job FROM d LEFT JOIN h USING (uid) WHERE work > 0 AND location_id IS DISTINCT FROM home GROUP BY d.uid) SELECT d.uid, d.location_id, CASE WHEN d.location_id = home THEN 'home' WHEN d.location_id = job THEN 'work' ELSE 'other' END AS purpose FROM d LEFT JOIN h USING (uid) LEFT JOIN w USING (uid)",
+    "locations_identify": "WITH d AS (SELECT uid, location_id, sum(CASE WHEN date_part('hour', started_at) NOT BETWEEN 6 AND 21 THEN epoch_us(finished_at) - epoch_us(started_at) ELSE 0 END) AS night, sum(CASE WHEN isodow(started_at) < 6 AND date_part('hour', started_at) BETWEEN 8 AND 17 THEN epoch_us(finished_at) - epoch_us(started_at) ELSE 0 END) AS work FROM visits GROUP BY ALL), h AS (SELECT uid, arg_min(location_id, (-night, location_id)) AS home FROM d WHERE night > 0 GROUP BY uid), w AS (SELECT d.uid, arg_min(location_id, (-work, location_id)) AS job FROM d LEFT JOIN h USING (uid) WHERE work > 0 AND location_id IS DISTINCT FROM home GROUP BY d.uid) SELECT d.uid, d.location_id, CASE WHEN d.location_id = home THEN 'home' WHEN d.location_id = job THEN 'work' ELSE 'other' END AS purpose FROM d LEFT JOIN h USING (uid) LEFT JOIN w USING (uid) WHERE d.location_id IN (SELECT location_id FROM catalogue)",
+    "next_location": f"WITH {_W}, {_P}, l AS (SELECT uid, arg_max(location_id, (started_at, location_id)) AS last FROM visits GROUP BY uid), a AS (SELECT p.uid, d, count(*) AS n FROM p JOIN l ON l.uid = p.uid AND l.last = p.o GROUP BY ALL), b AS (SELECT uid, location_id AS d, count(*) AS n FROM visits GROUP BY ALL) SELECT uid, coalesce((SELECT arg_min(a.d, (-a.n, a.d)) FROM a WHERE a.uid = l.uid), (SELECT arg_min(b.d, (-b.n, b.d)) FROM b WHERE b.uid = l.uid)) AS next_id FROM l",
+    "next_location_evaluation": f"WITH {_W}, m AS (SELECT uid, max(k) AS m FROM w GROUP BY uid HAVING max(k) > 1), t AS (SELECT w.uid, w.location_id AS truth, q.location_id AS prev FROM m JOIN w ON w.uid = m.uid AND w.k = m.m JOIN w q ON q.uid = m.uid AND q.k = m.m - 1), c AS (SELECT a.uid, a.location_id AS o, b.location_id AS d, count(*) AS n FROM w a JOIN w b ON a.uid = b.uid AND b.k = a.k + 1 JOIN m ON m.uid = a.uid WHERE b.k < m.m GROUP BY ALL) SELECT round(avg(coalesce((SELECT arg_min(c.d, (-c.n, c.d)) FROM c WHERE c.uid = t.uid AND c.o = t.prev) = truth, false)::INT), 6) AS accuracy, count(*) AS users FROM t",
+    "mean_area_volume": "WITH e AS (SELECT uid, location_id AS area, unnest(range(epoch_us(started_at) // 600000000, epoch_us(finished_at) // 600000000 + 1)) AS s FROM visits), g AS (SELECT area, s // 144 AS day, s % 144 AS slot, count(DISTINCT uid) AS n FROM e GROUP BY ALL), w AS (SELECT area, slot, dayofweek(DATE '1970-01-01' + day::INT) AS wd, avg(n) AS m FROM g GROUP BY ALL) SELECT area, slot, round(sum(m) / 7, 6) AS mean_volume FROM w GROUP BY ALL",
+    "stvd": "WITH e AS (SELECT uid, location_id AS area, unnest(range(epoch_us(started_at) // 600000000, epoch_us(finished_at) // 600000000 + 1)) AS s FROM visits), g AS (SELECT area, s // 144 AS day, s % 144 AS slot, count(DISTINCT uid) AS n FROM e GROUP BY ALL), w AS (SELECT area, slot, dayofweek(DATE '1970-01-01' + day::INT) AS wd, avg(n) AS m FROM g GROUP BY ALL), v AS (SELECT area, slot, sum(m) AS m FROM w GROUP BY ALL) SELECT area, slot, any_value(p.lat) AS lat, any_value(p.lng) AS lng, round(any_value(m) / 7, 6) AS mean_volume FROM v JOIN places p ON p.location_id = v.area GROUP BY area, slot",
+    "visitation_law": f"WITH {_NIGHT}, a AS (SELECT f.uid, lat, lng, floor({km('x.lat', 'x.lng', 'lat', 'lng')}) + 0.5 AS r, count(DISTINCT datetime::DATE) AS n FROM fixes f JOIN h USING (uid) GROUP BY ALL), g AS (SELECT r * n AS rf, count(*) / (2 * pi() * r) AS rho FROM a GROUP BY lat, lng, r, n), b AS (SELECT min(ln(rf)) AS lo, (max(ln(rf)) - min(ln(rf))) / 30 AS w FROM g), c AS (SELECT least(floor((ln(rf) - lo) / w), 29) AS bin, rho, lo, w FROM g, b), d AS (SELECT any_value(lo) + (bin + 0.5) * any_value(w) AS x, ln(avg(rho)) AS y FROM c GROUP BY bin) SELECT round(-covar_pop(x, y) / var_pop(x), 5) AS eta, round(exp(avg(y) - covar_pop(x, y) / var_pop(x) * avg(x)), 5) AS mu, round(corr(x, y) ** 2, 5) AS r2, count(*) AS n_bins FROM d",
+    "filter_zheng": f"WITH RECURSIVE {_J}, o AS (SELECT n.uid, n.event_id, n.k, n.k = 1 OR (j.us > 0 AND j.km / (j.us / 3.6e9) <= 0.05) AS ok FROM n LEFT JOIN j USING (uid, event_id)), r AS (SELECT *, 0 AS run FROM o WHERE k = 1 UNION ALL SELECT o.*, r.run + (NOT o.ok)::INT FROM r JOIN o ON o.uid = r.uid AND o.k = r.k + 1) SELECT uid, event_id FROM r WHERE (uid, run) IN (SELECT (uid, run) FROM r GROUP BY uid, run HAVING count(*) > 1)",
+    "predict_transport_mode": "SELECT uid, tripleg_id, CASE WHEN finished_at <= started_at OR length_km * 3.6e9 <= 15 * (epoch_us(finished_at) - epoch_us(started_at)) THEN 'slow_mobility' WHEN length_km * 3.6e9 <= 100 * (epoch_us(finished_at) - epoch_us(started_at)) THEN 'motorized_mobility' ELSE 'fast_mobility' END AS mode FROM triplegs",
+    "staypoints_validate": "SELECT count(*) AS n, count(*) FILTER (started_at IS NULL OR finished_at IS NULL) AS without_interval, count(*) FILTER (finished_at < started_at) AS reversed FROM staypoints",
+    "to_flowdataframe": f"WITH {_N} SELECT floor((a.lat + 90) / 0.013)::BIGINT AS origin_row, floor((a.lng + 180) / 0.013)::BIGINT AS origin_column, floor((b.lat + 90) / 0.013)::BIGINT AS destination_row, floor((b.lng + 180) / 0.013)::BIGINT AS destination_column, count(*) AS flow FROM n a JOIN n b ON a.uid = b.uid AND b.k = a.k + 1 GROUP BY ALL",
+    "interpolate_at": "WITH s AS (SELECT uid, min(datetime) AS a, max(datetime) AS b FROM fixes GROUP BY uid), g AS (SELECT s.uid, i.\"at\" AS t, i.\"at\" BETWEEN a AND b AS ok FROM s CROSS JOIN instants i), p AS (SELECT g.uid, g.t, any_value(ok) AS ok, arg_max((datetime, lat, lng), (datetime, event_id)) FILTER (datetime <= t) AS x, arg_min((datetime, lat, lng), (datetime, event_id)) FILTER (datetime >= t) AS y FROM g JOIN fixes USING (uid) GROUP BY g.uid, g.t), q AS (SELECT *, CASE WHEN y[1] > x[1] THEN (epoch_us(t) - epoch_us(x[1])) / (epoch_us(y[1]) - epoch_us(x[1])) ELSE 0 END AS f FROM p) SELECT uid, t AS \"at\", ok AS valid, CASE WHEN ok THEN round(x[2] + (y[2] - x[2]) * f, 6) END AS lat, CASE WHEN ok THEN round(x[3] + (y[3] - x[3]) * f, 6) END AS lng FROM q",
+    "distribution_quantiles": "WITH l AS (SELECT list_sort(list(flow)) AS l FROM flows), q AS (SELECT l, unnest([0.1, 0.9]) AS p FROM l), r AS (SELECT p, p * (len(l) - 1) AS x, l FROM q), v AS (SELECT p, l[floor(x)::INT + 1] + (x - floor(x)) * (l[ceil(x)::INT + 1] - l[floor(x)::INT + 1]) AS v FROM r) SELECT round(max(v) FILTER (p = 0.1), 6) AS p10, round(max(v) FILTER (p = 0.9), 6) AS p90 FROM v",
+    "home_work_risk": "WITH c AS (SELECT uid, location_id, count(*) AS n FROM visits GROUP BY ALL), l AS (SELECT uid, list_sort(list(location_id ORDER BY n, location_id)[1:2]) AS k FROM c GROUP BY uid) SELECT uid, round(1.0 / (SELECT count(*) FROM l m WHERE (m.k[1], m.k[-1]) = (l.k[1], l.k[-1])), 6) AS risk FROM l",
+    "assess_risk_instances": "WITH d AS (SELECT DISTINCT uid, location_id FROM visits) SELECT uid, location_id::VARCHAR AS known, (SELECT count(*) FROM d e WHERE e.location_id = d.location_id) AS users, round(1 / (SELECT count(*) FROM d e WHERE e.location_id = d.location_id), 6) AS risk FROM d",
+    "assess_risk_three": "WITH s AS (SELECT uid, list_sort(list_distinct(list(location_id::VARCHAR))) AS l FROM visits GROUP BY uid), k AS (SELECT a.uid, [a.x, b.x, c.x] AS p FROM (SELECT uid, unnest(l) AS x FROM s WHERE len(l) > 2) a JOIN (SELECT uid, unnest(l) AS x FROM s) b ON a.uid = b.uid AND a.x < b.x JOIN (SELECT uid, unnest(l) AS x FROM s) c ON a.uid = c.uid AND b.x < c.x UNION ALL SELECT uid, l FROM s WHERE len(l) < 3), d AS (SELECT DISTINCT p FROM k), n AS (SELECT p, (SELECT count(*) FROM s WHERE list_has_all(s.l, d.p)) AS users FROM d) SELECT uid, round(1.0 / min(users), 6) AS risk FROM k JOIN n USING (p) GROUP BY uid",
+    "clustering_coefficients": "WITH x AS (SELECT a.uid AS u, b.uid AS v, greatest(a.started_at, b.started_at) AS s, least(a.finished_at, b.finished_at) AS e FROM visits a JOIN visits b ON a.location_id = b.location_id AND a.uid <> b.uid AND a.started_at <= b.finished_at AND b.started_at <= a.finished_at), d AS (SELECT u, v, s, e, unnest(range(s::DATE, e::DATE + 1, INTERVAL 1 DAY))::DATE AS day FROM x WHERE s <= e), g AS (SELECT DISTINCT u, v FROM d WHERE epoch_us(least(e, day + INTERVAL 1 DAY)) - epoch_us(greatest(s, day::TIMESTAMP)) >= 300000000), l AS (SELECT u, list(v) AS n FROM g GROUP BY u), t AS (SELECT l.u, len(l.n) AS k, sum(len(list_intersect(l.n, m.n))) AS c FROM l JOIN g ON g.u = l.u JOIN l m ON m.u = g.v GROUP BY l.u, l.n) SELECT u AS uid, round(CASE WHEN k > 1 THEN c / (k * (k - 1)) ELSE 0 END, 6) AS clustering FROM t",
+    "topological_overlap": "WITH x AS (SELECT a.uid AS u, b.uid AS v, greatest(a.started_at, b.started_at) AS s, least(a.finished_at, b.finished_at) AS e FROM visits a JOIN visits b ON a.location_id = b.location_id AND a.uid <> b.uid AND a.started_at <= b.finished_at AND b.started_at <= a.finished_at), d AS (SELECT u, v, s, e, unnest(range(s::DATE, e::DATE + 1, INTERVAL 1 DAY))::DATE AS day FROM x WHERE s <= e), g AS (SELECT DISTINCT u, v FROM d WHERE epoch_us(least(e, day + INTERVAL 1 DAY)) - epoch_us(greatest(s, day::TIMESTAMP)) >= 300000000), l AS (SELECT u, list(v) AS n FROM g GROUP BY u) SELECT g.u, g.v, round(CASE WHEN len(a.n) + len(b.n) > len(list_intersect(a.n, b.n)) THEN len(list_intersect(a.n, b.n)) / (len(a.n) + len(b.n) - len(list_intersect(a.n, b.n))) ELSE 0 END, 6) AS overlap FROM g JOIN l a ON a.u = g.u JOIN l b ON b.u = g.v WHERE g.u < g.v",
+    "contact_network": "WITH x AS (SELECT a.uid AS u, b.uid AS v, greatest(a.started_at, b.started_at) AS s, least(a.finished_at, b.finished_at) AS e FROM visits a JOIN visits b ON a.location_id = b.location_id AND a.uid < b.uid AND a.started_at <= b.finished_at AND b.started_at <= a.finished_at), d AS (SELECT u, v, s, e, unnest(range(s::DATE, e::DATE + 1, INTERVAL 1 DAY))::DATE AS day FROM x WHERE s <= e), g AS (SELECT DISTINCT u, v, day FROM d WHERE epoch_us(least(e, day + INTERVAL 1 DAY)) - epoch_us(greatest(s, day::TIMESTAMP)) >= 300000000) SELECT u, v, round(count(*) / (SELECT datediff('day', min(day), max(day)) + 1 FROM g), 6) AS persistence FROM g GROUP BY u, v",
+    "stay_locations": f"WITH RECURSIVE d AS (SELECT *, lag(datetime) OVER w AS pt, lag(lat) OVER w AS py, lag(lng) OVER w AS px FROM fixes WINDOW w AS (PARTITION BY uid ORDER BY datetime, event_id)), n AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY datetime, event_id) AS k FROM d WHERE pt IS NULL OR (datetime, lat, lng) <> (pt, py, px)), m AS (SELECT uid, max(k) AS m FROM n GROUP BY uid), r AS (SELECT uid, k, k AS a, lat AS y, lng AS x, false AS closed, k AS was FROM n WHERE k = 1 UNION ALL SELECT n.uid, n.k, CASE WHEN c THEN n.k ELSE r.a END, CASE WHEN c THEN n.lat ELSE r.y END, CASE WHEN c THEN n.lng ELSE r.x END, c, r.a FROM r JOIN n ON n.uid = r.uid AND n.k = r.k + 1 JOIN m ON m.uid = n.uid, LATERAL (SELECT {km('r.y', 'r.x', 'n.lat', 'n.lng')} >= 0.2 OR n.k = m.m AS c) q), e AS (SELECT r.uid, r.was AS a, r.k AS b FROM r WHERE closed) SELECT e.uid, p.datetime AS started_at, q.datetime AS finished_at, quantile_cont(i.lat, 0.5) AS lat, quantile_cont(i.lng, 0.5) AS lng FROM e JOIN n p ON p.uid = e.uid AND p.k = e.a JOIN n q ON q.uid = e.uid AND q.k = e.b JOIN n i ON i.uid = e.uid AND i.k >= e.a AND i.k < e.b WHERE epoch_us(q.datetime) - epoch_us(p.datetime) >= 1200000000 GROUP BY e.uid, e.a, p.datetime, q.datetime",
     # Walks over one user's rows: recursion from fix to fix.
     "filter_speed": f"WITH RECURSIVE {_N}, r AS (SELECT uid, event_id, k, lat, lng, datetime AS t, true AS keep FROM n WHERE k = 1 UNION ALL SELECT n.uid, n.event_id, n.k, CASE WHEN ok THEN n.lat ELSE r.lat END, CASE WHEN ok THEN n.lng ELSE r.lng END, CASE WHEN ok THEN n.datetime ELSE r.t END, ok FROM r JOIN n ON n.uid = r.uid AND n.k = r.k + 1, LATERAL (SELECT epoch_us(n.datetime) > epoch_us(r.t) AND {km('r.lat', 'r.lng', 'n.lat', 'n.lng')} / ((epoch_us(n.datetime) - epoch_us(r.t)) / 3.6e9) <= 0.05 AS ok) q) SELECT f.uid, f.datetime, f.event_id, f.lat, f.lng FROM r JOIN fixes f USING (uid, event_id) WHERE keep",
     "simplify_min_distance": f"WITH RECURSIVE {_N}, e AS (SELECT uid, max(k) AS m FROM n GROUP BY uid), r AS (SELECT uid, event_id, k, lat, lng, true AS keep FROM n WHERE k = 1 UNION ALL SELECT n.uid, n.event_id, n.k, CASE WHEN ok THEN n.lat ELSE r.lat END, CASE WHEN ok THEN n.lng ELSE r.lng END, ok OR n.k = e.m FROM r JOIN n ON n.uid = r.uid AND n.k = r.k + 1 JOIN e ON e.uid = n.uid, LATERAL (SELECT {km('r.lat', 'r.lng', 'n.lat', 'n.lng')} >= 1.0 AS ok) q) SELECT f.uid, f.datetime, f.event_id, f.lat, f.lng FROM r JOIN fixes f USING (uid, event_id) WHERE keep",
