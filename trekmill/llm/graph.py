@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (the smallest node it reaches) of every node of an edge.
 
     Large-star and small-star steps in turn, each a join with the least neighbour, until
-    nothing changes; every round is a written table. Null ends are dropped.
+    nothing changes; every round is a written table, and the one before it goes. Null ends
+    are dropped; an empty table gives an empty result.
     """
-    now = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v").distinct(), "edges")
+    rows = edges.count()
+    now = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v").distinct(), "edges", rows)
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -23,10 +25,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u != v").distinct()
-        now = written(small, "edges")
+        before, now = now, written(small, "edges", rows)
+        discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break
-        mark = tuple(seen)
+        mark, rows = tuple(seen), seen[0]
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

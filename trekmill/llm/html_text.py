@@ -11,7 +11,9 @@ The labelled pages are made by training_pages(), a rule that lays out common pag
 furniture around articles; fit() takes any others.
 
 Defined cases: null and empty pages give an empty text; markup that never closes,
-stray end tags and cut-off character references are read as browsers do; pages
+stray end tags and cut-off character references are read as browsers do, and a control
+or drawing that never closes ends with the block around it; very long pages are read
+whole, one at a time; equal marginals count as content; pages
 without any element are one text run of the root; repeated rows get equal texts;
 input columns named like an output column are replaced.
 """
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import arrow_batches
+from .common import arrow_batches, lean
 
 CONTENT, BOILER, MIXED = 0, 1, 2
 #: Elements whose inside is no page text.
@@ -92,12 +94,13 @@ class Page:
                 at = end.end() if end else n
                 continue
             if name in SILENT or name in CONTROLS and name not in VOID:
+                names = [x for x, _ in silent]
                 if not closing and not attrs.endswith("/"):
-                    silent.append(name)
-                elif closing and name in silent:
-                    del silent[len(silent) - 1 - silent[::-1].index(name) :]
+                    silent.append((name, len(stack)))
+                elif closing and name in names:
+                    del silent[len(names) - 1 - names[::-1].index(name) :]
                 continue
-            if name == "body" and "head" in silent:
+            if name == "body" and any(x == "head" for x, _ in silent):
                 silent.clear()
             if name in INLINE:
                 if name == "a":
@@ -112,9 +115,14 @@ class Page:
                     if self.tag[stack[i]] == name:
                         del stack[i:]
                         break
+                # What never closed ends with the block around it.
+                while silent and silent[-1][1] > len(stack):
+                    silent.pop()
                 continue
             if self.tag[stack[-1]] == "p":
                 stack.pop()
+            while silent and (silent[-1][1] > len(stack) or silent[-1][0] in ("select", "option")):
+                silent.pop()
             if name in CLOSES:
                 for i in range(len(stack) - 1, 0, -1):
                     if self.tag[stack[i]] in CLOSES[name]:
@@ -344,4 +352,4 @@ def extract(pages: DataFrame, source: str = "html", model: TreeModel | None = No
                 texts = shared.value.extract(batch.column(batch.schema.get_field_index("__source")).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return pages.select(*keep, F.coalesce(F.col(source), F.lit("")).alias("__source")).mapInArrow(run, schema)
+    return pages.select(*keep, F.coalesce(F.col(source), F.lit("")).alias("__source")).mapInArrow(lean(run), schema)

@@ -30,30 +30,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of BASE and of its inverse."""
-    if "up" not in _POW or len(_POW["up"]) < n:
-        size = max(n, SLICE + 4096)
-        for name, b in (("up", BASE), ("down", INV)):
-            a = np.full(size, b, dtype=U64)
-            a[0] = 1
-            _POW[name] = np.multiply.accumulate(a)
-    return _POW["up"][:n], _POW["down"][:n]
+def _accumulated(base: int, n: int) -> np.ndarray:
+    a = np.full(n, base, dtype=U64)
+    a[:1] = 1
+    return np.multiply.accumulate(a)
+
+
+def powers(name: str, n: int) -> np.ndarray:
+    """The first n powers of BASE (up) or of its inverse (down); those of one slice are kept."""
+    base = BASE if name == "up" else INV
+    if n > SLICE + 4096:
+        return _accumulated(base, n)
+    if name not in _POW:
+        _POW[name] = _accumulated(base, SLICE + 4096)
+    return _POW[name][:n]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """H with H[j] = sum of (byte i + 1) * BASE**i over i < j."""
-    up, _ = powers(len(data))
     h = np.empty(len(data) + 1, dtype=U64)
     h[0] = 0
-    np.cumsum((data.astype(U64) + U64(1)) * up, out=h[1:])
+    np.cumsum((data.astype(U64) + U64(1)) * powers("up", len(data)), out=h[1:])
     return h
 
 
 def range_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Scrambled hash of data[start:end], wherever it stands."""
-    _, down = powers(len(h))
-    return mix((h[end] - h[start]) * down[start] + (end - start).astype(U64))
+    return mix((h[end] - h[start]) * powers("down", len(h))[start] + (end - start).astype(U64))
 
 
 def string_bytes(col) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import arrow_batches
+from .common import arrow_batches, lean
 
 BUCKETS = 1 << 16
 #: Training rows per language: the bound of the sample that fits the model.
@@ -84,7 +84,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_pydict({"lang": pa.array(names, pa.string()).take(pa.array(at // BUCKETS)), "bucket": pa.array((at % BUCKETS).astype(np.int32)), "n": pa.array(total[at])})
 
-    counts = sample.select("text", F.lower("text").alias("low"), "lang").select(F.col("low").alias("text"), "lang").mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = sample.select("text", F.lower("text").alias("low"), "lang").select(F.col("low").alias("text"), "lang").mapInArrow(lean(count), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(found)
     c = np.zeros((BUCKETS, len(names)))
     np.add.at(c, (counts.column("bucket").to_numpy(), np.searchsorted(names, counts.column("lang").to_pylist())), counts.column("n").to_numpy())
@@ -122,7 +122,7 @@ def infer(ll: np.ndarray, starts: np.ndarray, steps: int = 10) -> tuple[np.ndarr
     full, _ = em(like, sizes, np.full_like(out, 1 / n_lang), steps)
     rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
     bic = -2 * single.max(1)
-    live = np.flatnonzero(full.max(1) < 0.97)
+    live = np.arange(len(starts))
     for k in range(2, n_lang + 1):
         if not len(live):
             break
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     def score(batches):
         names, log_p = shared.value
         for whole in batches:
-            for batch in K.blocks(whole, "__low"):
+            for batch in K.blocks(whole, "__low", K.SLICE):
                 low = batch.column(batch.schema.get_field_index("__low"))
                 raw, off = K.string_bytes(low)
                 lls, docs_ = [np.zeros((0, len(names)))], [np.zeros(0, np.int64)]
@@ -166,4 +166,4 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
                             pred[d], points[d], parts[d] = names[best], min(1.0, pi[i, best]), pi[i].tolist()
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(pred, pa.string()), pa.array(points), pa.array(parts, pa.list_(pa.float64()))], names=[*keep, *OUT])
 
-    return docs.select(*keep, F.lower(F.col(text)).alias("__low"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letters")).mapInArrow(score, schema)
+    return docs.select(*keep, F.lower(F.col(text)).alias("__low"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letters")).mapInArrow(lean(score), schema)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import arrow_batches, written
+from .common import arrow_batches, lean, whole_groups, written
 from .graph import components
 
 BINS = 160
@@ -126,7 +126,7 @@ def _matrix(col, dtype=np.uint16) -> np.ndarray:
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """rid (key, or a hash of the text where null), key, n_shingles, node (set fingerprint), sketch of every row."""
+    """rid (a hash of the key, or of the text where it is null), key, n_shingles, node (set fingerprint), sketch of every row."""
     kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches: object) -> object:
@@ -135,7 +135,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
                 e, bounds = shingle_sets(*K.string_bytes(_column(batch, "text")), k)
                 yield pa.RecordBatch.from_arrays([_column(batch, "rid"), _column(batch, "key"), pa.array(np.diff(bounds)), pa.array(set_ids(e, bounds)), _binary(sketches(e, bounds))], names=["rid", "key", "n_shingles", "node", "sketch"])
 
-    return docs.mapInArrow(run, f"rid bigint, key {kind}, n_shingles bigint, node bigint, sketch binary")
+    return docs.mapInArrow(lean(run), f"rid bigint, key {kind}, n_shingles bigint, node bigint, sketch binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -150,7 +150,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([_column(batch, "node").take(pa.array(same)), values.take(pa.array(same)).cast(pa.binary())], names=["node", "elements"])
 
     rows = docs.join(wanted, "rid").select("node", "text")
-    return rows.mapInArrow(run, "node bigint, elements binary").dropDuplicates(["node"])
+    return rows.mapInArrow(lean(run), "node bigint, elements binary").dropDuplicates(["node"])
 
 
 def _intersections(batches, similar: Callable[[np.ndarray, np.ndarray], np.ndarray]):
@@ -171,9 +171,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     threshold = per_cent / 100
     r, floor = bands_for(threshold), least_agreement(threshold)
     n_bands = BINS // r
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("rid", F.coalesce(F.col("key").cast("long"), F.xxhash64("text"))).select("rid", "key", "text")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("rid", F.xxhash64("key", F.when(F.col("key").isNull(), F.col("text")))).select("rid", "key", "text")
     base = written(describe(rows, k), "sets")
-    nodes = written(base.where("n_shingles > 0").groupBy("node").agg(F.min("rid").alias("rid"), F.any_value("sketch").alias("sketch")), "nodes")
+    nodes = written(base.where("n_shingles > 0").groupBy("node").agg(F.min("rid").alias("rid"), F.any_value("sketch").alias("sketch")), "nodes", base.count(), 5000)
+    n = nodes.count()
 
     def split(batches):
         for batch in batches:
@@ -185,9 +186,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
             keys = K.mix(keys + np.arange(n_bands, dtype=np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(node, n_bands)), pa.array(np.tile(np.arange(n_bands, dtype=np.int32), len(s)))], names=["key", "node", "band"])
 
-    bands = nodes.select("node", "sketch").mapInArrow(split, "key bigint, node bigint, band int")
+    bands = nodes.select("node", "sketch").mapInArrow(lean(split), "key bigint, node bigint, band int")
     shared = bands.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1")
-    members = written(bands.join(shared, "key"), "buckets")
+    members = written(bands.join(shared, "key"), "buckets", n * n_bands, 100_000)
 
     def agree(batches):
         for batch in batches:
@@ -197,45 +198,46 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     short = nodes.select("node", "sketch")
     stars = members.where("node != center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
-    stars = stars.join(short.withColumnsRenamed({"node": "a", "sketch": "x"}), "a").join(short.withColumnsRenamed({"node": "b", "sketch": "y"}), "b").mapInArrow(agree, "a bigint, b bigint")
-    first = written(stars, "stars")
+    stars = stars.join(short.withColumnsRenamed({"node": "a", "sketch": "x"}), "a").join(short.withColumnsRenamed({"node": "b", "sketch": "y"}), "b").mapInArrow(lean(agree), "a bigint, b bigint")
+    first = written(stars, "stars", n * n_bands, 200_000)
 
     def similar(both, union):
         return 100 * both >= per_cent * union
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = written(full_sets(rows, used.join(nodes.select("node", "rid"), "node"), k), f"{tag}-sets")
+        sets = written(full_sets(rows, used.join(nodes.select("node", "rid"), "node"), k), f"{tag}-sets", n, 5000)
         with_sets = pairs.join(sets.withColumnsRenamed({"node": "a", "elements": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "elements": "y"}), "b")
-        return written(with_sets.mapInArrow(lambda batches: _intersections(batches, similar), "a bigint, b bigint"), tag)
+        return written(with_sets.mapInArrow(lean(lambda batches: _intersections(batches, similar)), "a bigint, b bigint"), tag, n * n_bands, 200_000)
 
     links = verified(first, "links")
     label = components(links)
     # Buckets that hold several components: what stands across them is still to be looked at.
-    marked = members.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # A bucket of two holds no pair but the one that was held against its least node.
+    marked = members.where("n > 2").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     torn = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     held = marked.join(torn, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     held = held.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     held = held.select("key", "band", "node", "root", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    held = written(held, "held")
+    held = written(held, "held", n * n_bands, 100_000)
 
     def grouped(rows: DataFrame) -> DataFrame:
         return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
     def named(batches):
         """The nodes of pairs across components that the sketches do not rule out."""
-        for t, groups in _groups(batches, ("key", "p", "q")):
+        for t, groups in whole_groups(batches, ("key", "p", "q")):
             found = [np.append(at, i) for i, at in _across(t, groups, floor, n_bands, r)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(t.column("node").to_numpy()[np.concatenate(found)]))], names=["node"])
 
-    involved = written(grouped(held.join(short, "node")).mapInArrow(named, "node bigint").distinct(), "involved")
+    involved = written(grouped(held.join(short, "node")).mapInArrow(lean(named), "node bigint").distinct(), "involved", n)
     if not involved.isEmpty():
         sets = full_sets(rows, involved.join(nodes.select("node", "rid"), "node"), k)
 
         def joined(batches):
             """Links between components on the full sets, a pair only while nothing links its ends here."""
-            for t, groups in _groups(batches, ("key", "p", "q")):
+            for t, groups in whole_groups(batches, ("key", "p", "q")):
                 node, root = t.column("node").to_numpy(), t.column("root").to_numpy()
                 raw, off = K.string_bytes(t.column("elements"))
                 sets_, off = np.frombuffer(raw.tobytes(), np.uint64), off // 8
@@ -262,7 +264,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-        more = written(grouped(held.join(short.join(sets, "node"), "node")).mapInArrow(joined, "a bigint, b bigint"), "more-links")
+        more = written(grouped(held.join(short.join(sets, "node"), "node")).mapInArrow(lean(joined), "a bigint, b bigint"), "more-links")
         if not more.isEmpty():
             label = components(links.unionByName(more))
     least = base.where("n_shingles > 0").groupBy("node").agg(F.min("key").alias("least"))
@@ -274,30 +276,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     return some.unionByName(none).withColumn("kept", F.col("key").eqNullSafe(F.col("component_id"))).select("key", "n_shingles", "node", "component_id", "kept")
 
 
-def _groups(batches, keys: tuple[str, ...]):
-    """Tables of whole groups (rows of equal keys, which come one after the other), with the bounds of each."""
-    rest, ended, batches = None, False, iter(batches)
-    while not ended:
-        batch = next(batches, None)
-        ended = batch is None
-        parts = [x for x in (rest, None if ended else pa.Table.from_batches([batch])) if x is not None]
-        if not parts:
-            continue
-        table = pa.concat_tables(parts).combine_chunks()
-        if not table.num_rows:
-            continue
-        change = np.zeros(table.num_rows - 1, bool)
-        for c in keys:
-            x = table.column(c).to_numpy()
-            change |= x[1:] != x[:-1]
-        edge = np.flatnonzero(np.r_[True, change, True])
-        rest = None
-        if not ended:
-            rest, edge = table.slice(edge[-2]), edge[:-1]
-        if len(edge) > 1:
-            yield table.slice(0, edge[-1]).combine_chunks(), edge
-
-
 def _across(table: pa.Table, edge: np.ndarray, floor: int, n_bands: int, r: int):
     """(row, rows after it) of pairs in a group that are of different components, agree in floor coordinates, and in no earlier band."""
     root, own, band, p, q = (table.column(c).to_numpy() for c in ("root", "own", "band", "p", "q"))

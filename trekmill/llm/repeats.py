@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import arrow_batches, written
+from .common import arrow_batches, lean, written
 
 LEAST = 400
 #: Window starts looked at in one go; bytes of contexts in one suffix array, and most for one anchor.
 STEP, ARRAY_BYTES, ANCHOR_BYTES = 1 << 18, 1 << 20, 2 << 20
-#: Blocks that the window starts of a large anchor are split into, and suffixes whose first bytes are compared at once.
-SPLIT, CHECKED = 4, 8192
+#: Blocks that the window starts of a large anchor are split into; suffixes put in order at once (and the rest of a bucket), and compared at once.
+SPLIT, TOGETHER, CHECKED = 4, 1 << 15, 8192
 _LOW = (1 << 20) - 1
 
 
@@ -124,23 +124,34 @@ class SuffixArray:
         keep = (np.bincount(bucket, differs) > 0)[bucket] if len(order) else np.zeros(0, bool)
         at, bucket = order[keep], bucket[keep]
         rest = (begin + size)[owner[at]] - start[at] - depth
-        tail = _rows(raw, start[at] + depth, rest)
-        together = bucket[1:] == bucket[:-1]
-        keys = [bucket, tail, rest]
-        parted = any(bool(((x := _rows(raw, start[at[i : i + CHECKED + 1]], np.full(1, depth)))[1:] != x[:-1])[together[i : i + CHECKED]].any()) for i in range(0, len(at), CHECKED))
-        if parted:  # two strings of one fingerprint: the whole suffix decides, and what it shares
-            keys[1:1] = [_rows(raw, start[at], np.full(1, depth))]
-        by = np.argsort(_sortable(*keys))
-        at, bucket, tail, rest = at[by], bucket[by], tail[by], rest[by]
-        equal = np.c_[tail[1:] == tail[:-1], np.zeros((max(len(at) - 1, 0), 1), bool)]
-        shared = depth + np.minimum(equal.argmin(1), np.minimum(rest[1:], rest[:-1]))
-        together = bucket[1:] == bucket[:-1]
-        if parted:
-            head = keys[1][by]
-            together &= (head[1:] == head[:-1]).all(1)
+        # Whole buckets at a time, as a row of bytes is made for each suffix.
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(at)])
+        cuts = first[np.r_[True, first[1:] // TOGETHER != first[:-1] // TOGETHER]] if len(at) else first
+        parts = [_ordered(raw, start[at[i:j]], rest[i:j], bucket[i:j], depth) for i, j in zip(cuts, [*cuts[1:], len(at)], strict=True)]
+        by = np.concatenate([x + i for (x, _), i in zip(parts, cuts, strict=True)]) if parts else np.zeros(0, np.int64)
         #: Of each suffix: the string it is of, where it begins there, what stands before it; bytes shared with the one before.
-        self.owner, self.start, self.left = owner[at], inside[at], left[at]
-        self.lcp = np.r_[0, np.where(together, shared, 0)][: len(at)]
+        self.owner, self.start, self.left = owner[at[by]], inside[at[by]], left[at[by]]
+        self.lcp = np.concatenate([x for _, x in parts]) if parts else np.zeros(0, np.int64)
+
+
+def _ordered(raw: np.ndarray, start: np.ndarray, rest: np.ndarray, bucket: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of suffixes by bucket and by the rest bytes that follow their first depth, and bytes shared with the one before (0 across buckets)."""
+    tail = _rows(raw, start + depth, rest)
+    together = bucket[1:] == bucket[:-1]
+    keys = [bucket, tail, rest]
+    same = np.full(1, depth)
+    parted = any(bool(((x := _rows(raw, start[i : i + CHECKED + 1], same))[1:] != x[:-1])[together[i : i + CHECKED]].any()) for i in range(0, len(start), CHECKED))
+    if parted:  # two strings of one fingerprint: the whole suffix decides, and what it shares
+        keys[1:1] = [_rows(raw, start, same)]
+    by = np.argsort(_sortable(*keys))
+    bucket, tail, rest = bucket[by], tail[by], rest[by]
+    equal = np.c_[tail[1:] == tail[:-1], np.zeros((max(len(by) - 1, 0), 1), bool)]
+    shared = depth + np.minimum(equal.argmin(1), np.minimum(rest[1:], rest[:-1]))
+    together = bucket[1:] == bucket[:-1]
+    if parted:
+        head = keys[1][by]
+        together &= (head[1:] == head[:-1]).all(1)
+    return by, np.r_[0, np.where(together, shared, 0)][: len(by)]
 
 
 def _rows(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -320,22 +331,23 @@ def repeats(docs: DataFrame, text: str = "text", least: int = LEAST, anchor_byte
         twice = written(found.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a"), "twice")
         return written(found.join(twice, "a"), "anchors")
 
-    again = repeated(rows.select("text", "d", "nb").mapInArrow(find, "a bigint, c bigint, d bigint, nb int, place int"))
+    again = repeated(rows.select("text", "d", "nb").mapInArrow(lean(find), "a bigint, c bigint, d bigint, nb int, place int"))
     again = again.selectExpr("a", "c", "d", "nb", "place", "0 up", "0 near", f"{w - 1} far", f"greatest(0, place - {w - 1}) lo", f"least(nb, place + {least}) hi")
     above, on = distinct_texts(rows).selectExpr("d", "nb", "text data", "0 base"), ["d", "nb"]
     found = []
     while True:
         first = F.min(F.struct("d", "nb", "place", "up", "near", "far", "lo", "hi")).alias("at")
-        contexts = written(again.groupBy("a", "c").agg(F.count("*").alias("n"), first).select("a", "c", "n", "at.*"), "contexts")
-        several = written(contexts.where("n > 1").select("a", "c"), "several")
+        rows_ = again.count()
+        contexts = written(again.groupBy("a", "c").agg(F.count("*").alias("n"), first).select("a", "c", "n", "at.*"), "contexts", rows_)
+        several = written(contexts.where("n > 1").select("a", "c"), "several", rows_)
         found.append(again.join(several, ["a", "c"]).select("d", "nb", "lo", "hi", F.xxhash64("a", "c").alias("repeat") if groups else F.lit(0).cast("long").alias("repeat")).distinct())
         mixed = contexts.groupBy("a").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest"), F.sum(F.col("hi") - F.col("lo")).alias("size"))
-        mixed = written(mixed.where("kinds > 1 and fewest = 1").select("a", (F.col("size") > anchor_bytes).alias("large")), "mixed")
+        mixed = written(mixed.where("kinds > 1 and fewest = 1").select("a", (F.col("size") > anchor_bytes).alias("large")), "mixed", rows_)
         wanted = contexts.join(mixed, "a").withColumn("large", F.expr("large and far > near"))
         wanted = wanted.groupBy(*on).agg(F.collect_list(F.struct("a", "large", "place", "near", "far", "lo", "hi")).alias("wanted"))
-        bytes_ = written(above.join(wanted, on).select("data", "base", "d", "nb", "wanted").mapInArrow(_cut, CONTEXT), "context-bytes")
+        bytes_ = written(above.join(wanted, on).select("data", "base", "d", "nb", "wanted").mapInArrow(lean(_cut), CONTEXT), "context-bytes", rows_, 20_000)
         fits = bytes_.where("not large").repartition("a").sortWithinPartitions("a", "d", "nb", "place")
-        found.append(fits.select("a", "d", "nb", F.col("lo").alias("base"), "context").mapInArrow(lambda b: _scan(b, least, groups), "d bigint, nb int, lo int, hi int, repeat bigint"))
+        found.append(fits.select("a", "d", "nb", F.col("lo").alias("base"), "context").mapInArrow(lean(lambda b: _scan(b, least, groups)), "d bigint, nb int, lo int, hi int, repeat bigint"))
         large = bytes_.where("large")
         if large.isEmpty():
             break
@@ -407,9 +419,9 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
     own = "".join(f"__{i} {column[c]}, " for i, c in enumerate(carried) if c != text)
     joined = rows.join(spans, ["d", "nb"], "left").select(*kept, "text", "was_null", "spans")
     if keep_text:
-        done = joined.mapInArrow(strip, f"{own}text string")
+        done = joined.mapInArrow(lean(strip), f"{own}text string")
         return done.select(*[F.col("text" if c == text else f"__{i}").alias(c) for i, c in enumerate(carried)])
-    done = joined.mapInArrow(strip, f"{own}n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    done = joined.mapInArrow(lean(strip), f"{own}n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return done.select(F.col("__0").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

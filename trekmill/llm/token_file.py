@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import arrow_batches, shared_path
+from .common import arrow_batches, lean, shared_path
 from .tokens import PieceEncoder
 
 MAGIC = b"TMTOKEF2"
@@ -217,7 +217,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", tex
         body.close()
         fsys.move(temp, f"{base}/{name}.tok")
 
-    made = ordered.select("key", "text").mapInArrow(run, f"shard int, file string, first bigint, docs bigint, tokens bigint, keys array<{kind}>")
+    made = ordered.select("key", "text").mapInArrow(lean(run), f"shard int, file string, first bigint, docs bigint, tokens bigint, keys array<{kind}>")
     made.write.parquet(f"{where}/_keys")
     found = spark.read.schema(made.schema).parquet(f"{where}/_keys")
     starts, before = [], 0
@@ -252,7 +252,7 @@ def read(units: DataFrame, folder: str, ids: bool = False) -> DataFrame:
 
     n = units.count()
     tasks = max(min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), n // 64, 1)
-    return units.repartition(tasks).mapInArrow(run, f"key {kind}, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<bigint>" if ids else ""))
+    return units.repartition(tasks).mapInArrow(lean(run), f"key {kind}, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<bigint>" if ids else ""))
 
 
 def round_trip(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -17,9 +17,9 @@ from itertools import chain
 import numpy as np
 
 #: Characters of a text that are split at once, and characters of texts whose pieces are looked up together.
-STRETCH, TOGETHER = 1 << 18, 4 << 20
+STRETCH, TOGETHER = 1 << 18, 2 << 20
 #: Pieces kept encoded, and characters of all of them, about.
-KEPT, KEPT_CHARS = 1_000_000, 16_000_000
+KEPT, KEPT_CHARS = 400_000, 8_000_000
 #: Pieces given to the library in one call, and plain ones in one string.
 CALL, JOINED = 16_384, 256
 #: ASCII signs that end a plain piece, none of which is part of a contraction.
@@ -72,6 +72,8 @@ class PieceEncoder:
         #: All ids, and where each piece's begin and how many they are.
         self.ids, self.filled = np.zeros(1 << 16, "<u4"), 0
         self.at, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        #: How often each piece was asked for since pieces were last dropped.
+        self.uses = np.zeros(1 << 16, np.int64)
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
@@ -122,12 +124,12 @@ class PieceEncoder:
         letters = key.rstrip(SIGNS)
         return 1 + (len(letters) < len(key)) if letters.isalpha() else 0
 
-    def _store(self, numbers: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
+    def _store(self, numbers: list[int] | np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         """Adds the ids of the pieces of these numbers, which stand in ids one after the other."""
         while self.filled + len(ids) > len(self.ids):
             self.ids = np.append(self.ids, np.zeros_like(self.ids))
         while self.known.given > len(self.at):
-            self.at, self.count = (np.append(x, np.zeros_like(x)) for x in (self.at, self.count))
+            self.at, self.count, self.uses = (np.append(x, np.zeros_like(x)) for x in (self.at, self.count, self.uses))
         self.ids[self.filled : self.filled + len(ids)] = ids
         self.at[numbers] = self.filled + np.cumsum(counts) - counts
         self.count[numbers] = counts
@@ -158,12 +160,29 @@ class PieceEncoder:
             got = [e.ids for e in self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)]
             self._store(list(map(find, part)), np.fromiter(chain.from_iterable(got), "<u4"), np.array(list(map(len, got)), np.int64))
 
+    def _drop(self) -> None:
+        """Forgets the pieces that were asked for least, half of those kept at least."""
+        names, numbers = list(self.known), np.fromiter(self.known.values(), np.int64, len(self.known))
+        uses, at, counts = self.uses[numbers], self.at[numbers], self.count[numbers]
+        least = 2
+        while (uses >= least).sum() > KEPT // 2:
+            least *= 2
+        stay = np.flatnonzero(uses >= least)
+        old = self.ids
+        self._clear()
+        self.known.update(zip([names[i] for i in stay.tolist()], range(len(stay)), strict=True))
+        self.known.given = len(stay)
+        self.chars = sum(map(len, self.known))
+        counts = counts[stay]
+        begin = np.cumsum(counts) - counts
+        self._store(np.arange(len(stay)), old[np.repeat(at[stay] - begin, counts) + np.arange(int(counts.sum()))], counts)
+
     def _numbers(self, split: list[list[str]]) -> np.ndarray:
         return np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
 
     def _together(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > KEPT or self.chars > KEPT_CHARS:
-            self._clear()
+            self._drop()
         split = [self._pieces(t) for t in texts]
         numbers = self._numbers(split)
         odd = {k for k in self.known.new if self._odd(k)}
@@ -174,6 +193,7 @@ class PieceEncoder:
             self.known.new = [k for k in self.known.new if k not in odd]
             numbers = self._numbers(split)
         self._learn()
+        self.uses[: self.known.given] += np.bincount(numbers, minlength=self.known.given)
         counts = self.count[numbers]
         total = int(counts.sum())
         begin = np.cumsum(counts) - counts

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import arrow_batches
+from .common import arrow_batches, lean
 
 #: Labelled rows a class: the bound of the sample that fits the model.
 SAMPLE_PER_CLASS = 12000
@@ -212,7 +212,7 @@ def fit(labelled: DataFrame, docs: DataFrame, key: str = "doc_id", label: str =
                     n = np.bincount(inv, np.repeat(times, size + 1), minlength=len(code)).astype(np.int64)
                     yield pa.RecordBatch.from_pydict({"code": pa.array(code[n > 0] | (c << 40)), "n": pa.array(n[n > 0])})
 
-    total = some.where(~F.col("later")).select("text", "y").mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    total = some.where(~F.col("later")).select("text", "y").mapInArrow(lean(count), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     got = total.toArrow()
     code, n = got.column("code").to_numpy(), got.column("n").to_numpy()
     counts = Counts(code & ((1 << 40) - 1), code >> 40, n)
@@ -227,7 +227,7 @@ def fit(labelled: DataFrame, docs: DataFrame, key: str = "doc_id", label: str =
                 x = features(c, raw, off)
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("y")), *(pa.array(v) for v in x.T)], names=["y", "a", "b", "c", "d"])
 
-    seen = some.where("later").select("text", "y").mapInArrow(evidence, "y int, a double, b double, c double, d double").toArrow()
+    seen = some.where("later").select("text", "y").mapInArrow(lean(evidence), "y int, a double, b double, c double, d double").toArrow()
     y = seen.column("y").to_numpy().astype(float)
     x = np.column_stack([seen.column(k).to_numpy() for k in "abcd"])
     weight = np.where(y == 1, max(1.0, found[1] / per_class), max(1.0, found[0] / per_class))
@@ -255,4 +255,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     p = 1 / (1 + np.exp(-np.clip(_design(features(c, raw, off)) @ curve, -30, 30)))
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)) for k in keep] + [pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return docs.select(*keep, F.lower(F.col(text)).alias("__low")).mapInArrow(run, schema)
+    return docs.select(*keep, F.lower(F.col(text)).alias("__low")).mapInArrow(lean(run), schema)
