@@ -2,23 +2,25 @@
 
 Largest inner products are sought. Vectors get one more component that makes all
 norms equal, so that near in the graph means near by inner product; queries have 0
-there. Equal vectors are one node. Nodes are dealt to shards of bounded size; within
-a shard a neighbour graph starts from exact neighbours in random-hyperplane blocks and
-is improved by NN-descent: joins bring the neighbours of every node together, and
-whichever of them are nearer to one another than their present neighbours become
-candidates. A query walks the graph greedily with a pool of the best nodes seen, in
-every shard, and the best of all shards are ranked. It starts from its own node and the
-nearest of a layer of entry points, every LAYER-th node and one of each part of the graph,
-so that groups without links between them are reached.
-
-A shard's graph and a block of queries meet in one task; both have a fixed bound.
-Query blocks times shards is the cost of searching without a routing layer.
-
-Defined cases: vectors that are null, zero, hold null or non-finite components, or
-have another length than the most frequent one take no part, neither as queries nor
-as candidates; null ids take no part; rows of equal ids and vectors count once; ties
-go to the smaller id; fewer candidates than asked for give fewer rows; an empty table
-gives an empty result; other input columns do not matter.
+there. Equal vectors are one node. Nodes are dealt to shards of bounded size about
+coarse centres; within a shard a neighbour graph starts from small random-hyperplane
+blocks and is built by NN-descent: joins bring the neighbours of every node together,
+and whichever of them are nearer to one another than their present neighbours become
+candidates, round by round until little changes. A query goes to the shards about its
+nearest centres and walks their graphs greedily with a pool of the best nodes seen; the
+best of all are ranked. A walk starts from the query's own node and the nearest of a
+layer of entry points, every LAYER-th node and one of each part of the graph, so that
+groups without links between them are reached.
+
+The centres are fitted on at most SAMPLE vectors; all vectors are indexed. A shard's
+graph and a block of queries meet in one task; both have a fixed bound.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite components take
+no part, neither as queries nor as candidates; shorter vectors count as ending in zeros;
+null ids take no part; rows of equal ids and vectors count once, rows of equal ids and
+different vectors each for themselves; ties go to the smaller id; fewer candidates than
+asked for give fewer rows; an empty table gives an empty result; other input columns do
+not matter.
 """
 
 from __future__ import annotations
@@ -30,11 +32,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import arrow_batches, written
+from .common import arrow_batches, discard, written
 
-SHARD, QUERY_BLOCK, BLOCK, TABLES = 60_000, 512, 1500, 4
-NEIGHBOURS, JOINED, OFFERED, ROUNDS, POOL, LAYER = 32, 48, 3, 2, 320, 4
-SCHEMA = "query_id bigint, rank int, vec_id bigint, score double"
+SHARD, QUERY_BLOCK, SAMPLE, PROBES = 60_000, 16_384, 20_000, 8
+#: Nodes of a block that a graph starts from, and how many such blocks a node is in.
+BLOCK, TABLES = 64, 3
+#: Neighbours kept, neighbours joined, candidates each joined one offers, rounds at most, and growth below which they end.
+NEIGHBOURS, JOINED, OFFERED, ROUNDS, SETTLED = 32, 48, 3, 8, 0.002
+POOL, LAYER = 320, 16
+SCHEMA = "query_id bigint, rank int, vec_id bigint, score double, scored bigint"
 
 
 def _column(batch, name: str):
@@ -54,13 +60,30 @@ def _best(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
-    """id, vec of the rows that take part, and their length."""
+    """id, vec of the rows that take part, all as long as the longest, and that length."""
     v = F.col("vec")
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")).where("id is not null and vec is not null")
-    rows = rows.where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)).withColumn("n", F.size("vec"))
-    top = rows.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
-    width = top["n"] if top else 0
-    return rows.where(F.col("n") == width).drop("n").distinct(), width
+    rows = rows.where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0))
+    width = rows.agg(F.max(F.size("vec"))).first()[0] or 0
+    return rows.withColumn("vec", F.concat("vec", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("vec")))).distinct(), width
+
+
+def centres(x: np.ndarray, k: int, steps: int = 8, seed: int = 11) -> np.ndarray:
+    """k centres of the rows of x, by Lloyd's steps from random rows."""
+    rnd = np.random.default_rng(seed)
+    c = x[rnd.choice(len(x), k, replace=len(x) < k)].astype(np.float64)
+    for _ in range(steps):
+        at = nearest_centres(x, c, 1)[:, 0]
+        size = np.bincount(at, minlength=k)
+        for j in range(c.shape[1]):
+            c[:, j] = np.where(size > 0, np.bincount(at, x[:, j], minlength=k) / np.maximum(size, 1), c[:, j])
+    return c
+
+
+def nearest_centres(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the n nearest centres of each row."""
+    far = (c * c).sum(1) / 2 - x @ c.T
+    return np.argsort(far, axis=1, kind="stable")[:, :n]
 
 
 def graph(nodes: DataFrame, width: int, seed: int = 7) -> DataFrame:
@@ -102,7 +125,8 @@ def graph(nodes: DataFrame, width: int, seed: int = 7) -> DataFrame:
     def nearest(e: DataFrame, n: int) -> DataFrame:
         return e.groupBy("v", "u").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= n).drop("r")
 
-    edges = written(nearest(edges, NEIGHBOURS), "graph")
+    rows = NEIGHBOURS * nodes.count()
+    edges = written(nearest(edges, NEIGHBOURS), "graph", rows, 200_000)
 
     def meet(batches):
         for batch in batches:
@@ -124,13 +148,19 @@ def graph(nodes: DataFrame, width: int, seed: int = 7) -> DataFrame:
                 v, w, s = (np.concatenate(c) for c in zip(*out, strict=True))
                 yield pa.RecordBatch.from_pydict({"v": pa.array(v), "u": pa.array(w), "sim": pa.array(s.astype(np.float32))})
 
+    reached = 0.0
     for _ in range(ROUNDS):
         floor = edges.groupBy("v").agg(F.min("sim").alias("floor"), F.count("*").alias("c")).select(F.col("v").alias("u"), F.when(F.col("c") < NEIGHBOURS, F.lit(-3e38)).otherwise(F.col("floor")).cast("float").alias("floor"))
         both = nearest(edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u"), "sim")), JOINED)
         about = nodes.select(F.col("node").alias("u"), "vec").join(floor, "u")
         met = both.join(about, "u").groupBy("v").agg(F.collect_list(F.struct("u", "floor", "vec")).alias("met"))
         offers = met.select("met").mapInArrow(meet, "v bigint, u bigint, sim float")
-        edges = written(nearest(edges.unionByName(offers), NEIGHBOURS), "graph")
+        before, edges = edges, written(nearest(edges.unionByName(offers), NEIGHBOURS), "graph", rows, 200_000)
+        discard(before)
+        now = edges.agg(F.sum(F.col("sim").cast("double"))).first()[0] or 0.0
+        if now - reached <= SETTLED * abs(now):
+            break
+        reached = now
     return edges
 
 
@@ -149,13 +179,14 @@ def entries(near: np.ndarray) -> np.ndarray:
     return np.union1d(np.arange(0, n, LAYER), part)
 
 
-def walk(x: np.ndarray, near: np.ndarray, q: np.ndarray, entry: np.ndarray, pool: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy search of the graph near (rows of neighbour places, -1 for none) for the k best x by inner product with q."""
+def walk(x: np.ndarray, near: np.ndarray, q: np.ndarray, entry: np.ndarray, pool: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Greedy search of the graph near (rows of neighbour places, -1 for none) for the k best x by inner product with q; how many were scored."""
     seen = np.zeros(len(x) + 1, bool)
     seen[-1] = True
     at = np.unique(entry)
     seen[at] = True
     score = x[at] @ q
+    scored = len(at)
     done = np.zeros(len(at), bool)
     while True:
         if len(at) > pool:
@@ -170,53 +201,78 @@ def walk(x: np.ndarray, near: np.ndarray, q: np.ndarray, entry: np.ndarray, pool
         new = new[~seen[new]]
         if len(new):
             seen[new] = True
+            scored += len(new)
             at, score, done = np.append(at, new), np.append(score, x[new] @ q), np.append(done, np.zeros(len(new), bool))
     best = np.argsort(-score, kind="stable")[:k]
-    return at[best], score[best]
+    return at[best], score[best], scored
 
 
-def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, pool: int = POOL, shard: int = SHARD) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row whose key is divisible by every."""
+def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, pool: int = POOL, shard: int = SHARD, probes: int = PROBES) -> DataFrame:
+    """query_id, rank, vec_id, score and scored (vectors that the query was held against) of the k nearest found of each row whose key is divisible by every."""
     spark = vectors.sparkSession
     arrow_batches(spark)
     rows, width = usable(vectors, key, vector)
     if not width:
         return spark.createDataFrame([], SCHEMA)
     rows = written(rows.withColumn("node", F.xxhash64("vec")), "vectors")
+    n = rows.count()
     # The k + 1 smallest ids of equal vectors are all that can be asked for.
     few = Window.partitionBy("node").orderBy("id")
-    members = rows.select("node", "id").withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1).drop("r")
+    members = written(rows.select("node", "id").withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1).drop("r"), "members", n)
     square = F.aggregate("vec", F.lit(0.0), lambda a, b: a + b * b)
-    one = rows.groupBy("node").agg(F.any_value("vec").alias("vec")).withColumn("sq", square)
+    one = written(rows.groupBy("node").agg(F.any_value("vec").alias("vec")).withColumn("sq", square), "distinct", n, 10_000)
     total = one.agg(F.max("sq"), F.count("*")).first()
-    top, shards = total[0], max(1, -(-total[1] // shard))
+    top, k_centres = total[0], max(1, -(-total[1] // shard))
+    fitted = np.zeros((1, width + 1))
+    if k_centres > 1:
+        some = one.orderBy(F.xxhash64("node", F.lit(3))).limit(SAMPLE).select("vec", "sq").collect()
+        fitted = centres(_lifted(np.array([r["vec"] for r in some]), np.array([r["sq"] for r in some]), top), k_centres)
 
     def pack(batches):
         for batch in batches:
             v = _column(batch, "vec")
-            x = v.flatten().to_numpy().reshape(len(v), width)
-            more = np.sqrt(np.maximum(top - _column(batch, "sq").to_numpy(), 0))
-            more[more < 1e-5 * np.sqrt(top)] = 0
-            y = np.column_stack([x, more]).astype(np.float32)
-            size = y.shape[1] * 4
-            packed = pa.Array.from_buffers(pa.binary(), len(y), [None, pa.py_buffer((np.arange(len(y) + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(y))])
-            yield pa.RecordBatch.from_arrays([_column(batch, "shard"), _column(batch, "node"), packed], names=["shard", "node", "vec"])
-
-    nodes = written(one.withColumn("shard", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(shards)).cast("int")).select("shard", "node", "vec", "sq").mapInArrow(pack, "shard int, node bigint, vec binary"), "nodes")
+            y = _lifted(v.flatten().to_numpy().reshape(len(v), width), _column(batch, "sq").to_numpy(), top)
+            packed = np.ascontiguousarray(y.astype(np.float32))
+            size = packed.shape[1] * 4
+            binary = pa.Array.from_buffers(pa.binary(), len(y), [None, pa.py_buffer((np.arange(len(y) + 1) * size).astype(np.int32)), pa.py_buffer(packed)])
+            yield pa.RecordBatch.from_arrays([pa.array(nearest_centres(y, fitted, 1)[:, 0].astype(np.int32)), _column(batch, "node"), binary], names=["centre", "node", "vec"])
+
+    placed = written(one.select("node", "vec", "sq").mapInArrow(pack, "centre int, node bigint, vec binary"), "placed")
+    # A centre with too many nodes has several shards; one row a centre reaches the driver.
+    sizes = {r["centre"]: r["n"] for r in placed.groupBy("centre").agg(F.count("*").alias("n")).collect()}
+    parts = {c: max(1, -(-n // shard)) for c, n in sizes.items()}
+    first = {c: sum(parts[d] for d in sorted(parts) if d < c) for c in parts}
+    dealt = F.broadcast(spark.createDataFrame([(c, parts[c], first[c]) for c in parts], "centre int, parts int, first int"))
+    shard_of = (F.col("first") + F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts"))).cast("int")
+    nodes = written(placed.join(dealt, "centre").select(shard_of.alias("shard"), "node", "vec"), "nodes")
     edges = graph(nodes, width + 1)
     rank = Window.partitionBy("v").orderBy(F.desc("sim"), "u")
     both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u"), "sim")).groupBy("v", "u").agg(F.max("sim").alias("sim"))
     both = both.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= 2 * NEIGHBOURS)
     adjacent = nodes.join(both.groupBy("v").agg(F.collect_list("u").alias("near")), nodes["node"] == F.col("v"), "left").select("shard", "node", "vec", "near")
-    queries = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query"), "node", "vec")
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    split = F.pmod(F.xxhash64("query"), F.lit(n_blocks)).cast("int")
-    queries = queries.withColumn("q", split).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    index = adjacent.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+
+    def route(batches):
+        for batch in batches:
+            v = _column(batch, "vec")
+            y = np.column_stack([v.flatten().to_numpy().reshape(len(v), width), np.zeros(len(v))])
+            near = nearest_centres(y, fitted, probes)
+            rows_, shards = [], []
+            for i, cs in enumerate(near.tolist()):
+                found = [s for c in cs if c in parts for s in range(first[c], first[c] + parts[c])]
+                rows_ += [i] * len(found)
+                shards += found
+            take = pa.array(rows_, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), *(_column(batch, c).take(take) for c in ("query", "own", "vec"))], names=["shard", "query", "own", "vec"])
+
+    queries = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query"), F.col("node").alias("own"), "vec")
+    asked = written(queries.mapInArrow(route, "shard int, query bigint, own bigint, vec array<double>"), "asked")
+    load = asked.groupBy("shard").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    asked = asked.join(F.broadcast(load), "shard").withColumn("q", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int")).drop("blocks")
+    index = adjacent.join(F.broadcast(load), "shard").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     want = k + 1
 
     def run(idx: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query": np.zeros(0, np.int64), "node": np.zeros(0, np.int64), "score": np.zeros(0)})
+        empty = pd.DataFrame({"query": np.zeros(0, np.int64), "own": np.zeros(0, np.int64), "node": np.zeros(0, np.int64), "scored": np.zeros(0, np.int64)})
         if not len(idx) or not len(asked):
             return empty
         node = idx["node"].to_numpy()
@@ -231,20 +287,29 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
         out = []
         layer = entries(near)
         first = x[layer]
-        for query, own, vec in zip(asked["query"], asked["node"], asked["vec"], strict=True):
-            v = np.asarray(vec, np.float64)
+        for query, own, vec in zip(asked["query"], asked["own"], asked["vec"], strict=True):
+            q = np.append(vec, 0).astype(np.float32)
+            entry = layer[_best((first @ q)[None], max(1, pool // 4))[0][0]]
             place = np.searchsorted(node, own)
-            entry = layer[_best((first @ np.append(v, 0).astype(np.float32))[None], max(1, pool // 2))[0][0]]
             if place < len(node) and node[place] == own:
                 entry = np.append(entry, place)
-            at, _ = walk(x, near, np.append(v, 0).astype(np.float32), entry, pool, 2 * want)
-            exact = x[at, :width].astype(np.float64) @ v
-            out.append(pd.DataFrame({"query": query, "node": node[at], "score": exact}))
+            at, _, scored = walk(x, near, q, entry, pool, 2 * want)
+            out.append(pd.DataFrame({"query": query, "own": own, "node": node[at], "scored": scored + len(layer)}))
         return pd.concat(out) if out else empty
 
-    found = queries.groupBy("shard", "q").cogroup(index.groupBy("shard", "q")).applyInPandas(lambda a, b: run(b, a), "query bigint, node bigint, score double")
-    ranked = found.join(members, "node").where("id != query")
-    exact = ranked.join(rows.select("id", F.col("vec").alias("to"), "node"), ["id", "node"]).join(rows.select(F.col("id").alias("query"), F.col("vec").alias("from")), "query")
+    found = written(asked.groupBy("shard", "q").cogroup(index.groupBy("shard", "q")).applyInPandas(lambda a, b: run(b, a), "query bigint, own bigint, node bigint, scored bigint"), "found")
+    effort = found.select("query", "own", "node", "scored").groupBy("query", "own", "scored").agg(F.count("*")).groupBy("query", "own").agg(F.sum("scored").alias("scored"))
+    ranked = found.drop("scored").join(members, "node").where("not (id = query and node = own)")
+    to = one.select("node", F.col("vec").alias("to"))
+    exact = ranked.join(to, "node").join(one.select(F.col("node").alias("own"), F.col("vec").alias("from")), "own")
     scored = exact.withColumn("score", F.aggregate(F.zip_with("from", "to", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+    w = Window.partitionBy("query", "own").orderBy(F.desc("score"), "id")
+    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).join(effort, ["query", "own"])
+    return best.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score", "scored")
+
+
+def _lifted(x: np.ndarray, square: np.ndarray, top: float) -> np.ndarray:
+    """Vectors with one more component, which makes all norms the largest."""
+    more = np.sqrt(np.maximum(top - square, 0))
+    more[more < 1e-5 * np.sqrt(top)] = 0
+    return np.column_stack([x, more])
