@@ -273,7 +273,8 @@ def test_neighbours(spark):
         assert len(mine) == 20 and q not in set(mine.vec_id)
         hit += len(set(want) & set(mine.vec_id))
         total += 20
-    assert hit >= 0.95 * total and not set(got.query_id) & {900, 920, 940, 960}
+    # Null, zero and non-finite vectors take no part; a shorter one counts as ending in zeros.
+    assert hit >= 0.95 * total and not set(got.query_id) & {900, 920, 940} and 960 in set(got.query_id)
 
 
 def test_neighbours_of_tight_groups_in_shards(spark):

@@ -3,30 +3,44 @@
 Corners (Harris responses, local maxima at two scales) get an orientation from the
 intensity centroid about them and a string of 128 brightness comparisons turned by it.
 Two images are copies when enough mutually nearest strings obey one shift, turn and scale.
-Every pair of images is tested, block by block, so the time grows with the square of the
-images; a task returns a row a node (its links there and the least node they reach), not
-a row a link. Images of equal pixels are one node. CORNERS is the method's own limit.
+
+Candidates come from Hamming tables: each table takes PROBE of the 128 bits, and images
+with a corner of equal bits share a bucket. A pair of strings that differ in f bits
+shares a bucket of one table with a chance of about (1 - f / 128) ** PROBE, so m matching
+corners all miss each other with (1 - that) ** (TABLES * m): 2e-19 for 8 corners of 4
+differing bits, 2e-6 for 8, 0.015 for 12, 0.26 for 16. These are misses of one pair; a class
+of several copies is lost only where all its ways are.
+
+In a bucket every image is held against the least one; the links give components. Where a
+bucket then still holds several components, all pairs across them are tested as well, in
+blocks where it is large, so no candidate is dropped and no pair within a component is
+listed. A bucket of many images that are no copies of one another costs the square of its
+size; BLOCK bounds what a task holds. CORNERS is the method's own limit.
 
 Defined cases: images that are null, empty or not width * height bytes have no corners
 and are linked with nothing; flat images likewise, but equal ones are one node; repeated
-rows share a component; an empty table gives an empty result.
+rows share a component; rows with a null key take the least key of their class; input
+columns other than the four named do not matter; ties between corners go to the upper,
+then the left one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, written
+from .common import arrow_batches, lean, whole_groups, written
 from .graph import components
 
-CORNERS, BITS, PATCH, NEAR_BITS, INLIERS, MARGIN = 24, 128, 7, 28, 6, 3.0
-#: Images of a block at most about, and pairs handled at once.
-BLOCK, STRIP = 4096, 512
-_TESTS = np.clip(np.random.default_rng(42).normal(0, 3.2, (BITS, 4)), -PATCH, PATCH)
+CORNERS, BITS, PATCH, NEAR_BITS, INLIERS, MARGIN = 24, 128, 9, 32, 5, 3.0
+#: Hamming tables, and bits that each looks at.
+TABLES, PROBE = 12, 32
+#: Members of a bucket that are held against each other in one block, and pairs handled at once.
+BLOCK, STRIP = 512, 1024
+_TESTS = np.random.default_rng(42).uniform(-PATCH, PATCH, (BITS, 4))
+_PROBES = np.stack([np.random.default_rng(100 + t).permutation(BITS)[:PROBE] for t in range(TABLES)])
 
 
 def _column(batch, name: str):
@@ -99,87 +113,48 @@ def consensus(p: np.ndarray, s: np.ndarray, q: np.ndarray, t: np.ndarray) -> int
     return int((miss <= MARGIN).sum(1).max())
 
 
-def stacked(codes: list[np.ndarray], places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Strings as 2 numbers (2, CORNERS, n), places (2, CORNERS, n) and what is missing (CORNERS, n; 255 where it is)."""
-    word, place = np.zeros((2, CORNERS, len(codes)), np.uint64), np.zeros((2, CORNERS, len(codes)), np.float32)
-    gone = np.full((CORNERS, len(codes)), 255, np.uint8)
+def buckets(codes: np.ndarray) -> np.ndarray:
+    """Numbers of the buckets that an image with these strings lies in, each once."""
+    bits = np.unpackbits(codes.reshape(-1, BITS // 8), axis=1)
+    place = 1 << 8 * np.arange(-(-PROBE // 8), dtype=np.int64)
+    found = [(np.packbits(bits[:, p], axis=1) * place).sum(1) | t << 48 for t, p in enumerate(_PROBES)]
+    return np.unique(np.concatenate(found))
+
+
+def stacked(codes: list[bytes], places: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings (images, CORNERS, 2 numbers), places (images, CORNERS, 2) and what is missing (images, CORNERS)."""
+    n = len(codes)
+    word, place = np.zeros((n, CORNERS, 2), np.uint64), np.zeros((n, CORNERS, 2), np.float32)
+    gone = np.ones((n, CORNERS), bool)
     for i, (c, p) in enumerate(zip(codes, places, strict=True)):
-        word[:, : len(c), i], place[:, : len(c), i], gone[: len(c), i] = c.view(np.uint64).T, p.T, 0
+        k = len(c) // (BITS // 8)
+        word[i, :k], place[i, :k], gone[i, :k] = np.frombuffer(c, np.uint64).reshape(-1, 2), np.frombuffer(p, np.float32).reshape(-1, 2), False
     return word, place, gone
 
 
-def mutual(strings: np.ndarray, word: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each string of one image and each image of word: the mutually nearest string, and whether there is one within NEAR_BITS."""
-    n = word.shape[2]
-    to, back = np.zeros((len(strings), n), np.uint16), np.full((CORNERS, n), 65535, np.uint16)
-    j = np.arange(CORNERS, dtype=np.uint16)[:, None]
-    for i, (s, t) in enumerate(strings):
-        far = np.bitwise_count(word[0] ^ s)
-        far += np.bitwise_count(word[1] ^ t)
-        far |= gone
-        far = far.astype(np.uint16)
-        far <<= 5
-        to[i] = (far | j).min(0)
-        np.minimum(back, far | np.uint16(i), out=back)
-    best = to & 31
-    return best, (np.take_along_axis(back, best.astype(np.int64), 0) & 31 == np.arange(len(strings))[:, None]) & (to >> 5 <= NEAR_BITS)
-
-
-def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether INLIERS of the matches a, b (2, matches, pairs) can obey one shift, turn and scale; MARGIN and bounds are a little wider than in consensus()."""
-    found, live = np.zeros(a.shape[2], bool), np.arange(a.shape[2])
-    for m in range(a.shape[1]):
-        # All places as seen from match m.
-        (x, y), (u, v) = a - a[:, m : m + 1], b - b[:, m : m + 1]
-        for n in range(m + 1, a.shape[1]):
-            square = x[n] ** 2 + y[n] ** 2
-            per = 1 / np.maximum(square, 1)
-            c, s = (u[n] * x[n] + v[n] * y[n]) * per, (v[n] * x[n] - u[n] * y[n]) * per
-            size = c * c + s * s
-            miss = (c * x - s * y - u) ** 2 + (s * x + c * y - v) ** 2
-            good = ((miss <= (MARGIN + 0.01) ** 2).sum(0) >= INLIERS) & (square > 15.9) & (size > 0.089) & (size < 10.9)
-            found[live[good]] = True
-        keep = ~found[live]
-        live, a, b = live[keep], a[:, :, keep], b[:, :, keep]
-    return found
-
-
-def links(one: tuple[list, list], other: tuple[list, list], same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all pairs of images (codes, places) whose consensus reaches INLIERS; with same, of the pairs whose second comes before the first."""
-    word, place, gone = stacked(*other)
-    hits: list[tuple[int, int]] = []
-    wait: dict[int, list] = {}
-
-    def settle(k: int) -> None:
-        x, y, a, b = (np.concatenate(v, axis=-1) for v in zip(*wait.pop(k), strict=True))
-        for i, j in zip(x[ok := agreeing(a, b)].tolist(), y[ok].tolist(), strict=True):
-            if consensus(one[1][i], one[0][i], other[1][j], other[0][j]) >= INLIERS:
-                hits.append((i, j))
-
-    for i, (code, at) in enumerate(zip(*one, strict=True)):
-        for lo in range(0, i if same else len(other[0]), STRIP):
-            hi = min(lo + STRIP, i if same else len(other[0]))
-            best, ok = mutual(code.view(np.uint64), word[:, :, lo:hi], gone[:, lo:hi])
-            count = ok.sum(0)
-            for k in np.unique(count[count >= INLIERS]).tolist():
-                y = np.flatnonzero(count == k)
-                row = np.argsort(~ok[:, y], axis=0, kind="stable")[:k]
-                to = best[row, y].astype(np.int64)
-                wait.setdefault(k, []).append((np.full(len(y), i), y + lo, at.T[:, row], place[:, to, y + lo]))
-                if sum(len(w[0]) for w in wait[k]) >= STRIP:
-                    settle(k)
-    for k in list(wait):
-        settle(k)
-    got = np.array(hits, np.int64).reshape(-1, 2)
-    return got[:, 0], got[:, 1]
+def agree(one: tuple, other: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether images i of one and j of other (as stacked() gives them) are copies."""
+    out = np.zeros(len(i), bool)
+    for a in range(0, len(i), STRIP):
+        x, y = i[a : a + STRIP], j[a : a + STRIP]
+        far = np.bitwise_count(one[0][x][:, :, None] ^ other[0][y][:, None]).sum(3, dtype=np.uint16)
+        far[one[2][x][:, :, None] | other[2][y][:, None]] = 999
+        to, back = far.argmin(2), far.argmin(1)
+        mutual = np.take_along_axis(back, to, 1) == np.arange(CORNERS)
+        enough = (mutual & (far.min(2) <= NEAR_BITS)).sum(1) >= INLIERS
+        for k in np.flatnonzero(enough):
+            s, t = ((w[0][v], w[1][v], ~w[2][v]) for w, v in ((one, x[k]), (other, y[k])))
+            out[a + k] = consensus(s[1][s[2]], s[0][s[2]].view(np.uint8), t[1][t[2]], t[0][t[2]].view(np.uint8)) >= INLIERS
+    return out
 
 
 def copies(images: DataFrame, key: str = "image_id", pixels: str = "pixels", width: str = "width", height: str = "height") -> DataFrame:
-    """key, component_id (least key reachable through copies), n_links and n_corners, one row an image."""
+    """key, component_id (least key reachable through copies) and n_corners, one row an image."""
     spark = images.sparkSession
     arrow_batches(spark)
-    rows = images.select(F.col(key).cast("long").alias("key"), F.col(pixels).alias("pixels"), F.col(width).cast("int").alias("w"), F.col(height).cast("int").alias("h"))
+    rows = images.select(F.col(key).alias("key"), F.col(pixels).alias("pixels"), F.col(width).cast("int").alias("w"), F.col(height).cast("int").alias("h"))
     rows = rows.withColumn("node", F.when(F.length("pixels") > 0, F.xxhash64("pixels", "w", "h")))
+    kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
@@ -192,63 +167,105 @@ def copies(images: DataFrame, key: str = "image_id", pixels: str = "pixels", wid
                 n.append(len(c))
             yield pa.RecordBatch.from_arrays([_column(batch, "key"), _column(batch, "node"), pa.array(n, pa.int32()), pa.array(places, pa.binary()), pa.array(codes, pa.binary())], names=["key", "node", "n_corners", "places", "codes"])
 
-    base = written(rows.mapInArrow(run, "key bigint, node bigint, n_corners int, places binary, codes binary"), "corners")
-    nodes = base.where("node is not null and n_corners > 0").groupBy("node").agg(F.any_value("places").alias("places"), F.any_value("codes").alias("codes"))
-
+    base = written(rows.mapInArrow(lean(run), f"key {kind}, node bigint, n_corners int, places binary, codes binary"), "corners")
+    nodes = written(base.where("node is not null and n_corners > 0").groupBy("node").agg(F.any_value("places").alias("places"), F.any_value("codes").alias("codes")), "images", base.count(), 2000)
     n = nodes.count()
-    blocks = max(-(-n // BLOCK), min(16, -(-n // 64)), 1)
-    # Equal ranges of node, which is a hash: every pair of blocks is one task of bounded size.
-    placed = nodes.withColumn("block", F.least(F.floor((F.col("node") / F.lit(2.0**64) + 0.5) * blocks), F.lit(blocks - 1)).cast("int"))
-    placed = written(placed, "image-blocks")
-    high = placed.withColumn("other", F.explode(F.sequence(F.lit(0), "block")))
-    low = placed.withColumnRenamed("block", "other").withColumn("block", F.explode(F.sequence("other", F.lit(blocks - 1))))
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
-        a, b = a.sort_values("node"), b.sort_values("node")
-        sets = [([np.frombuffer(c, np.uint8).reshape(-1, BITS // 8) for c in x["codes"]], [np.frombuffer(p, np.float32).reshape(-1, 2) for p in x["places"]]) for x in (a, b)]
-        i, j = links(*sets, bool(a["block"].iat[0] == b["other"].iat[0]))
-        ends = np.concatenate([a["node"].to_numpy()[i], b["node"].to_numpy()[j]])
-        node, at, degree = np.unique(ends, return_inverse=True, return_counts=True)
-        u, v = at[: len(i)], at[len(i) :]
-        root = np.arange(len(node))
-        while (root[u] != root[v]).any():
-            least = np.minimum(root[u], root[v])
-            np.minimum.at(root, u, least)
-            np.minimum.at(root, v, least)
-        return pd.DataFrame({"a": node, "b": node[root], "n": degree})
-
-    # A row a node and task, not a link: its links there, and the least node they reach.
-    met = written(high.groupBy("block", "other").cogroup(low.groupBy("block", "other")).applyInPandas(compare, "a bigint, b bigint, n bigint"), "image-links")
-    root = components(met)
-    degree = met.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+
+    def deal(batches):
+        for batch in batches:
+            found = [buckets(np.frombuffer(c, np.uint8)) for c in _column(batch, "codes").to_pylist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), _column(batch, "node").take(pa.array(np.repeat(np.arange(len(found)), list(map(len, found)))))], names=["bucket", "node"])
+
+    dealt = written(nodes.select("node", "codes").mapInArrow(lean(deal), "bucket bigint, node bigint"), "dealt")
+    shared = written(dealt.groupBy("bucket").agg(F.min("node").alias("center"), F.max("node").alias("other"), F.count("*").alias("n")).where("n > 1"), "shared", n * TABLES * CORNERS, 500_000)
+    # A bucket of two is its pair; only larger ones are listed.
+    members = written(dealt.join(shared.where("n > 2").select("bucket", "center", "n"), "bucket"), "buckets", n * TABLES * CORNERS, 500_000)
+    stars = members.where("node != center").select(F.col("node").alias("a"), F.col("center").alias("b")).unionByName(shared.where("n = 2").select(F.col("other").alias("a"), F.col("center").alias("b")))
+    stars = written(stars.distinct(), "stars", n * TABLES, 50_000)
+
+    def linked(batches):
+        for batch in batches:
+            one, other = (stacked(*(_column(batch, f"{c}_{s}").to_pylist() for c in ("codes", "places"))) for s in ("a", "b"))
+            every = np.arange(batch.num_rows)
+            keep = pa.array(np.flatnonzero(agree(one, other, every, every)))
+            yield pa.RecordBatch.from_arrays([_column(batch, "a").take(keep), _column(batch, "b").take(keep)], names=["a", "b"])
+
+    for s in ("a", "b"):
+        stars = stars.join(nodes.select(F.col("node").alias(s), F.col("codes").alias(f"codes_{s}"), F.col("places").alias(f"places_{s}")), s)
+    links = written(stars.mapInArrow(lean(linked), "a bigint, b bigint"), "links")
+    root = components(links)
+    # Buckets that still hold several components: what stands across them is tested as well.
+    marked = members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).select("bucket", "n", "node", "root")
+    torn = written(marked.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket"), "torn", n * TABLES, 50_000)
+    held = marked.join(torn, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    held = held.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = written(held.select("bucket", "node", "root", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")), "held", n * TABLES, 50_000)
+
+    def across(batches):
+        """Links between components, a pair only while nothing links its ends here."""
+        for t, edges in whole_groups(batches, ("bucket", "p", "q")):
+            node, first, own, p, q = (t.column(c).to_numpy() for c in ("node", "root", "own", "p", "q"))
+            all_ = stacked(*(t.column(c).to_pylist() for c in ("codes", "places")))
+            up = {x: x for x in first.tolist()}
+
+            def top(x, up=up):
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            out = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                for i in range(a, b):
+                    ok = first[i + 1 : b] != first[i]
+                    if p[a] != q[a]:
+                        ok &= own[i + 1 : b] != own[i]
+                    at = np.flatnonzero(ok) + i + 1
+                    mine = top(first[i])
+                    at = at[[top(x) != mine for x in first[at].tolist()]] if len(at) else at
+                    # The greater node comes first, as in the stars.
+                    for x, y in ((np.full(len(at), i), at), (at, np.full(len(at), i))):
+                        use = node[x] > node[y]
+                        for j, k in zip(x[use][good := agree(all_, all_, x[use], y[use])], y[use][good], strict=True):
+                            u, v = top(first[j]), top(first[k])
+                            if u != v:
+                                up[max(u, v)] = min(u, v)
+                                out.append((node[j], node[k]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    met = held.join(nodes, "node").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+    more = written(met.mapInArrow(lean(across), "a bigint, b bigint"), "more-links")
+    if not more.isEmpty():
+        root = components(links.unionByName(more))
     least = base.where("node is not null").groupBy("node").agg(F.min("key").alias("least")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    got = base.select("key", "node", "n_corners").join(named, "node", "left").join(degree, "node", "left")
-    return got.select("key", F.coalesce("component_id", "key").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_corners")
+    smallest = written(least.groupBy("root").agg(F.min("least").alias("component_id")), "smallest", n)
+    named = written(least.join(smallest, "root").select("node", "component_id"), "named", n)
+    got = base.select("key", "node", "n_corners").join(named, "node", "left")
+    return got.select("key", F.coalesce("component_id", "key").alias("component_id"), "n_corners")
+
 
+def rendered(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", side: int = 16, block: int = 3, seed: int = 5) -> DataFrame:
+    """A picture of side x side blocks for each vector, near vectors giving near pictures: the media column of tables without one.
 
-def rendered(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", side: int = 48) -> DataFrame:
-    """A side x side picture of each vector of n * n numbers, smooth between them: the media column of tables without one."""
+    The brightness of each block is a fixed random projection of the vector. Vectors that
+    are null, empty or hold null or non-finite numbers give a null picture.
+    """
 
     def run(batches):
+        mixes: dict[int, np.ndarray] = {}
         for batch in batches:
             out = []
             for v in _column(batch, "v").to_pylist():
-                n = int(len(v) ** 0.5) if v and None not in v else 0
-                if not n or n * n != len(v):
+                if not v or None in v or not np.isfinite(v).all():
                     out.append(None)
                     continue
-                x = np.asarray(v, np.float64).reshape(n, n)
-                at = np.linspace(0, n - 1, side)
-                i = np.minimum(at.astype(int), n - 2) if n > 1 else np.zeros(side, int)
-                f = at - i
-                up = np.minimum(i + 1, n - 1)
-                r = x[i] * (1 - f)[:, None] + x[up] * f[:, None]
-                r = r[:, i] * (1 - f) + r[:, up] * f
-                out.append(np.clip(128 + 320 * r, 0, 255).astype(np.uint8).tobytes() if np.isfinite(r).all() else None)
-            yield pa.RecordBatch.from_arrays([_column(batch, "image_id"), pa.array(out, pa.binary()), pa.array([side] * len(out), pa.int32()), pa.array([side] * len(out), pa.int32())], names=["image_id", "pixels", "width", "height"])
+                if len(v) not in mixes:
+                    mixes[len(v)] = np.random.default_rng(seed).standard_normal((side * side, len(v)))
+                light = np.clip(128 + 45 * (mixes[len(v)] @ np.asarray(v, np.float64)), 0, 255).astype(np.uint8)
+                out.append(light.reshape(side, side).repeat(block, 0).repeat(block, 1).tobytes())
+            size = pa.array([side * block] * len(out), pa.int32())
+            yield pa.RecordBatch.from_arrays([_column(batch, "image_id"), pa.array(out, pa.binary()), size, size], names=["image_id", "pixels", "width", "height"])
 
     arrow_batches(vectors.sparkSession)
-    return vectors.select(F.col(key).cast("long").alias("image_id"), F.col(vector).alias("v")).mapInArrow(run, "image_id bigint, pixels binary, width int, height int")
+    return vectors.select(F.col(key).alias("image_id"), F.col(vector).alias("v")).mapInArrow(lean(run), f"image_id {vectors.schema[key].dataType.simpleString()}, pixels binary, width int, height int")
