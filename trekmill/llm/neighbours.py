@@ -123,10 +123,10 @@ def graph(nodes: DataFrame, width: int, seed: int = 7) -> DataFrame:
     rank = Window.partitionBy("v").orderBy(F.desc("sim"), "u")
 
     def nearest(e: DataFrame, n: int) -> DataFrame:
-        return e.groupBy("v", "u").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= n).drop("r")
+        return e.groupBy("v", "u").agg(F.max("sim").alias("sim"), F.min("born").alias("born")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= n).drop("r")
 
     rows = NEIGHBOURS * nodes.count()
-    edges = written(nearest(edges, NEIGHBOURS), "graph", rows, 200_000)
+    edges = written(nearest(edges.withColumn("born", F.lit(0)), NEIGHBOURS), "graph", rows, 200_000)
 
     def meet(batches):
         for batch in batches:
@@ -134,12 +134,14 @@ def graph(nodes: DataFrame, width: int, seed: int = 7) -> DataFrame:
             inner, off = lists.flatten(), lists.offsets.to_numpy()
             off = off - off[0]
             x = _floats(inner.field("vec"), width)
-            u, floor = inner.field("u").to_numpy(zero_copy_only=False), inner.field("floor").to_numpy(zero_copy_only=False)
+            u, floor, new = (inner.field(c).to_numpy(zero_copy_only=False) for c in ("u", "floor", "new"))
             out = []
             for a, b in zip(off[:-1], off[1:], strict=True):
                 if b - a < 2:
                     continue
                 sim = x[a:b] @ x[a:b].T
+                # Two that were both here a round ago have met.
+                sim[~(new[a:b, None] | new[a:b])] = -np.inf
                 sim[np.arange(b - a), np.arange(b - a)] = -np.inf
                 at, s = _best(sim, OFFERED)
                 ok = s > floor[a:b, None]
@@ -149,19 +151,23 @@ def graph(nodes: DataFrame, width: int, seed: int = 7) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"v": pa.array(v), "u": pa.array(w), "sim": pa.array(s.astype(np.float32))})
 
     reached = 0.0
-    for _ in range(ROUNDS):
+    for born in range(ROUNDS):
         floor = edges.groupBy("v").agg(F.min("sim").alias("floor"), F.count("*").alias("c")).select(F.col("v").alias("u"), F.when(F.col("c") < NEIGHBOURS, F.lit(-3e38)).otherwise(F.col("floor")).cast("float").alias("floor"))
-        both = nearest(edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u"), "sim")), JOINED)
+        both = nearest(edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u"), "sim", "born")), JOINED).withColumn("new", F.col("born") == born)
+        # Only nodes with a neighbour that the last round brought have anything to bring together.
+        both = written(both.select("v", "u", "new"), "both", 2 * rows, 200_000)
+        some = both.where("new").select("v").distinct()
         about = nodes.select(F.col("node").alias("u"), "vec").join(floor, "u")
-        met = both.join(about, "u").groupBy("v").agg(F.collect_list(F.struct("u", "floor", "vec")).alias("met"))
-        offers = met.select("met").mapInArrow(meet, "v bigint, u bigint, sim float")
+        met = both.join(some, "v", "left_semi").join(about, "u").groupBy("v").agg(F.collect_list(F.struct("u", "floor", "vec", "new")).alias("met"))
+        offers = met.select("met").mapInArrow(meet, "v bigint, u bigint, sim float").withColumn("born", F.lit(born + 1))
         before, edges = edges, written(nearest(edges.unionByName(offers), NEIGHBOURS), "graph", rows, 200_000)
         discard(before)
+        discard(both)
         now = edges.agg(F.sum(F.col("sim").cast("double"))).first()[0] or 0.0
         if now - reached <= SETTLED * abs(now):
             break
         reached = now
-    return edges
+    return edges.drop("born")
 
 
 def entries(near: np.ndarray) -> np.ndarray:
