@@ -17,9 +17,9 @@ from itertools import chain
 import numpy as np
 
 #: Characters of a text that are split at once, and characters of texts whose pieces are looked up together.
-STRETCH, TOGETHER = 1 << 18, 2 << 20
+STRETCH, TOGETHER = 1 << 18, 4 << 20
 #: Pieces kept encoded, and characters of all of them, about.
-KEPT, KEPT_CHARS = 400_000, 8_000_000
+KEPT, KEPT_CHARS = 1_200_000, 20_000_000
 #: Pieces given to the library in one call, and plain ones in one string.
 CALL, JOINED = 16_384, 256
 #: ASCII signs that end a plain piece, none of which is part of a contraction.
@@ -60,6 +60,7 @@ class PieceEncoder:
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
         self.drops_space = _drops_space(rules)
+        self.lowers = any(s.get("type") == "Lowercase" for s in (rules.get("normalizer") or {}).get("normalizers", []))
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.largest_id + 1)]
         tail = rules["model"].get("end_of_word_suffix") or "\0"
         #: Ids that end a word, or, where a space stays with the word after it, ids that begin with a space.
@@ -101,7 +102,8 @@ class PieceEncoder:
 
     def _pieces(self, text: str) -> list[str]:
         if self.drops_space:
-            return text.replace("\n", " ").split(" ")
+            # Fewer different pieces; beyond ASCII the library's own lower case may be another.
+            return (text.lower() if self.lowers and text.isascii() else text).replace("\n", " ").split(" ")
         pieces = text.split(" ")
         pieces[0] = " " + pieces[0]
         return pieces
