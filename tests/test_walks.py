@@ -51,7 +51,7 @@ def test_sequences(spark):
     assert (r[1]["real_entropy"], r[1]["predictability"]) == (0.0, 1.0)
     assert walks._fano(1.0, 2) == 0.5 and 0.5 < walks._fano(0.5, 2) < 1
     trips = spark.createDataFrame([("a", 1, 1, 2), ("a", 2, 2, 1), ("a", 3, None, 1), ("a", 4, 5, 6)], "uid string, trip_id long, origin int, destination int")
-    assert [tuple(x) for x in walks.tours(trips).collect()] == [("a", 1, 2, 2)]
+    assert [tuple(x) for x in walks.tours(trips).collect()] == [("a", 1, 2, 2, [1, 2])]
 
 
 def test_smoothing_keeps_a_straight_walk(spark):
