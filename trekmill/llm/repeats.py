@@ -288,8 +288,19 @@ def _split(batches, least: int):
 
 
 def _cut(batches):
-    """The bytes of the contexts that are wanted from each text, or from each context that is split."""
+    """The bytes of the contexts that are wanted from each text, or from each context that is split.
+
+    Equal texts come one after the other from a sorted join, and only the first is cut; where
+    they do not, contexts come twice, which stand at one place and so are one occurrence.
+    """
+    last = None
     for batch in batches:
+        keys = [_column(batch, c).to_numpy() for c in ("d", "nb", "base")]
+        if not batch.num_rows:
+            continue
+        new = np.r_[tuple(int(k[0]) for k in keys) != last, np.any([k[1:] != k[:-1] for k in keys], axis=0)]
+        last = tuple(int(k[-1]) for k in keys)
+        batch = batch.filter(pa.array(new))
         raw, off = K.string_bytes(_column(batch, "data"))
         lists = _column(batch, "wanted")
         inner = lists.flatten()
@@ -333,7 +344,7 @@ def repeats(docs: DataFrame, text: str = "text", least: int = LEAST, anchor_byte
 
     again = repeated(rows.select("text", "d", "nb").mapInArrow(lean(find), "a bigint, c bigint, d bigint, nb int, place int"))
     again = again.selectExpr("a", "c", "d", "nb", "place", "0 up", "0 near", f"{w - 1} far", f"greatest(0, place - {w - 1}) lo", f"least(nb, place + {least}) hi")
-    above, on = distinct_texts(rows).selectExpr("d", "nb", "text data", "0 base"), ["d", "nb"]
+    above, on = rows.selectExpr("d", "nb", "text data", "0 base"), ["d", "nb"]
     found = []
     while True:
         first = F.min(F.struct("d", "nb", "place", "up", "near", "far", "lo", "hi")).alias("at")
@@ -344,7 +355,8 @@ def repeats(docs: DataFrame, text: str = "text", least: int = LEAST, anchor_byte
         mixed = contexts.groupBy("a").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest"), F.sum(F.col("hi") - F.col("lo")).alias("size"))
         mixed = written(mixed.where("kinds > 1 and fewest = 1").select("a", (F.col("size") > anchor_bytes).alias("large")), "mixed", rows_)
         wanted = contexts.join(mixed, "a").withColumn("large", F.expr("large and far > near"))
-        wanted = wanted.groupBy(*on).agg(F.collect_list(F.struct("a", "large", "place", "near", "far", "lo", "hi")).alias("wanted"))
+        # A table of its own, so that Spark can split a text that many rows have.
+        wanted = written(wanted.groupBy(*on).agg(F.collect_list(F.struct("a", "large", "place", "near", "far", "lo", "hi")).alias("wanted")), "wanted", rows_, 20_000)
         bytes_ = written(above.join(wanted, on).select("data", "base", "d", "nb", "wanted").mapInArrow(lean(_cut), CONTEXT), "context-bytes", rows_, 20_000)
         fits = bytes_.where("not large").repartition("a").sortWithinPartitions("a", "d", "nb", "place")
         found.append(fits.select("a", "d", "nb", F.col("lo").alias("base"), "context").mapInArrow(lean(lambda b: _scan(b, least, groups)), "d bigint, nb int, lo int, hi int, repeat bigint"))
@@ -359,11 +371,6 @@ def repeats(docs: DataFrame, text: str = "text", least: int = LEAST, anchor_byte
     return out
 
 
-def distinct_texts(rows: DataFrame) -> DataFrame:
-    """d, nb, text with equal texts once, brought together before they are shuffled."""
-    return rows.groupBy("d", "nb").agg(F.any_value("text").alias("text"))
-
-
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, keep_text: bool = False, anchor_bytes: int = ANCHOR_BYTES, words: int = 0) -> DataFrame:
     """docs' keys with n_bytes, n_removed, n_spans, kept_sha256 after all bytes of repeats are taken out.
 
