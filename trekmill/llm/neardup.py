@@ -10,10 +10,10 @@ Documents of equal sets are one node. Nodes that agree on a band of coordinates
 candidates. First every node of a band's bucket is held against the least one there,
 on the full sets; the links give components. Then, in buckets that still hold several
 components, all pairs across components whose sketches do not rule them out are held
-against each other as well, in blocks where a bucket is large. So pairs within a
-component are never listed, and no link between components goes unseen but with the
-probability that banding or the sketch filter misses it (below 1e-6 a pair at the
-threshold, far less above).
+against each other as well. The members of a bucket travel in lists, and only lists that
+hold different components meet. So pairs within a component are never listed, and no link
+between components goes unseen but with the probability that banding or the sketch filter
+misses it (below 1e-6 a pair at the threshold, far less above).
 
 Defined cases: null, empty or wordless texts have no shingles and are linked with
 nothing; fewer words than a shingle are one shingle; repeated rows share a component;
@@ -28,16 +28,16 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import arrow_batches, lean, whole_groups, written
+from .common import arrow_batches, discard, lean, written
 from .graph import components
 
 BINS = 160
-#: Members of a bucket that are held against each other in one block.
-BLOCK = 512
+#: Members of a bucket whose list travels as one, and about the bytes of their full sets that do.
+BLOCK, BLOCK_BYTES = 512, 2 << 20
 MISS = 1e-8
 
 
@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     n_bands = BINS // r
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("rid", F.xxhash64("key", F.when(F.col("key").isNull(), F.col("text")))).select("rid", "key", "text")
     base = written(describe(rows, k), "sets")
-    nodes = written(base.where("n_shingles > 0").groupBy("node").agg(F.min("rid").alias("rid"), F.any_value("sketch").alias("sketch")), "nodes", base.count(), 5000)
+    nodes = written(base.where("n_shingles > 0").groupBy("node").agg(F.min("rid").alias("rid"), F.max("n_shingles").alias("size"), F.any_value("sketch").alias("sketch")), "nodes", base.count(), 5000)
     n = nodes.count()
 
     def split(batches):
@@ -216,55 +216,55 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     # A bucket of two holds no pair but the one that was held against its least node.
     marked = members.where("n > 2").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     torn = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    held = marked.join(torn, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    held = held.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = held.select("key", "band", "node", "root", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    held = written(held, "held", n * n_bands, 100_000)
-
-    def grouped(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    sized = nodes.select("node", "size", "sketch")
+    held = written(marked.join(torn, "key").select("key", "band", "node", "root").join(sized, "node"), "held", n * n_bands, 50_000)
 
     def named(batches):
-        """The nodes of pairs across components that the sketches do not rule out."""
-        for t, groups in whole_groups(batches, ("key", "p", "q")):
-            found = [np.append(at, i) for i, at in _across(t, groups, floor, n_bands, r)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(t.column("node").to_numpy()[np.concatenate(found)]))], names=["node"])
-
-    involved = written(grouped(held.join(short, "node")).mapInArrow(lean(named), "node bigint").distinct(), "involved", n)
+        """Of each bucket the members of pairs across components that the sketches do not rule out."""
+        for batch in batches:
+            for key, t, cut in _meetings(batch):
+                found = [np.append(at, i) for i, at in _across(t, cut, floor, n_bands, r)]
+                if found:
+                    t = t.take(pa.array(np.unique(np.concatenate(found))))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), key)), *(t.field(c) for c in ("band", "node", "root", "size"))], names=["key", "band", "node", "root", "size"])
+
+    met = meetings(held, F.lit(1), ["size", "sketch"], n * n_bands)
+    involved = written(met.mapInArrow(lean(named), "key bigint, band int, node bigint, root bigint, size bigint").distinct(), "involved", n * n_bands, 100_000)
+    discard(held)
     if not involved.isEmpty():
-        sets = full_sets(rows, involved.join(nodes.select("node", "rid"), "node"), k)
+        sets = full_sets(rows, involved.select("node").distinct().join(nodes.select("node", "rid"), "node"), k)
+        sets = written(short.join(sets, "node"), "across-sets", n, 5000)
 
         def joined(batches):
             """Links between components on the full sets, a pair only while nothing links its ends here."""
-            for t, groups in whole_groups(batches, ("key", "p", "q")):
-                node, root = t.column("node").to_numpy(), t.column("root").to_numpy()
-                raw, off = K.string_bytes(t.column("elements"))
-                sets_, off = np.frombuffer(raw.tobytes(), np.uint64), off // 8
-                up = {x: x for x in root.tolist()}
-
-                def top(x, up=up):
-                    while up[x] != x:
-                        up[x] = x = up[up[x]]
-                    return x
-
-                out = []
-                for i, at in _across(t, groups, floor, n_bands, r):
-                    mine = top(root[i])
-                    at = at[[top(x) != mine for x in root[at].tolist()]]
-                    if not len(at):
-                        continue
-                    size = off[at + 1] - off[at]
-                    both = np.array([np.isin(sets_[off[j] : off[j + 1]], sets_[off[i] : off[i + 1]], assume_unique=True).sum() for j in at])
-                    for j in at[similar(both, size + off[i + 1] - off[i] - both)]:
-                        x, y = top(root[i]), top(root[j])
-                        if x != y:
-                            up[max(x, y)] = min(x, y)
-                            out.append((max(node[i], node[j]), min(node[i], node[j])))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
-
-        more = written(grouped(held.join(short.join(sets, "node"), "node")).mapInArrow(lean(joined), "a bigint, b bigint"), "more-links")
+            for batch in batches:
+                for _, t, cut in _meetings(batch):
+                    node, root = (t.field(c).to_numpy() for c in ("node", "root"))
+                    raw, off = K.string_bytes(t.field("elements"))
+                    sets_, off = np.frombuffer(raw.tobytes(), np.uint64), off // 8
+                    up = {x: x for x in root.tolist()}
+
+                    def top(x, up=up):
+                        while up[x] != x:
+                            up[x] = x = up[up[x]]
+                        return x
+
+                    out = []
+                    for i, at in _across(t, cut, floor, n_bands, r):
+                        mine = sets_[off[i] : off[i + 1]]
+                        for j in at.tolist():
+                            x, y = top(root[i]), top(root[j])
+                            if x == y:
+                                continue
+                            both = np.isin(sets_[off[j] : off[j + 1]], mine, assume_unique=True).sum()
+                            if similar(both, len(mine) + off[j + 1] - off[j] - both):
+                                up[max(x, y)] = min(x, y)
+                                out.append((max(node[i], node[j]), min(node[i], node[j])))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+        met = meetings(involved, 1 + F.col("size") * BLOCK * 8 / BLOCK_BYTES, ["sketch", "elements"], n * n_bands, sets)
+        more = written(met.mapInArrow(lean(joined), "a bigint, b bigint"), "more-links", n * n_bands, 200_000)
         if not more.isEmpty():
             label = components(links.unionByName(more))
     least = base.where("n_shingles > 0").groupBy("node").agg(F.min("key").alias("least"))
@@ -276,23 +276,61 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     return some.unionByName(none).withColumn("kept", F.col("key").eqNullSafe(F.col("component_id"))).select("key", "n_shingles", "node", "component_id", "kept")
 
 
-def _across(table: pa.Table, edge: np.ndarray, floor: int, n_bands: int, r: int):
-    """(row, rows after it) of pairs in a group that are of different components, agree in floor coordinates, and in no earlier band."""
-    root, own, band, p, q = (table.column(c).to_numpy() for c in ("root", "own", "band", "p", "q"))
-    sketch = _matrix(table.column("sketch"))
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
-        for i in range(a, b):
-            ok = root[i + 1 : b] != root[i]
-            if p[a] != q[a]:
-                ok &= own[i + 1 : b] != own[i]
-            at = np.flatnonzero(ok) + i + 1
-            if not len(at):
-                continue
-            same = sketch[at] == sketch[i]
-            near = same.sum(1) >= floor
-            if near.any():
-                at, same = at[near], same[near]
-                whole = same[:, : n_bands * r].reshape(len(at), n_bands, r).all(2)
-                at = at[whole.argmax(1) == band[i]]
-                if len(at):
-                    yield i, at
+def meetings(members: DataFrame, weight: Column, columns: list[str], most: int, others: DataFrame | None = None) -> DataFrame:
+    """key, x, y: lists of members of a bucket (key), so that any two of different components stand in one row.
+
+    members: a written table of key, band, node, root (the component) and columns, those of others
+    joined by node; most: a bound of its rows. A list weighs about BLOCK. Components that weigh more
+    have lists of their own, and these meet other components' lists only; a list of small
+    components also meets itself (y is null). So each member goes into one list, and lists, not
+    members, are repeated.
+    """
+    roots = members.groupBy("key", "root").agg(F.sum(weight).alias("m")).withColumn("large", F.col("m") > BLOCK).withColumn("part", F.when(F.col("large"), F.col("root")).otherwise(0))
+    at = ["key", "large", "part"]
+    plan = roots.join(roots.groupBy(*at).agg(F.ceil(F.sum("m") / BLOCK).cast("int").alias("lists")), at).select("root", *at, "lists")
+    held = members.join(written(plan, "plan", most, 100_000), ["key", "root"])
+    held = (held if others is None else held.join(others, "node")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("lists")).cast("int"))
+    at = [*at, "own"]
+    lists = written(held.groupBy(*at).agg(F.collect_list(F.struct("band", "node", "root", *columns)).alias("x")), "lists", most, 20_000)
+    alone = lists.where("not large").select("key", "x", F.expr("if(false, x, null)").alias("y"))
+    several = lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    if several.isEmpty():
+        return alone
+    names = written(lists.join(several, "key").select(*at), "list-names", most, 100_000)
+    other = {c: f"{c}_" for c in at[1:]}
+    pairs = names.join(names.withColumnsRenamed(other), "key").where("struct(large, part, own) < struct(large_, part_, own_) and not (large and large_ and part = part_)")
+    pairs = pairs.join(lists, at).join(lists.withColumnsRenamed(other | {"x": "y"}), ["key", *other.values()])
+    return alone.unionByName(pairs.select("key", "x", "y"))
+
+
+def _meetings(batch: pa.RecordBatch):
+    """Of each row of meetings() the bucket, the members of both lists, and where the second begins (0: there is one list)."""
+    x, y = (_column(batch, c) for c in ("x", "y"))
+    for i, key in enumerate(_column(batch, "key").to_pylist()):
+        if y[i].is_valid:
+            yield key, pa.concat_arrays([x[i].values, y[i].values]), len(x[i].values)
+        else:
+            yield key, x[i].values, 0
+
+
+def _across(t: pa.StructArray, cut: int, floor: int, n_bands: int, r: int):
+    """(member, others, likeliest first) of pairs of different components that agree in floor coordinates, and in no earlier band.
+
+    cut: pairs are of members before it and from it on; 0: of any two.
+    """
+    root, band = (t.field(c).to_numpy() for c in ("root", "band"))
+    sketch = _matrix(t.field("sketch"))
+    for i in range(cut or len(t) - 1):
+        begin = cut or i + 1
+        at = np.flatnonzero(root[begin:] != root[i]) + begin
+        if not len(at):
+            continue
+        same = sketch[at] == sketch[i]
+        agree = same.sum(1)
+        near = np.flatnonzero(agree >= floor)
+        if len(near):
+            near = near[np.argsort(-agree[near], kind="stable")]
+            whole = same[near][:, : n_bands * r].reshape(len(near), n_bands, r).all(2)
+            at = at[near[whole.argmax(1) == band[i]]]
+            if len(at):
+                yield i, at

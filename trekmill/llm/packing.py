@@ -109,7 +109,7 @@ def cut(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = f"key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<bigint>" if ids else "")
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean(run), schema)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean(run, encodes=True), schema)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, bins: int = OPEN_BINS, group_tokens: int = GROUP_TOKENS, ahead: int = AHEAD) -> DataFrame:

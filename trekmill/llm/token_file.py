@@ -217,7 +217,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", tex
         body.close()
         fsys.move(temp, f"{base}/{name}.tok")
 
-    made = ordered.select("key", "text").mapInArrow(lean(run), f"shard int, file string, first bigint, docs bigint, tokens bigint, keys array<{kind}>")
+    made = ordered.select("key", "text").mapInArrow(lean(run, encodes=True), f"shard int, file string, first bigint, docs bigint, tokens bigint, keys array<{kind}>")
     made.write.parquet(f"{where}/_keys")
     found = spark.read.schema(made.schema).parquet(f"{where}/_keys")
     starts, before = [], 0
