@@ -3,7 +3,9 @@
 import datetime as dt
 import random
 
-from trekmill.operators import contacts, sequence
+import pytest
+
+from trekmill.operators import contacts, sequence, social
 from trekmill.plans import registry
 
 T0 = dt.datetime(2024, 1, 1)
@@ -44,3 +46,35 @@ def test_counts_of_blocks(spark, monkeypatch):
         assert want and got == want
     assert contacts.contact_counts(visits(spark).where("false")).count() == 0
     assert not [x for x in shuffled(registry.QUERIES["contact_network"](spark, "/root/testdata/sf0.001")) if "u#" in x]
+
+
+def test_graphs_of_blocks(spark, monkeypatch):
+    blocks(monkeypatch, 9)
+    seen = visits(spark, n=25, rows=120, seed=3)
+    rows = [tuple(r) for r in contacts.daily_contacts(seen).collect()]
+    near = {}
+    for _, u, v in rows:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    share = {u: sum(len(near[v] & n) for v in n) / (len(n) * (len(n) - 1)) if len(n) > 1 else 0.0 for u, n in near.items()}
+    assert {r["uid"]: r["clustering"] for r in social.clustering_of_stays(seen).collect()} == {u: pytest.approx(x, abs=1e-6) for u, x in share.items()}
+    mean = pytest.approx(sum(share.values()) / len(share), abs=1e-6)
+    table = spark.createDataFrame(rows, "day long, u string, v string")
+    assert social.mean_clustering_of_stays(seen).first()[0] == mean and social.mean_clustering(table).first()[0] == mean
+    last = max(d for d, *_ in rows)
+    assert {r["day"]: r["clustering"] for r in social.clustering_by_day(table).collect()}[last] == mean
+    days = last - min(d for d, *_ in rows) + 1
+    want = {(u, v): (pytest.approx(sum((u, v) == r[1:] for r in rows) / days), pytest.approx(len(near[u] & near[v]) / len(near[u] | near[v]))) for _, u, v in rows}
+    two = social.persistence_and_overlap(table.crossJoin(spark.range(2).withColumnRenamed("id", "replica")), ["replica"])
+    assert {(r["u"], r["v"]): (r["persistence"], r["overlap"]) for r in social.persistence_and_overlap(table).collect()} == want
+    assert {(r["u"], r["v"]): (r["persistence"], r["overlap"]) for r in two.where("replica = 1").collect()} == want and two.count() == 2 * len(want)
+    assert {(r["u"], r["v"]): r["persistence"] for r in social.recast(seen, replicates=1).collect()} == {k: x for k, (x, _) in want.items()}
+    # Wedges are never listed: no join of edges with edges by one end.
+    for name in ("mean_clustering", "clustering_coefficients", "topological_overlap"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [b#" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_random_stubs_go_by_sparks_hash(spark):
+    got = spark.range(50).selectExpr("xxhash64(id) AS h", "xxhash64(id, 0) AS a", "xxhash64(id, 1) AS b").toPandas()
+    assert (social._with_end(got["h"].to_numpy(), 0) == got["a"]).all() and (social._with_end(got["h"].to_numpy(), 1) == got["b"]).all()
