@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 
 import numpy as np
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.components import components
 from ..functions.geo import EARTH_KM, valid
-from .kernels import _km, _per_user, filter_speed
-from .walks import _KEPT, _from_segment, _kmh, _masked, _planar, _stays, _uid
+from .kernels import _km, _per_user, _per_user_columns, _starts, filter_speed
+from .walks import _KEPT, _kmh, _masked, _planar, _stays, _uid, _within
 
 
 def _times(seconds) -> pd.DatetimeIndex:
@@ -24,15 +25,20 @@ def filter_loops(fixes: DataFrame, max_speed_kmh: float = 500.0, speed_kmh: floa
     largest distance closes a loop, and its farthest fix goes where the loop's mean speed is above speed_kmh."""
 
     def keep(t, lat, lng):
-        out, i = np.ones(len(t), bool), 0
-        while i < len(t) - 2:
-            off = _km(lat[i], lng[i], lat[i + 1 : i + 1 + max_loop], lng[i + 1 : i + 1 + max_loop])
-            back = np.flatnonzero(off < ratio_max * np.maximum.accumulate(off))
-            if len(back):
-                k = i + 1 + int(back[0])
-                way = _km(lat[i:k], lng[i:k], lat[i + 1 : k + 1], lng[i + 1 : k + 1]).sum()
+        out, i, n = np.ones(len(t), bool), 0, len(t)
+        # Distances from each fix to the next ones, all at once; beyond the end none returns.
+        after = np.arange(n)[:, None] + np.arange(1, max_loop + 1)
+        near = np.minimum(after, n - 1)
+        off = _km(lat[:, None], lng[:, None], lat[near], lng[near])
+        returns = (off < ratio_max * np.maximum.accumulate(off, 1)) & (after < n)
+        first, any_ = returns.argmax(1).tolist(), returns.any(1).tolist()
+        step = _km(lat[:-1], lng[:-1], lat[1:], lng[1:])
+        while i < n - 2:
+            if any_[i]:
+                k = i + 1 + first[i]
+                way = step[i:k].sum()
                 if t[k] > t[i] and way / (t[k] - t[i]) * 3600 > speed_kmh:
-                    out[i + 1 + int(off[: back[0] + 1].argmax())] = False
+                    out[i + 1 + int(off[i, : first[i] + 1].argmax())] = False
                     i = k
                     continue
             i += 1
@@ -67,10 +73,10 @@ def interpolate(fixes: DataFrame, method: str = "cubic", sampling_rate_s: float
     if method not in ("linear", "cubic", "kinematic", "random_walk"):
         raise ValueError(f"no method {method!r}")
 
-    def walk(part, t, lat, lng):
+    def walk(t, lat, lng, uid):
         y, gap = np.column_stack([lat, lng]), np.flatnonzero(np.diff(t) > sampling_rate_s)
         if not len(gap):
-            return part
+            return {"at": np.empty(0), "lat": np.empty(0), "lng": np.empty(0), "n": [0]}
         dt = np.diff(t)[gap][:, None]
         at, share = t[gap] + sampling_rate_s, sampling_rate_s / dt
         got = y[gap] + (y[gap + 1] - y[gap]) * share
@@ -86,46 +92,54 @@ def interpolate(fixes: DataFrame, method: str = "cubic", sampling_rate_s: float
             slow = _km(y[gap, 0], y[gap, 1], bend[:, 0], bend[:, 1]) / sampling_rate_s * 3600 <= max_speed_kmh
             got = np.where(slow[:, None], bend, got)
         elif method == "random_walk":
-            rng = np.random.default_rng([seed, int(pd.util.hash_array(np.array([str(part["uid"].iloc[0])], object))[0] % 2**32)])
+            rng = np.random.default_rng([seed, int(pd.util.hash_array(np.array([str(uid)], object))[0] % 2**32)])
             far, turn = np.abs(rng.normal(0, step_std_km, len(gap))), rng.uniform(0, 2 * np.pi, len(gap))
             got = got + np.column_stack([far * np.cos(turn), far * np.sin(turn) / np.maximum(np.cos(np.radians(got[:, 0])), 1e-9)]) / (EARTH_KM * np.pi / 180)
-        new = pd.DataFrame({"uid": part["uid"].iloc[0], "datetime": _times(at), "event_id": pd.array([None] * len(gap), "Int64"), "lat": got[:, 0], "lng": got[:, 1]})
-        return pd.concat([part.astype({"event_id": "Int64"}), new]).sort_values("datetime", kind="stable")
+        return {"at": at, "lat": got[:, 0], "lng": got[:, 1], "n": [len(gap)]}
+
+    def finish(part, got):
+        first = _starts(part["uid"])
+        users, n = np.arange(len(first)), np.diff(np.r_[first, len(part)])
+        new = pd.DataFrame({"uid": part["uid"].iloc[np.repeat(first, got["n"])].to_numpy(), "datetime": _times(got["at"]), "event_id": pd.array([None] * len(got["at"]), "Int64"), "lat": got["lat"], "lng": got["lng"]}).astype({"uid": part["uid"].dtype})
+        both = pd.concat([part.astype({"event_id": "Int64"}), new], ignore_index=True)
+        user = np.concatenate([np.repeat(users, n), np.repeat(users, got["n"])])
+        return both.iloc[np.lexsort((both["datetime"].to_numpy(), user))]
 
-    return _per_user(fixes, walk, f"{_uid(fixes)}, {_KEPT}")
+    return _per_user_columns(fixes, walk, f"{_uid(fixes)}, {_KEPT}", finish, named=True)
 
 
-def _reach(z: np.ndarray, i: int, epsilon: float, step: int) -> np.ndarray:
+def _reach(z: list[complex], i: int, epsilon: float, step: int) -> list[int]:
     """Places j (going by step from i) whose direction from i passes all fixes between within epsilon: the wedge of i."""
-    out, lo, hi, axis = [], -np.inf, np.inf, None
-    end = len(z) if step > 0 else -1
+    out, lo, hi, axis = [], -math.inf, math.inf, None
+    end, a = len(z) if step > 0 else -1, z[i]
     for j in range(i + step, end, step):
-        d = z[j] - z[i]
+        d = z[j] - a
         far = abs(d)
         if axis is None:
             ok, off = True, 0.0
         else:
-            off = float(np.angle(d / axis)) if far else 0.0
+            turned = d / axis
+            off = math.atan2(turned.imag, turned.real) if far else 0.0
             ok = not far or lo <= off <= hi
         if ok:
             out.append(j)
         if far > epsilon:
             if axis is None:
                 axis, off = d / far, 0.0
-            half = float(np.arcsin(epsilon / far))
+            half = math.asin(epsilon / far)
             lo, hi = max(lo, off - half), min(hi, off + half)
             if lo > hi:
                 break
-    return np.array(out, int)
+    return out
 
 
 def simplify_chan_chin(fixes: DataFrame, epsilon_km: float = 0.001) -> DataFrame:
     """The fewest fixes whose pieces stay within epsilon_km: pieces in the wedges of both their ends, shortest path."""
 
     def keep(t, lat, lng):
-        z, n = _planar(lat, lng), len(t)
-        back = [set(_reach(z, j, epsilon_km, -1).tolist()) for j in range(n)]
-        before, todo = np.full(n, -1), deque([0])
+        z, n = _planar(lat, lng).tolist(), len(t)
+        back = [set(_reach(z, j, epsilon_km, -1)) for j in range(n)]
+        before, todo = [-1] * n, deque([0])
         while todo and before[n - 1] < 0 < n - 1:
             i = todo.popleft()
             for j in _reach(z, i, epsilon_km, 1):
@@ -140,17 +154,40 @@ def simplify_chan_chin(fixes: DataFrame, epsilon_km: float = 0.001) -> DataFrame
     return _masked(fixes, keep)
 
 
+def _feasible(z: np.ndarray, i: int, epsilon: float) -> list[int]:
+    """Places j after i whose straight piece from i passes all fixes between within epsilon. The next ones go out first, so most
+    pieces are left after a few fixes; no more than 1,000,000 distances are held at once."""
+    ends, k, take = np.arange(i + 2, len(z)), i + 1, 4
+    done = [i + 1] if i + 1 < len(z) else []
+    while len(ends):
+        take = max(1, min(take, 1_000_000 // len(ends)))
+        between = np.arange(k, min(k + take, int(ends[-1])))
+        p, d = z[between] - z[i], (z[ends] - z[i])[:, None]
+        size = abs(d) ** 2
+        along = np.where(size > 0, np.clip((p * d.conjugate()).real / np.where(size > 0, size, 1), 0, 1), 0.0)
+        ends = ends[((np.abs(p - along * d) <= epsilon) | (between >= ends[:, None])).all(1)]
+        k, take = k + len(between), take * 2
+        done += ends[ends <= k].tolist()
+        ends = ends[ends > k]
+    return done
+
+
 def simplify_imai_iri(fixes: DataFrame, epsilon_km: float = 0.001) -> DataFrame:
     """From each kept fix to the feasible one from which the path reaches farthest."""
 
     def keep(t, lat, lng):
-        z, n = _planar(lat, lng), len(t)
-        fits = [[j for j in range(i + 1, n) if j == i + 1 or (_from_segment(z[i + 1 : j], z[i], z[j]) <= epsilon_km).all()] for i in range(n)]
-        far = [f[-1] if f else i for i, f in enumerate(fits)]
+        z, n, known = _planar(lat, lng), len(t), {}
+
+        def fits(i):
+            if i not in known:
+                known[i] = _feasible(z, i, epsilon_km)
+            return known[i]
+
         out, at = np.zeros(n, bool), 0
         out[[0, -1]] = True
         while at < n - 1:
-            at = n - 1 if far[at] == n - 1 else max(fits[at], key=lambda j: (far[j], j))
+            # The end, where it is feasible; else only fixes that are feasible from here are asked how far they reach.
+            at = n - 1 if fits(at)[-1] == n - 1 else max(fits(at), key=lambda j: (fits(j)[-1] if j < n - 1 else j, j))
             out[at] = True
         return out
 
@@ -162,9 +199,7 @@ def triplegs(fixes: DataFrame, stop_radius_km: float = 0.2, minutes_for_a_stop:
 
     def walk(part, t, lat, lng):
         found = _stays(t, lat, lng, minutes_for_a_stop, stop_radius_km, no_data_for_minutes, True)
-        inside = np.zeros(len(t), bool)
-        for s, e, *_ in found:
-            inside |= (t >= s) & (t <= e)
+        inside = _within(t, found)
         seg = np.r_[0, np.diff(inside.astype(int)) != 0].cumsum()
         first = np.flatnonzero(np.r_[True, np.diff(seg) > 0])
         last = np.r_[first[1:] - 1, len(t) - 1]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, haversine, valid
-from .kernels import _km, _per_user
+from .kernels import _km, _per_user, _per_user_columns, _per_user_masked, _starts
 
 _KEPT = "datetime timestamp_ntz, event_id bigint, lat double, lng double"
 
@@ -41,7 +41,7 @@ def _from_segment(p, a, b) -> np.ndarray:
 
 def _masked(fixes: DataFrame, keep) -> DataFrame:
     """The fixes that keep(t, lat, lng) marks."""
-    return _per_user(fixes, lambda part, t, lat, lng: part[keep(t, lat, lng)], f"{_uid(fixes)}, {_KEPT}")
+    return _per_user_masked(fixes, keep, f"{_uid(fixes)}, {_KEPT}")
 
 
 def _speeds(fixes: DataFrame) -> DataFrame:
@@ -153,13 +153,19 @@ def _stays(t, lat, lng, minutes, radius, no_data, include_last, min_speed_kmh=No
     """
     new = np.r_[True, (np.diff(lat) != 0) | (np.diff(lng) != 0) | (np.diff(t) != 0)]
     t, lat, lng = t[new], lat[new], lng[new]
-    out, anchor = [], 0
+    out, anchor, ahead, steps = [], 0, [], (np.diff(t) > no_data * 60).tolist()
+    leaves = (_km(lat[:-1], lng[:-1], lat[1:], lng[1:]) >= radius).tolist()
     for i in range(1, len(t)):
-        if t[i] - t[i - 1] > no_data * 60:
-            anchor = i
+        if steps[i - 1]:
+            anchor, ahead = i, []
             continue
         last = include_last and i == len(t) - 1
-        if _km(lat[anchor], lng[anchor], lat[i], lng[i]) >= radius or last:
+        if i == anchor + 1:
+            ahead = [leaves[anchor]]
+        elif not ahead:  # distances from an anchor, some at a time
+            ahead = (_km(lat[anchor], lng[anchor], lat[i : i + 16], lng[i : i + 16]) >= radius).tolist()[::-1]
+        if ahead.pop() or last:
+            ahead = []
             end, stop = i, i
             if min_speed_kmh is not None:
                 dt = t[anchor + 1 : i + 1] - t[anchor]
@@ -169,28 +175,39 @@ def _stays(t, lat, lng, minutes, radius, no_data, include_last, min_speed_kmh=No
                     end = anchor + 1 + int(slow[-1])
                     stop = end - 1
             if stop > anchor and t[end] - t[anchor] >= minutes * 60:
-                out.append((t[anchor], t[end], np.median(lat[anchor:stop]), np.median(lng[anchor:stop])))
+                one = stop == anchor + 1
+                out.append((t[anchor], t[end], lat[anchor] if one else np.median(lat[anchor:stop]), lng[anchor] if one else np.median(lng[anchor:stop])))
             anchor = i
     return out
 
 
+def _within(t: np.ndarray, stays: list[tuple]) -> np.ndarray:
+    """Which of the times, in order, are within stays, ends included."""
+    change = np.zeros(len(t) + 1, int)
+    if stays:
+        np.add.at(change, np.searchsorted(t, [x[0] for x in stays], "left"), 1)
+        np.add.at(change, np.searchsorted(t, [x[1] for x in stays], "right"), -1)
+    return np.cumsum(change)[:-1] > 0
+
+
 def stay_locations(fixes: DataFrame, minutes_for_a_stop: float = 20.0, spatial_radius_km: float = 0.2, no_data_for_minutes: float = 1e12, include_last: bool = True, min_speed_kmh: float | None = None) -> DataFrame:
     """Stops: started_at, finished_at and median coordinates."""
 
-    def walk(part, t, lat, lng):
+    def walk(t, lat, lng):
         found = _stays(t, lat, lng, minutes_for_a_stop, spatial_radius_km, no_data_for_minutes, include_last, min_speed_kmh)
         s, e, a, b = zip(*found, strict=True) if found else ((), (), (), ())
-        times = [pd.to_datetime(np.rint(np.array(x, float) * 1e6).astype("int64"), unit="us") for x in (s, e)]
-        return pd.DataFrame({"uid": [part["uid"].iloc[0]] * len(s), "started_at": times[0], "finished_at": times[1], "lat": np.array(a, float), "lng": np.array(b, float)})
+        return {"s": np.array(s, float), "e": np.array(e, float), "lat": np.array(a, float), "lng": np.array(b, float), "n": [len(s)]}
 
-    return _per_user(fixes, walk, f"{_uid(fixes)}, started_at timestamp_ntz, finished_at timestamp_ntz, lat double, lng double")
+    def finish(part, got):
+        times = [pd.to_datetime(np.rint(got[x] * 1e6).astype("int64"), unit="us") for x in "se"]
+        return pd.DataFrame({"uid": part["uid"].iloc[np.repeat(_starts(part["uid"]), got["n"])].to_numpy(), "started_at": times[0], "finished_at": times[1], "lat": got["lat"], "lng": got["lng"]})
 
+    return _per_user_columns(fixes, walk, f"{_uid(fixes)}, started_at timestamp_ntz, finished_at timestamp_ntz, lat double, lng double", finish)
 
-def _segments(fixes: DataFrame, number) -> DataFrame:
-    def walk(part, t, lat, lng):
-        return part[["uid", "event_id"]].assign(segment_id=np.asarray(number(t, lat, lng), np.int64))
 
-    return _per_user(fixes, walk, f"{_uid(fixes)}, event_id bigint, segment_id bigint")
+def _segments(fixes: DataFrame, number) -> DataFrame:
+    schema = f"{_uid(fixes)}, event_id bigint, segment_id bigint"
+    return _per_user_columns(fixes, lambda t, lat, lng: {"segment_id": np.asarray(number(t, lat, lng), np.int64)}, schema, lambda part, got: part[["uid", "event_id"]].assign(**got))
 
 
 def segment_angle_change(fixes: DataFrame, min_angle: float = 45.0, min_speed_kmh: float = 0.0) -> DataFrame:
@@ -226,9 +243,7 @@ def segment_stop(fixes: DataFrame, stop_radius_km: float = 0.2, minutes_for_a_st
     """Segments in turn inside and outside stops."""
 
     def number(t, lat, lng):
-        inside = np.zeros(len(t), bool)
-        for s, e, *_ in _stays(t, lat, lng, minutes_for_a_stop, stop_radius_km, no_data_for_minutes, True):
-            inside |= (t >= s) & (t <= e)
+        inside = _within(t, _stays(t, lat, lng, minutes_for_a_stop, stop_radius_km, no_data_for_minutes, True))
         return np.r_[0, np.diff(inside.astype(int)) != 0].cumsum()
 
     return _segments(fixes, number)
@@ -238,29 +253,37 @@ def smooth_kalman(fixes: DataFrame, process_noise_std_km: float = 0.05, measurem
     """Constant-velocity filter and backward smoother in local kilometres; one fix stays as it is."""
     q, r = process_noise_std_km**2, measurement_noise_std_km**2
 
-    def walk(part, t, lat, lng):
+    def walk(t, lat, lng):
         if len(t) < 2:
-            return part
+            return {"lat": lat, "lng": lng}
         scale = EARTH_KM * np.cos(np.radians(lat.mean())) * np.pi / 180, EARTH_KM * np.pi / 180
         seen = np.column_stack([lng * scale[0], lat * scale[1]])
         steps = np.maximum(np.diff(t), 1e-6)
-        x, p = np.vstack([seen[0], [0.0, 0.0]]), np.diag([r, 1e6])
-        xs, ps, ahead = [x], [p], []
-        for z, dt in zip(seen[1:], steps, strict=True):
-            f = np.array([[1, dt], [0, 1]])
-            guess, spread = f @ x, f @ p @ f.T + q * np.array([[dt**3 / 3, dt**2 / 2], [dt**2 / 2, dt]])
-            gain = spread[:, :1] / (spread[0, 0] + r)
-            x, p = guess + gain * (z - guess[0]), spread - gain @ spread[:1]
-            xs.append(x)
-            ps.append(p)
-            ahead.append((f, guess, spread))
+        # States (place and speed, for both axes) and covariances (symmetric two by two) as plain numbers.
+        (x0, x1), (v0, v1), (a, b, c) = seen[0].tolist(), (0.0, 0.0), (r, 0.0, 1e6)
+        states, ahead = [(x0, x1, v0, v1, a, b, c)], []
+        for (z0, z1), dt in zip(seen[1:].tolist(), steps.tolist(), strict=True):
+            g0, g1 = x0 + dt * v0, x1 + dt * v1
+            sa, sb, sc = a + dt * b + dt * (b + dt * c) + q * dt**3 / 3, b + dt * c + q * dt**2 / 2, c + q * dt
+            ka, kb = sa / (sa + r), sb / (sa + r)
+            ahead.append((dt, g0, g1, v0, v1, sa, sb, sc))
+            x0, x1, v0, v1 = g0 + ka * (z0 - g0), g1 + ka * (z1 - g1), v0 + kb * (z0 - g0), v1 + kb * (z1 - g1)
+            a, b, c = sa - ka * sa, sb - ka * sb, sc - kb * sb
+            states.append((x0, x1, v0, v1, a, b, c))
+        at = np.empty((len(t), 2))
+        at[-1] = x0, x1
         for i in range(len(ahead) - 1, -1, -1):
-            f, guess, spread = ahead[i]
-            xs[i] = xs[i] + ps[i] @ f.T @ np.linalg.solve(spread, xs[i + 1] - guess)
-        at = np.array([v[0] for v in xs])
-        return part.assign(lat=at[:, 1] / scale[1], lng=at[:, 0] / scale[0])
-
-    return _per_user(fixes, walk, f"{_uid(fixes)}, {_KEPT}")
+            dt, g0, g1, w0, w1, sa, sb, sc = ahead[i]
+            y0, y1, u0, u1, a, b, c = states[i]
+            d = sa * sc - sb * sb
+            ha, hb = a + dt * b, b + dt * c  # of the covariance and the step: the gain is that over the spread
+            k00, k01, k10, k11 = (ha * sc - b * sb) / d, (b * sa - ha * sb) / d, (hb * sc - c * sb) / d, (c * sa - hb * sb) / d
+            e0, e1, f0, f1 = x0 - g0, x1 - g1, v0 - w0, v1 - w1
+            x0, x1, v0, v1 = y0 + k00 * e0 + k01 * f0, y1 + k00 * e1 + k01 * f1, u0 + k10 * e0 + k11 * f0, u1 + k10 * e1 + k11 * f1
+            at[i] = x0, x1
+        return {"lat": at[:, 1] / scale[1], "lng": at[:, 0] / scale[0]}
+
+    return _per_user_columns(fixes, walk, f"{_uid(fixes)}, {_KEPT}", lambda part, got: part.assign(**got))
 
 
 def _kontoyiannis(s: np.ndarray) -> float:
