@@ -18,8 +18,8 @@ from .network import RoadNetwork
 _METRES = 111_194.9266
 
 
-def candidates(fixes: DataFrame, nodes: DataFrame, edges: DataFrame, radius_m: float = 75.0, most: int = 8) -> DataFrame:
-    """fix (event_id) with edges (source, target) within radius_m: distance_m and the share of the edge before the nearest point; at most `most` a fix, the nearest."""
+def _candidates(fixes: DataFrame, nodes: DataFrame, edges: DataFrame, radius_m: float = 75.0, most: int = 8) -> DataFrame:
+    """lat, lng of fixes with edges (source, target) within radius_m: distance_m and the share of the edge before the nearest point; at most `most` a coordinate, the nearest."""
     cell = 2 * radius_m / _METRES
     a, b = (nodes.select(F.col("node").alias(e), F.col("lat").alias(f"lat_{p}"), F.col("lng").alias(f"lng_{p}")) for e, p in (("source", "a"), ("target", "b")))
     # Cells are wider in longitude where meridians are close, so that a cell's neighbours hold the radius.
@@ -31,15 +31,21 @@ def candidates(fixes: DataFrame, nodes: DataFrame, edges: DataFrame, radius_m: f
     passed = steps.withColumn("plat", lat).withColumn("plng", lng).select("source", "target", "lat_a", "lng_a", "lat_b", "lng_b", F.floor(F.col("plat") / cell).cast("long").alias("row"), F.round("plat").alias("band"), F.floor(F.col("plng") / cell).cast("long").alias("column")).drop("band").distinct()
     around = F.array(*[F.lit(i) for i in (-2, -1, 0, 1, 2)])
     wide = F.ceil(2 / F.greatest(F.cos(F.radians("lat")), F.lit(0.05))).cast("long")
-    asked = fixes.select("uid", "event_id", "lat", "lng").withColumn("row", F.explode(F.transform(around, lambda i: F.floor(F.col("lat") / cell).cast("long") + i))).withColumn("column", F.explode(F.sequence(F.floor(F.col("lng") / cell).cast("long") - wide, F.floor(F.col("lng") / cell).cast("long") + wide)))
+    # A coordinate is asked once, however many fixes are at it.
+    asked = fixes.select("lat", "lng").distinct().withColumn("row", F.explode(F.transform(around, lambda i: F.floor(F.col("lat") / cell).cast("long") + i))).withColumn("column", F.explode(F.sequence(F.floor(F.col("lng") / cell).cast("long") - wide, F.floor(F.col("lng") / cell).cast("long") + wide)))
     met = asked.join(passed, ["row", "column"]).drop("row", "column").distinct()
     scale = F.cos(F.radians("lat"))
     dx, dy = (F.col("lng_b") - F.col("lng_a")) * scale, F.col("lat_b") - F.col("lat_a")
     px, py = (F.col("lng") - F.col("lng_a")) * scale, F.col("lat") - F.col("lat_a")
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(px * dx + py * dy, dx * dx + dy * dy), F.lit(0.0))))
     far = met.withColumn("share", share).withColumn("distance_m", F.sqrt((px - F.col("share") * dx) ** 2 + (py - F.col("share") * dy) ** 2) * _METRES).where(F.col("distance_m") <= radius_m)
-    nearest = Window.partitionBy("uid", "event_id").orderBy("distance_m", "source", "target")
-    return far.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= most).select("uid", "event_id", "source", "target", "distance_m", "share")
+    nearest = Window.partitionBy("lat", "lng").orderBy("distance_m", "source", "target")
+    return far.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= most).select("lat", "lng", "source", "target", "distance_m", "share")
+
+
+def candidates(fixes: DataFrame, nodes: DataFrame, edges: DataFrame, radius_m: float = 75.0, most: int = 8) -> DataFrame:
+    """The same for each fix (uid, event_id)."""
+    return fixes.select("uid", "event_id", "lat", "lng").join(_candidates(fixes, nodes, edges, radius_m, most), ["lat", "lng"]).select("uid", "event_id", "source", "target", "distance_m", "share")
 
 
 def match_trajectory(fixes: DataFrame, nodes: DataFrame, edges: DataFrame, candidate_radius_m: float = 75.0, max_candidates: int = 8, gps_sigma_m: float = 20.0, gap_seconds: float = 1800.0, max_transition_speed_kmh: float = 180.0) -> DataFrame:
@@ -50,19 +56,20 @@ def match_trajectory(fixes: DataFrame, nodes: DataFrame, edges: DataFrame, candi
     chosen edge among the fix's candidates by forward score. nodes(node, lat, lng), edges(source, target,
     length_m, weight); a network is bounded as RoadNetwork says.
     """
-    found = candidates(fixes, nodes, edges, candidate_radius_m, max_candidates)
+    # Only tables of different coordinates, and of different steps between sets of nodes, are joined with the fixes: no join
+    # has two sides that grow with repeated fixes, so none of these is taken for small, packed as it is, and sent to the driver.
     long = edges.groupBy("source", "target").agg(F.min("length_m").alias("length_m"))
-    line = Window.partitionBy("uid").orderBy("datetime", "event_id")
-    timed = fixes.join(found.select("uid", "event_id").distinct(), ["uid", "event_id"], "left_semi").select("uid", "event_id", F.unix_micros(F.col("datetime").cast("timestamp")).alias("us")) if dict(fixes.dtypes)["datetime"] == "timestamp" else fixes.join(found.select("uid", "event_id").distinct(), ["uid", "event_id"], "left_semi").select("uid", "event_id", "datetime", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', datetime)").alias("us"))
-    timed = timed.withColumn("datetime", F.col("us"))
-    order = timed.withColumn("k", F.row_number().over(line)).select("uid", "event_id", "us", "k")
-    here = found.join(long, ["source", "target"]).join(order, ["uid", "event_id"])
-    before = here.select("uid", (F.col("k") + 1).alias("k"), F.col("target").alias("s"), F.col("source").alias("s0")).distinct()
-    pairs = here.select("uid", "k", F.col("source").alias("t")).distinct().join(before, ["uid", "k"]).select(F.col("s").alias("source"), F.col("t").alias("target")).where("source != target").distinct()
-    routed = RoadNetwork(edges).distances(pairs).where("reachable").select(F.col("source").alias("s"), F.col("target").alias("t"), "metres")
-    steps = here.select("uid", "k", F.col("source").alias("t")).distinct().join(before, ["uid", "k"]).join(routed, ["s", "t"], "left")
-    ways = steps.groupBy("uid", "k").agg(F.collect_list(F.struct("s", "t", "metres")).alias("ways"))
-    rows = here.groupBy("uid", "k", "event_id", "us").agg(F.sort_array(F.collect_list(F.struct("source", "target", "distance_m", "share", "length_m"))).alias("c")).join(ways, ["uid", "k"], "left")
+    found = _candidates(fixes, nodes, edges, candidate_radius_m, max_candidates).join(long, ["source", "target"])
+    found = found.groupBy("lat", "lng").agg(F.sort_array(F.collect_list(F.struct("source", "target", "distance_m", "share", "length_m"))).alias("c"))
+    us = F.unix_micros(F.col("datetime").cast("timestamp")) if dict(fixes.dtypes)["datetime"] == "timestamp" else F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', datetime)")
+    line = Window.partitionBy("uid").orderBy("us", "event_id")
+    here = fixes.select("uid", "event_id", "lat", "lng", us.alias("us")).join(found, ["lat", "lng"]).drop("lat", "lng").withColumn("k", F.row_number().over(line)).withColumn("before", F.lag("c").over(line))
+    here = here.withColumn("s", F.array_sort(F.array_distinct(F.transform("before", lambda e: e["target"])))).withColumn("t", F.array_sort(F.array_distinct(F.transform("c", lambda e: e["source"])))).drop("before")
+    steps = here.where("s is not null").select(F.col("s").alias("ss"), F.col("t").alias("ts")).distinct()
+    every = steps.withColumn("s", F.explode("ss")).withColumn("t", F.explode("ts")).where("s != t")
+    routed = RoadNetwork(edges).distances(every.select(F.col("s").alias("source"), F.col("t").alias("target")).distinct()).where("reachable").select(F.col("source").alias("s"), F.col("target").alias("t"), "metres")
+    ways = every.join(routed, ["s", "t"]).groupBy("ss", "ts").agg(F.collect_list(F.struct("s", "t", "metres")).alias("ways")).withColumnsRenamed({"ss": "s", "ts": "t"})
+    rows = here.join(ways, ["s", "t"], "left").select("uid", "k", "event_id", "us", "c", "ways")
     kind, node = fixes.schema["uid"].dataType.simpleString(), edges.schema["source"].dataType.simpleString()
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
