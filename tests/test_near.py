@@ -1,11 +1,13 @@
 """Nearest points and points in polygons against all pairs."""
 
+import datetime as dt
 import math
 import random
 
 import pytest
 
-from trekmill.operators import near
+from trekmill.operators import match, near, sequence
+from trekmill.plans import registry
 
 
 def distance(a, b, c, d):
@@ -40,3 +42,26 @@ def test_polygons(spark):
     df = spark.createDataFrame([(i, [[{"lng": a, "lat": b} for a, b in ring] for ring in rings]) for i, rings in tiles], "tile_id long, rings array<array<struct<lng double, lat double>>>")
     f = spark.createDataFrame([(0.1, 0.1), (0.5, 0.5), (0.95, 0.95), (2.5, 1.5), (9.0, 9.0)], "lat double, lng double")
     assert {r["lat"]: r["tile_id"] for r in near.mapping_polygons(f, df).collect()} == {0.1: 1, 0.5: 2, 0.95: 1, 2.5: 3}
+
+
+def test_coordinates_are_asked_once(spark):
+    """Repeated fixes add no candidates to look for, and no rows to join with one another."""
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.001)], "node long, lat double, lng double")
+    edges = spark.createDataFrame([(1, 2, 111.0, 1.0), (2, 1, 111.0, 1.0)], "source long, target long, length_m double, weight double")
+    fixes = spark.range(100).selectExpr("id % 5 AS uid", "id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, int(id)) AS datetime", "0.0D AS lat", "0.0005D AS lng")
+    assert match._candidates(fixes, nodes, edges).count() == 2 and match.candidates(fixes, nodes, edges).count() == 200
+    assert match.match_trajectory(fixes, nodes, edges).select("event_id").distinct().count() == 100
+
+
+def test_nearest_events(spark):
+    """Equal to the join of all pairs in a window, with ties of distance and time, one coordinate for many and none in reach."""
+    r = random.Random(5)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(f"u{r.randrange(6)}", t0 + dt.timedelta(seconds=450 * r.randrange(60)), e, 39.9 + r.randrange(5) / 100, 116.3 + r.randrange(3) / 100) for e in range(150)]
+    rows += [("u1", t0 + dt.timedelta(days=9), 900, 39.9, 116.3), (None, t0, 901, 39.9, 116.3), ("u1", t0, 902, None, 116.3)]
+    fixes = spark.createDataFrame(rows, "uid string, datetime timestamp_ntz, event_id long, lat double, lng double")
+    for window in (900, 100):
+        want = sorted(tuple(x) for x in sequence.join_with_events(fixes, window_s=window).collect())
+        assert want and sorted(tuple(x) for x in near.nearest_events(fixes, window).collect()) == want
+    # Fixes are no longer joined with fixes.
+    assert "Join" not in registry.QUERIES["join_with_events"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()

@@ -143,7 +143,7 @@ class TrajDataFrame(Frame):
     METHODS = (
         _of(individual, "jump_lengths", "waiting_times", "distance_straight_line", "maximum_distance", "radius_of_gyration", "k_radius_of_gyration", "number_of_visits", "number_of_locations", "home_location", "work_location", "max_distance_from_home", "location_frequency", "frequency_rank", "recency_rank", "random_entropy", "uncorrelated_entropy", "individual_mobility_network")
         | _of(collective, "homes_per_location", "random_location_entropy", "uncorrelated_location_entropy", "mean_square_displacement", "visits_per_time_unit", "bounding_box")
-        | _of(sequence, "filter_greedy", "filter_zheng", "segment_observation_gap", "segment_value_change", "segment_temporal", "trajectory_to_od", "trajectory_to_trips", "join_with_events")
+        | _of(sequence, "filter_greedy", "filter_zheng", "segment_observation_gap", "segment_value_change", "segment_temporal", "trajectory_to_od", "trajectory_to_trips") | {"join_with_events": near.nearest_events}
         | _of(hierarchy, "timezone_conversion", "sort_by_uid_and_datetime", "to_flowdataframe", "global_locations", "interpolate_at", "interpolate_at_nearest")
         | _of(near, "join_with_pois", "join_with_pois_by_category", "mapping_points", "mapping_polygons", "snap_locations") | {"mapping": near.mapping_points}
         | _of(kernels, "filter_speed", "compress", "simplify_min_distance", "simplify_min_time")

@@ -7,10 +7,14 @@ No join crosses all points with all others but that of the last grid, of four ce
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, haversine, valid
+from .kernels import _km
 
 #: Cell sizes in degrees; each divides 360.
 GRIDS = (0.01, 0.05, 0.25, 1.25, 10.0, 90.0)
@@ -97,3 +101,58 @@ def mapping_polygons(fixes: DataFrame, tiles: DataFrame, degrees: float = 0.05)
     asked = fixes.where(valid(F.col("lat"), F.col("lng"))).select("lat", "lng").distinct().withColumn("row", cell(F.col("lat"))).withColumn("column", cell(F.col("lng")))
     met = asked.join(listed, ["row", "column"]).where(F.expr(f"{_CROSSED} % 2 = 1"))
     return met.groupBy("lat", "lng").agg(F.min("tile_id").alias("tile_id"))
+
+
+def nearest_events(fixes: DataFrame, window_s: int = 900) -> DataFrame:
+    """event_id, other_id, dist_event: the rows of sequence.join_with_events, for any number of fixes at one time. event_id is a fix's own.
+
+    A task holds the fixes of a time and its two neighbours, put in order by coordinate and time. The coordinates there are
+    asked in order of distance: at each, the earliest fix of another user in the window is found by a search, so fixes that
+    share a coordinate are not compared with one another.
+    """
+    rows = fixes.where(valid(F.col("lat"), F.col("lng")) & F.col("datetime").isNotNull() & F.col("uid").isNotNull())
+    rows = rows.select("uid", "event_id", "lat", "lng", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', datetime)").alias("us"))
+    own = F.floor(F.col("us") / (window_s * 1e6)).cast("long")
+    rows = rows.withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("at", own + F.col("step"))
+    reach = round(window_s * 1_000_000)
+
+    def run(table: pa.Table) -> pa.Table:
+        uid = pc.dictionary_encode(table["uid"].combine_chunks()).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        event, lat, lng, us, step = (table[c].to_numpy() for c in ("event_id", "lat", "lng", "us", "step"))
+        places, place = np.unique(np.column_stack([lat, lng]) + 0.0, axis=0, return_inverse=True)
+        place, us = place.ravel(), us - us.min()
+        order = np.lexsort((event, us, place))
+        uid, event, us, step, place = (c[order] for c in (uid, event, us, step, place))
+        span = int(us.max()) + 2 * reach + 2
+        line = place * span + us + reach
+        run_ends = np.flatnonzero(np.r_[(np.diff(uid) != 0) | (np.diff(place) != 0), True])
+        other = run_ends[np.searchsorted(run_ends, np.arange(len(line)))] + 1  # the next fix that is another user's or elsewhere
+        first = np.searchsorted(place, np.arange(len(places) + 1))
+        found, far = np.full(len(line), -1), np.zeros(len(line))
+        for here in range(len(places)):
+            asked = first[here] + np.flatnonzero(step[first[here] : first[here + 1]] == 0)
+            if not len(asked):
+                continue
+            km = _km(places[here, 0], places[here, 1], places[:, 0], places[:, 1])
+            key = np.round(km, 9)
+            near, i = np.argsort(key, kind="stable"), 0
+            while len(asked) and i < len(near):
+                j = i
+                best = np.full(len(asked), -1)
+                while j < len(near) and key[near[j]] == key[near[i]]:
+                    base = near[j] * span + us[asked] + reach
+                    p = np.searchsorted(line, base - reach)
+                    p = np.where((p < len(line)) & (uid[np.minimum(p, len(line) - 1)] == uid[asked]) & (place[np.minimum(p, len(line) - 1)] == near[j]), other[np.minimum(p, len(line) - 1)], p)
+                    q = np.minimum(p, len(line) - 1)
+                    fits = (p < len(line)) & (place[q] == near[j]) & (line[q] <= base + reach)
+                    held = np.maximum(best, 0)
+                    fits &= (best < 0) | (us[q] < us[held]) | ((us[q] == us[held]) & (event[q] < event[held]))
+                    best[fits] = q[fits]
+                    far[asked[fits]] = km[near[j]]
+                    j += 1
+                found[asked] = best
+                asked, i = asked[best < 0], j
+        met = np.flatnonzero(found >= 0)
+        return pa.table({"event_id": pa.array(event[met]), "other_id": pa.array(event[found[met]]), "d": pa.array(far[met])})
+
+    return rows.groupBy("at").applyInArrow(run, "event_id bigint, other_id bigint, d double").select("event_id", "other_id", F.round("d", 6).alias("dist_event"))

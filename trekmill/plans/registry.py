@@ -205,6 +205,7 @@ QUERIES |= {
     "motif_distribution": _visits(lambda v: visits.motif_distribution(visits.daily_motifs(v, home="click"))),
     "intermittency": _visits(visits.intermittency),
     "exploration_profiles": _visits(visits.exploration_profiles),
+    "join_with_events": _kernel(near.nearest_events),
     "temporal_contacts": _visits(contacts.daily_contacts),
     "contact_network": _visits(contacts.contact_counts),
     "recast": lambda spark, sf_dir: social.recast(view(spark, sf_dir, "visits")),
