@@ -78,3 +78,13 @@ def test_graphs_of_blocks(spark, monkeypatch):
 def test_random_stubs_go_by_sparks_hash(spark):
     got = spark.range(50).selectExpr("xxhash64(id) AS h", "xxhash64(id, 0) AS a", "xxhash64(id, 1) AS b").toPandas()
     assert (social._with_end(got["h"].to_numpy(), 0) == got["a"]).all() and (social._with_end(got["h"].to_numpy(), 1) == got["b"]).all()
+
+
+def test_combinations_and_profiles_are_dealt_by_user(spark):
+    """Combinations are told apart where they are made, and slots stay with their users: only what crosses users is dealt again."""
+    from trekmill.operators import attacks, visits as visit_operators
+
+    seen = visits(spark, n=5, rows=40)
+    keys = shuffled(attacks.assess_risk(seen, 2, "location_time"))
+    assert not [x for x in keys if "uid#" in x and "known#" in x]
+    assert not [x for x in shuffled(visit_operators.intermittency(seen)) if "slot#" in x or "run#" in x]

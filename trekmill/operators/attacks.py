@@ -18,7 +18,8 @@ VALUED = ("location_frequency", "location_probability", "location_proportion")
 
 def _items(visits: DataFrame, attack: str, k: int, precision: str) -> DataFrame:
     """uid, idx, item, v: what an attacker may know, in the order combinations take it."""
-    rows = visits.where("location_id is not null").withColumn("place", F.col("location_id").cast("string"))
+    # Dealt by user once: items and their combinations, each once a user, then need no further shuffle.
+    rows = visits.where("location_id is not null").repartition("uid").withColumn("place", F.col("location_id").cast("string"))
     if attack == "location_sequence":
         line = Window.partitionBy("uid").orderBy("started_at", "location_id")
         return rows.select("uid", F.row_number().over(line).alias("idx"), F.col("place").alias("item"), F.lit(1.0).alias("v"))
@@ -64,7 +65,8 @@ def assess_risk(visits: DataFrame, knowledge_length: int = 2, attack: str = "loc
     if targets is not None:
         asked = asked.join(targets.select("uid").distinct(), "uid", "left_semi")
     if attack in CONTAINED:
-        fits = found.groupBy("known").agg(F.count_distinct("uid").alias("users"))
+        # A user has a combination once, as its values follow from the user and the items.
+        fits = found.groupBy("known").agg(F.count("uid").alias("users"))
         risks = asked.select("uid", "known").join(fits, "known")
     else:
         # Different values of one combination are compared once, however many users share them.
