@@ -61,7 +61,8 @@ def assess_risk(visits: DataFrame, knowledge_length: int = 2, attack: str = "loc
     found = _combinations(items, knowledge_length)
     if attack == "location_proportion":
         found = found.withColumn("values", F.transform("values", lambda x: x / F.array_max("values")))
-    asked = found.join(most, "uid").where(F.size("known") == F.col("most")).drop("most")
+    # No combination has more than most; with = this would be a key of the join, and all would be dealt by it.
+    asked = found.join(most, "uid").where(F.size("known") >= F.col("most")).drop("most")
     if targets is not None:
         asked = asked.join(targets.select("uid").distinct(), "uid", "left_semi")
     if attack in CONTAINED:
