@@ -139,7 +139,7 @@ def intermittency(visits: DataFrame, level: float = 0.8, slot_s: int = 300) -> D
     """
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', started_at)"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', finished_at)")
     rows = visits.where("location_id is not null and started_at is not null and finished_at is not null").select("uid", "location_id", us[0].alias("s"), us[1].alias("e"))
-    rows = rows.select("uid", "location_id", "s", F.ceil(F.col("s") / (slot_s * 1e6)).cast("long").alias("a"), F.floor(F.col("e") / (slot_s * 1e6)).cast("long").alias("b")).where("b >= a")
+    rows = rows.select("uid", "location_id", "s", F.ceil(F.col("s") / (slot_s * 1e6)).cast("long").alias("a"), F.floor(F.col("e") / (slot_s * 1e6)).cast("long").alias("b")).where("b >= a").repartition("uid")  # all that follows is by user
     often = rows.groupBy("uid", "location_id").agg(F.count("*").alias("n")).withColumn("often", F.col("n") >= level * F.avg("n").over(Window.partitionBy("uid"))).drop("n")
     slots = rows.select("uid", "location_id", "s", F.explode(F.sequence("a", "b")).alias("slot")).groupBy("uid", "slot").agg(F.min_by("location_id", F.struct("s", "location_id")).alias("location_id"))
     line = Window.partitionBy("uid").orderBy("slot")
@@ -156,7 +156,7 @@ def exploration_profiles(visits: DataFrame, seed: int = 42, iterations: int = 30
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    degrees = intermittency(visits).withColumn("features", array_to_vector(F.array("degree_of_return")))
+    degrees = intermittency(visits).select("uid", "degree_of_return").withColumn("features", array_to_vector(F.array("degree_of_return"))).persist()  # a row a user, read by the fit and after it
     model = KMeans(k=3, seed=seed, maxIter=iterations).fit(degrees)
     order = np.argsort([c[0] for c in model.clusterCenters()]).tolist()
     names = F.create_map(*[F.lit(x) for k, name in zip(order, ("scouter", "regular", "routiner"), strict=False) for x in (k, name)])
